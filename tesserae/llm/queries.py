@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe_codec import op9_bpe_codec
+from tesserae.llm.lm_scoring import op2_lm_scoring
+from tesserae.llm.quality_rules import SQL as QUALITY_SQL
+from tesserae.llm.quality_rules import op3_quality_rules
+from tesserae.llm.simhash import op4_simhash
+from tesserae.llm.source_mixing import op10_source_mixing
 from tesserae.llm.token_counts import op1_token_counts
+from tesserae.llm.toxicity import op7_toxicity
 
-_QUERIES = (op1_token_counts, op9_bpe_codec)
+_QUERIES = (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_simhash, op7_toxicity, op9_bpe_codec, op10_source_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": QUALITY_SQL}
