@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe_codec import op9_bpe_codec
+from tesserae.llm.html_text import op6_html_text
+from tesserae.llm.license_scan import op5_license_scan
 from tesserae.llm.lm_scoring import op2_lm_scoring
 from tesserae.llm.quality_rules import SQL as QUALITY_SQL
 from tesserae.llm.quality_rules import op3_quality_rules
 from tesserae.llm.simhash import op4_simhash
 from tesserae.llm.source_mixing import op10_source_mixing
 from tesserae.llm.token_counts import op1_token_counts
+from tesserae.llm.top_k import SQL as TOP_K_SQL
+from tesserae.llm.top_k import op8_top_k
 from tesserae.llm.toxicity import op7_toxicity
 
-_QUERIES = (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_simhash, op7_toxicity, op9_bpe_codec, op10_source_mixing)
+_QUERIES = (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_simhash, op5_license_scan, op6_html_text, op7_toxicity, op8_top_k, op9_bpe_codec, op10_source_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_SQL}
+    return {"op3_quality_rules": QUALITY_SQL, "op8_top_k": TOP_K_SQL}
