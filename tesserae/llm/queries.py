@@ -22,8 +22,14 @@ from tesserae.llm.toxicity import op7_toxicity
 _QUERIES = (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_simhash, op5_license_scan, op6_html_text, op7_toxicity, op8_top_k, op9_bpe_codec, op10_source_mixing)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in (*_QUERIES, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

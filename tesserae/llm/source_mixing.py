@@ -75,34 +75,36 @@ def realise(df: DataFrame, mixed: DataFrame, source: str = "source", tokens: str
 
     A source is laid out in a random order of blocks, and randomly inside each block; its budget is spent along that
     order, whole passes first, then the part that still fits: the document at which the budget runs out is used if at
-    least half of it fits. Sources without tokens have no weight: copies 0. Order keys are a hash of (key, row hash), so
-    repeated rows and null keys are told apart only where they differ; equal rows stand side by side and the budget still
-    counts each. Blocks are counted per source, so no window holds more than a block or the list of a source's blocks.
+    least half of it fits. Sources without tokens have no weight: copies 0. Rows with equal source, key and tokens are one
+    unit of the order and have equal copies. Only these three columns are laid out, so texts travel once, to the copies.
+    Blocks are counted per source: no window holds more than a block or the list of a source's blocks.
     """
     own = mixed.select(F.col("source").alias("mix_source"), F.col("docs").alias("mix_docs"), F.col("tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("budget").alias("mix_budget"))
-    rows = df.join(own, F.col(source).eqNullSafe(F.col("mix_source")), "left")
     size = F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col(source))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("mix_docs") / BLOCK)).cast("bigint")
-    rows = rows.withColumns({"mix_order": order, "mix_size": size}).withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("mix_order")), F.coalesce(blocks, F.lit(1))))
-    sums = rows.groupBy(F.col("mix_source").alias("s"), F.col("mix_block").alias("b")).agg(F.sum("mix_size").alias("held"))
+    units = df.select(F.col(source).alias("u_source"), F.col(key).alias("u_key"), size.alias("u_size")).groupBy("u_source", "u_key", "u_size").agg(F.count("*").alias("times"))
+    units = units.join(own, F.col("u_source").eqNullSafe(F.col("mix_source")), "left").withColumn("held", F.col("u_size") * F.col("times"))
+    units = units.withColumn("mix_order", F.xxhash64(F.lit(seed), "u_key", "u_source"))
+    blocks = F.coalesce(F.greatest(F.lit(1), F.ceil(F.col("mix_docs") / BLOCK)), F.lit(1)).cast("bigint")
+    units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_order"), blocks))
+    sums = units.groupBy(F.col("u_source").alias("s"), F.col("block").alias("b")).agg(F.sum("held").alias("all"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    rows = rows.join(sums, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")), "left")
-    inside = Window.partitionBy("mix_source", "mix_block").orderBy("mix_order", key, "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("mix_end", F.col("ahead") + F.sum("mix_size").over(inside))
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    units = units.join(sums, F.col("u_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    inside = Window.partitionBy("u_source", "block").orderBy("mix_order", "u_key", "u_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    units = units.withColumn("end", F.col("ahead") + F.sum("held").over(inside))
     passes = F.floor(F.col("mix_budget") / F.col("mix_tokens"))
     left = F.col("mix_budget") - passes * F.col("mix_tokens")
-    fits = (2 * F.col("mix_end") - F.col("mix_size") <= 2 * left) & (left > 0)
-    copies = F.when(F.col("mix_tokens").isNull(), 0).otherwise(passes + fits.cast("bigint"))
-    rows = rows.withColumn("mix_copies", copies.cast("bigint")).withColumn("mix_place", F.when(F.col("mix_tokens").isNotNull(), F.col("mix_end") - F.col("mix_size")))
-    return rows.drop("mix_source", "mix_docs", "mix_tokens", "mix_budget", "mix_order", "mix_size", "mix_block", "s", "b", "held", "ahead", "mix_end")
+    fits = (2 * F.col("end") - F.col("held") <= 2 * left) & (left > 0)
+    copies = F.when(F.col("mix_tokens").isNull(), 0).otherwise(passes + fits.cast("bigint")).cast("bigint")
+    place = F.when(F.col("mix_tokens").isNotNull(), F.col("end") - F.col("held"))
+    units = units.select("u_source", "u_key", "u_size", copies.alias("mix_copies"), "mix_weight", place.alias("mix_place"))
+    same = F.col(source).eqNullSafe(F.col("u_source")) & F.col(key).eqNullSafe(F.col("u_key")) & (size == F.col("u_size"))
+    return df.join(units, same).drop("u_source", "u_key", "u_size")
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", flatten: float = FLATTEN, most_epochs: float = MOST_EPOCHS, budget: int | None = None) -> DataFrame:
     """All rows of `df` with mix_n_tokens (words of the text), mix_copies, mix_weight and mix_place. An empty table: no rows."""
     counted = df.withColumn("mix_n_tokens", F.size(words(whole_text(text))).cast("bigint"))
-    # the texts themselves don't travel: sums, windows and joins see narrow rows only when `df` has no other columns
     return realise(counted, mixture(counted, source, "mix_n_tokens", flatten, most_epochs, budget), source, "mix_n_tokens", key)
 
 
