@@ -28,3 +28,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from tesserae.plans import path_queries  # noqa: F401
+
+
+_load()
