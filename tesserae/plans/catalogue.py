@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tesserae.plans import path_queries  # noqa: F401
+    from tesserae.plans import path_queries, space_queries  # noqa: F401
 
 
 _load()
