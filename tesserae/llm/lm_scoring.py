@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import cut, fold_of, table, whole_text
+from tesserae.llm.common import cut, fold_of, stored, table, whole_text
 
 MU = 20.0
 #: Each level of counts is this many times the one before.
@@ -56,7 +56,7 @@ def _salt(level: int) -> np.uint64:
 
 
 def bigrams(texts: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' bigrams, each text from its start to its end token, and where each text begins."""
+    """48-bit hashes of the texts' bigrams, each text from its start to its end token, and where each text begins."""
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     flat = np.empty(int(sizes.sum()), np.uint64)
     end = xxhash.xxh64_intdigest(END.encode(), 7)
@@ -70,7 +70,7 @@ def bigrams(texts: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarr
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
     before = np.r_[_START, flat[:-1]] if len(flat) else flat
     before[starts] = _START
-    return _mix(before * _M3 + _mix(flat)), starts
+    return _mix(before * _M3 + _mix(flat)) >> np.uint64(16), starts
 
 
 class Segment:
@@ -117,7 +117,17 @@ class Segment:
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+    return ((hashes >> np.uint64(16)) % np.uint64(segments)).astype(np.int64)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first: what high bytes there are compresses to nothing."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _unplanes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _blocked(df: DataFrame) -> DataFrame:
@@ -154,7 +164,8 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
 
 
 def _packets(rows: DataFrame, segments: int) -> DataFrame:
-    """(segment, hashes, counts): the training bigrams of a stretch of rows, packed, one packet for each segment."""
+    """(segment, hashes, counts): the training bigrams of a stretch of rows, one packet for each segment. Hashes are sorted
+    and stored as differences; both columns lie in byte planes."""
 
     def run(batches):
         held, size, known = [], 0, {}
@@ -168,7 +179,7 @@ def _packets(rows: DataFrame, segments: int) -> DataFrame:
             for s in range(segments):
                 a, b = cuts[s], cuts[s + 1]
                 if b > a:
-                    yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "hashes": pa.array([hashes[a:b].tobytes()], pa.binary()), "counts": pa.array([counts[a:b].tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "hashes": pa.array([_planes(np.diff(hashes[a:b], prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_planes(counts[a:b])], pa.binary())})
 
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -191,8 +202,8 @@ def _segments(packets: DataFrame) -> DataFrame:
     """(segment, bits, size): the filter."""
 
     def build(pdf):
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
+        hashes = np.concatenate([np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]])
+        counts = np.concatenate([_unplanes(x, np.uint32) for x in pdf["counts"]])
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
@@ -289,7 +300,7 @@ def score(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id", broa
     rows = _blocked(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train")))
     by_token = Window.partitionBy("token")
     words = _vocabulary(rows).select("block", "token", "n", F.sum("n").over(by_token).alias("c"), F.row_number().over(by_token.orderBy("block")).alias("k"))
-    words = cut(words)
+    words = stored(words)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(((F.col("k") == 1) & (F.col("c") > 0)).cast("bigint")), F.lit(0))).first()
     segments = max(1, -(-total // SEGMENT))
     bits = cut(_segments(_packets(rows, segments)))
