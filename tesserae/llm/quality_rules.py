@@ -57,7 +57,9 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     out = out.withColumn(rank, F.array_sort(twice))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(F.col(rank), start, lambda a, i: F.struct(i.alias("last"), (a.n + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a.n)
-    out = out.withColumn(f"{prefix}n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint"))
+    # the row number, never negative, keeps filters on this column above the projections: below, they would repeat them
+    once = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)))
+    out = out.withColumn(f"{prefix}n_repeat_words", once.cast("bigint"))
     return out.drop(body, w, g, s, rank, f"_lines_{prefix}")
 
 
