@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tesserae.plans import evidence_queries, path_queries, space_queries  # noqa: F401
+    from tesserae.plans import content_queries, evidence_queries, path_queries, space_queries, stream_queries  # noqa: F401
 
 
 _load()
