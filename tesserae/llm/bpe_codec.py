@@ -17,24 +17,20 @@ from tesserae.llm.common import table
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-
-def _each_batch(df: DataFrame, columns: list[tuple[str, T.DataType]], read: str, work) -> DataFrame:
-    """Add columns made from column `read` by work(list) -> list of Arrow arrays, batch by batch. `read` may be a name among several."""
+def _each_batch(df: DataFrame, columns: list[tuple[str, T.DataType]], read: list[str], work) -> DataFrame:
+    """Add columns made by work(*arrays) -> list of arrays from the columns `read`, batch by batch; same-named ones are replaced."""
+    made_names = [c for c, _ in columns]
+    rest = [c for c in df.columns if c not in made_names]
 
     def run(batches):
         for batch in batches:
-            # a batch may hold very long texts: pass it on in parts of a few MB
+            # a batch may hold very long texts: it is worked on in parts
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                made = work(part.column(part.schema.get_field_index(read)))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(c for c, _ in columns)])
+                column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([*map(column, rest), *work(*map(column, read))], names=[*rest, *made_names])
 
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, t) for c, t in columns)])
+    schema = T.StructType([*(df.schema[c] for c in rest), *(T.StructField(c, t) for c, t in columns)])
     return df.mapInArrow(run, schema)
 
 
@@ -58,7 +54,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str |
     def work(texts):
         return [_ids_array(_encoded(bpe.encoder(path), texts))]
 
-    return _each_batch(df, [(out, T.ArrayType(T.IntegerType()))], text, work)
+    return _each_batch(df, [(out, T.ArrayType(T.IntegerType()))], [text], work)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -69,7 +65,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: str
         d = bpe.Decoder(bpe.vocabulary(path))
         return [pa.array([d.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, "i4")) for x in lists], pa.string())]
 
-    return _each_batch(df, [(out, T.StringType())], ids, work)
+    return _each_batch(df, [(out, T.StringType())], [ids], work)
 
 
 def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -83,7 +79,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str
         back = [d.decode(np.frombuffer(x, dtype="<i4")) for x in packed]
         return [numbers, pa.array(back, pa.string())]
 
-    return _each_batch(df, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], text, work)
+    return _each_batch(df, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], [text], work)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def learn(df: DataFrame, page: str = "html", sample: int = SAMPLE) -> dict[str,
 def extract(df: DataFrame, page: str = "html", out: str = "main_text", weights: dict[str, float] | None = None) -> DataFrame:
     """Replace the column `page` by `out`, the main text; all rows and other columns stay. Null pages count as empty."""
     weights = learn(df, page) if weights is None else weights
-    rest = [c for c in df.columns if c != page]
+    rest = [c for c in df.columns if c not in (page, out)]
 
     def run(batches):
         for batch in batches:

@@ -79,10 +79,10 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     index = postings()
     vocabulary = sorted(index)
     body = ascii_lower(whole_text(text))
-    rows = df.withColumn("_w", words(body, OUTSIDE))
-    placed = F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("p")))
+    rows = df.withColumn("_lic_w", words(body, OUTSIDE))
+    placed = F.transform("_lic_w", lambda w, i: F.struct(w.alias("w"), i.alias("p")))
     anchors = sorted(w for w in vocabulary if w not in FUNCTION_WORDS)
-    rows = rows.withColumn("_hits", F.filter(placed, lambda x: x.w.isin(anchors)))
+    rows = rows.withColumn("_lic_hits", F.filter(placed, lambda x: x.w.isin(anchors)))
     # the corpus statistics: one pass that keeps only sums
     seen = df.select(F.array_distinct(F.filter(words(body, OUTSIDE), lambda w: w.isin(anchors))).alias("found"))
     n, counts = word_counts(seen, "found")
@@ -90,21 +90,21 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rank = {w: r for r, w in enumerate(sorted(anchors, key=lambda w: (-idf[w], w)))}
     ranks = F.create_map(*(F.lit(x) for w in anchors for x in (w, rank[w])))
     lists = F.create_map(*(x for w in anchors for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in index[w])))))
-    rarest = F.slice(F.array_sort(F.array_distinct(F.transform("_hits", lambda x: F.element_at(ranks, x.w)))), 1, RARE)
-    rows = rows.withColumn("_rare", F.when(F.size("_hits") > 0, rarest))
+    rarest = F.slice(F.array_sort(F.array_distinct(F.transform("_lic_hits", lambda x: F.element_at(ranks, x.w)))), 1, RARE)
+    rows = rows.withColumn("_lic_rare", F.when(F.size("_lic_hits") > 0, rarest))
     proposed = F.flatten(
         F.transform(
-            F.filter("_hits", lambda x: F.array_contains(F.col("_rare"), F.element_at(ranks, x.w))),
+            F.filter("_lic_hits", lambda x: F.array_contains(F.col("_lic_rare"), F.element_at(ranks, x.w))),
             lambda x: F.transform(F.element_at(lists, x.w), lambda y: F.struct(y.t.alias("t"), (x.p - y.q).alias("o"))),
         )
     )
-    rows = rows.withColumn("_try", F.when(F.size("_hits") > 0, F.array_distinct(proposed)))
+    rows = rows.withColumn("_lic_try", F.when(F.size("_lic_hits") > 0, F.array_distinct(proposed)))
     texts = F.array(*(_literal(text.split(), "string") for _, text, _ in TEMPLATES))
     # function words weigh little, however rare they are in the corpus
     shares = F.array(*(_literal(_shares(text.split(), idf), "double") for _, text, _ in TEMPLATES))
     keys = F.array(*(_literal(key.split(), "string") for _, _, key in TEMPLATES))
     starts = _literal(_key_places(), "int")
-    w = F.col("_w")
+    w = F.col("_lic_w")
 
     def checked(x: Column) -> Column:
         template, share = F.get(texts, x.t), F.get(shares, x.t)
@@ -113,24 +113,24 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         key = F.forall(F.transform(F.get(keys, x.t), lambda v, q: F.coalesce(F.get(w, x.o + F.get(starts, x.t) + q) == v, F.lit(False))), lambda same: same)
         return F.struct(x.t.alias("t"), F.when(key, cover).otherwise(0.0).alias("cover"))
 
-    rows = rows.withColumn("_passed", F.when(F.size("_try") > 0, F.filter(F.transform("_try", checked), lambda x: x.cover >= COVER)))
+    rows = rows.withColumn("_lic_passed", F.when(F.size("_lic_try") > 0, F.filter(F.transform("_lic_try", checked), lambda x: x.cover >= COVER)))
     places = [_places(w, phrase.split(), label) for phrase, label in PHRASES.items()]
-    rows = rows.withColumn("_base", F.when(F.size("_hits") > 0, F.concat(*places)))
+    rows = rows.withColumn("_lic_base", F.when(F.size("_lic_hits") > 0, F.concat(*places)))
     names = _literal([label for label, _, _ in TEMPLATES], "string")
     none = F.array().cast("array<string>")
-    base = F.coalesce(F.array_distinct(F.transform("_base", lambda x: x.label)), none)
-    more = F.coalesce(F.transform("_passed", lambda x: F.get(names, x.t)), none)
-    best = F.coalesce(F.array_max(F.transform("_passed", lambda x: x.cover)), F.lit(0.0))
+    base = F.coalesce(F.array_distinct(F.transform("_lic_base", lambda x: x.label)), none)
+    more = F.coalesce(F.transform("_lic_passed", lambda x: F.get(names, x.t)), none)
+    best = F.coalesce(F.array_max(F.transform("_lic_passed", lambda x: x.cover)), F.lit(0.0))
     made = {
-        "lic_n_words": F.size("_w").cast("bigint"),
-        "lic_n_base": F.coalesce(F.size("_base"), F.lit(0)).cast("bigint"),
-        "lic_first_word": F.array_min(F.transform("_base", lambda x: x.p)).cast("bigint"),
-        "lic_last_word": F.array_max(F.transform("_base", lambda x: x.p)).cast("bigint"),
+        "lic_n_words": F.size("_lic_w").cast("bigint"),
+        "lic_n_base": F.coalesce(F.size("_lic_base"), F.lit(0)).cast("bigint"),
+        "lic_first_word": F.array_min(F.transform("_lic_base", lambda x: x.p)).cast("bigint"),
+        "lic_last_word": F.array_max(F.transform("_lic_base", lambda x: x.p)).cast("bigint"),
         "lic_base_labels": F.array_join(F.array_sort(base), ","),
         "lic_labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ","),
-        "lic_score": F.when(F.size("_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), best)),
+        "lic_score": F.when(F.size("_lic_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), best)),
     }
-    return rows.withColumns(made).drop("_w", "_hits", "_rare", "_try", "_passed", "_base")
+    return rows.withColumns(made).drop("_lic_w", "_lic_hits", "_lic_rare", "_lic_try", "_lic_passed", "_lic_base")
 
 
 def _places(w: Column, phrase: list[str], label: str) -> Column:
@@ -139,7 +139,7 @@ def _places(w: Column, phrase: list[str], label: str) -> Column:
     def there(x: Column) -> Column:
         return _all([x.w == phrase[0], *(F.coalesce(F.get(w, x.p + i) == v, F.lit(False)) for i, v in enumerate(phrase) if i)])
 
-    return F.transform(F.filter("_hits", there), lambda x: F.struct(x.p.alias("p"), F.lit(label).alias("label")))
+    return F.transform(F.filter("_lic_hits", there), lambda x: F.struct(x.p.alias("p"), F.lit(label).alias("label")))
 
 
 def _shares(template: list[str], idf: dict[str, float]) -> list[float]:

@@ -4,7 +4,7 @@ The filter holds, for each training bigram whose count falls in level q of a geo
 level 1..q. Asking for a count is asking for membership at level 1, 2, ... until one is missing. It never reads too low
 a level; it reads too high a one with the small chance of a false positive at each step.
 
-Probabilities are Dirichlet-smoothed: p(w | v) = (c(vw) + MU p(w)) / (c(v) + MU), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+Probabilities are Dirichlet-smoothed: p(w | v) = (min(c(vw), c(v)) + MU p(w)) / (c(v) + MU), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 Unigram counts are exact: they come with each block of documents as the counts of just the block's words, so no table of
 all words is ever held in one place. The filter is cut into segments by hash. As long as its measured size is below
 BROADCAST it is broadcast; beyond that the bigrams of the texts are sent to the segments instead.
@@ -231,7 +231,8 @@ class _Filter:
 
 
 def _log_p(pair, before, prob):
-    return np.log10((pair + MU * prob) / (before + MU))
+    # a pair can't be more frequent than its first word; this also undoes most of what the filter reads too high
+    return np.log10((np.minimum(pair, before) + MU * prob) / (before + MU))
 
 
 def _block_scorer(total: int, distinct: int, segments: int, shared):

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,31 +150,26 @@ def count_with_edits(df: DataFrame, edits: str = "edits", text: str = "text", to
 
     Adds tokens_before, tokens_after, n_pretokens (after), n_reencoded (pre-tokens encoded again) and edited (the text).
     A null text is empty, null edits or null members change nothing, places outside the text are moved to its end.
-    Special tokens' strings are ordinary text here. Rows are independent: repeated rows give repeated results.
+    Special tokens' strings are ordinary text here. Rows are independent: repeated rows give
+    repeated results, no rows none. Columns of the new names are replaced.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     columns = [("tokens_before", T.LongType()), ("tokens_after", T.LongType()), ("n_pretokens", T.LongType()), ("n_reencoded", T.LongType()), ("edited", T.StringType())]
 
-    def run(batches):
-        encoder = bpe.encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out = []
-                split = [bpe.PRETOKEN.findall(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
-                encoder.learn_pieces(set().union(*split))
-                for pieces, changes in zip(split, part.column(part.schema.get_field_index(edits)).to_pylist()):
-                    tree = TokenTree(pieces, encoder)
-                    before = tree.n_tokens
-                    for c in changes or ():
-                        if c is not None:
-                            tree.edit(c["at"] or 0, c["remove"] or 0, c["insert"] or "")
-                    out.append((before, tree.n_tokens, sum(map(len, tree.leaves)), tree.encoded, tree.text()))
-                made = [pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.string()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(c for c, _ in columns)])
-
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, t) for c, t in columns)])
-    return df.mapInArrow(run, schema)
+    def work(texts, changes):
+        encoder, out = bpe.encoder(path), []
+        split = [bpe.PRETOKEN.findall(x or "") for x in texts.to_pylist()]
+        encoder.learn_pieces(set().union(*split))
+        for pieces, wanted in zip(split, changes.to_pylist()):
+            tree = TokenTree(pieces, encoder)
+            before = tree.n_tokens
+            for c in wanted or ():
+                if c is not None:
+                    tree.edit(c["at"] or 0, c["remove"] or 0, c["insert"] or "")
+            out.append((before, tree.n_tokens, sum(map(len, tree.leaves)), tree.encoded, tree.text()))
+        return [pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.string()) for i in range(5)]
+
+    return _each_batch(df, columns, [text, edits], work)
 
 
 def revision(text: Column) -> Column:

@@ -263,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Patte
 
 def score(df: DataFrame, patterns: Patterns, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """Add `out` double, 0 to 1, to every row; null and empty texts get what a text without hits gets."""
+    rest = [c for c in df.columns if c != out]
 
     def run(batches):
         for batch in batches:
@@ -270,9 +271,10 @@ def score(df: DataFrame, patterns: Patterns, weights: np.ndarray, text: str = "t
             for body in batch.column(batch.schema.get_field_index(text)):
                 x = inputs(*patterns.hits(body.as_py()))
                 scores.append(float(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=[*rest, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
