@@ -49,7 +49,7 @@ def information(folded: DataFrame) -> DataFrame:
 def shares(weights: DataFrame, group: str, member: str, weight: str) -> DataFrame:
     """(group, member, share): weights as basis points that sum to 10,000 by largest remainder, ties to the smaller member."""
     w = Window.partitionBy(group)
-    exact = 10000.0 * (F.col(weight) / F.sum(weight).over(w))
+    exact = 10000.0 * F.try_divide(F.col(weight), F.sum(weight).over(w))
     parts = weights.select(group, member, weight, F.coalesce(exact, F.lit(0.0)).alias("exact")).withColumn("whole", F.floor("exact").cast("int"))
     ranked = w.orderBy(F.desc(F.when(F.col(weight) > 0, F.col("exact") - F.col("whole")).otherwise(-1.0)), member)
     parts = parts.withColumns({"place": F.row_number().over(ranked), "missing": F.when(F.sum(weight).over(w) > 0, 10000 - F.sum("whole").over(w)).otherwise(0)})
