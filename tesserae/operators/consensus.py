@@ -93,3 +93,14 @@ def periods(games: DataFrame) -> DataFrame:
 
     kind = games.schema["player"].dataType.simpleString()
     return games.groupBy("player").applyInPandas(run, f"player {kind}, rating double, deviation double, volatility double")
+
+
+def trust_by_id(rows: DataFrame, id_column: str) -> DataFrame:
+    """Rows with `prior`: that of the trust class whose name's text id they carry, null for others. A table of 16 rows."""
+    from tesserae.operators.text import text_ids
+
+    spark = rows.sparkSession
+    classes = spark.createDataFrame([(n, p) for n, p in R.TRUST_CLASSES], "label string, prior double")
+    ids = text_ids(classes, "label", "label").select(F.col("label"), F.col("id").alias("class_id"))
+    known = classes.join(ids, "label").select("class_id", "prior")
+    return rows.join(F.broadcast(known), F.col(id_column) == F.col("class_id"), "left").drop("class_id")

@@ -23,11 +23,11 @@ def text_ids(df: DataFrame, key: str, text: str) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), TOGETHER):
                 part, store = pdf.iloc[at : at + TOGETHER], Composer()
-                roots = [S.decompose(t, store) if t else None for t in part[text]]
+                roots = [S.decompose(t, store) if t else None for t in part["_text"]]
                 ids = store.ids()
                 yield pd.DataFrame({key: part[key], "id": [None if r is None else ids[r] for r in roots], "tier": pd.array([None if r is None else store.tier[r] for r in roots], "Int32")})
 
-    return df.select(key, text).mapInPandas(run, T.StructType([df.schema[key], T.StructField("id", T.BinaryType()), T.StructField("tier", T.IntegerType())]))
+    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, T.StructType([df.schema[key], T.StructField("id", T.BinaryType()), T.StructField("tier", T.IntegerType())]))
 
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,7 +37,7 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), TOGETHER):
                 store, rows = Composer(), []
-                for k, t in zip(pdf[key].iloc[at : at + TOGETHER], pdf[text].iloc[at : at + TOGETHER]):
+                for k, t in zip(pdf[key].iloc[at : at + TOGETHER], pdf["_text"].iloc[at : at + TOGETHER]):
                     found: list[tuple[int, int]] = []
                     start = 0
 
@@ -53,7 +53,7 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
                 yield pd.DataFrame([(*r[:4], ids[r[4]]) for r in rows], columns=[key, "pos", "offset", "length", "id"])
 
     schema = T.StructType([df.schema[key], T.StructField("pos", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("id", T.BinaryType())])
-    return df.select(key, text).mapInPandas(run, schema)
+    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, schema)
 
 
 def edges(df: DataFrame, text: str) -> DataFrame:
@@ -106,3 +106,65 @@ def realized(roots: DataFrame, edge_rows: DataFrame, root: str = "id") -> DataFr
         made = with_text.groupBy(F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("surface"))
         done = cut(done.union(made))
     return roots.join(done, F.col(root) == F.col("node"), "left").select(*roots.columns, F.col("surface").alias("text"))
+
+
+def scalars(spark, low: int = -32768, high: int = 65535) -> DataFrame:
+    """(v, id, tier): whole numbers as compositions of their digits, a fixed range of them."""
+
+    def run(batches):
+        for pdf in batches:
+            store = Composer()
+            roots = [S.integer(int(v), store) for v in pdf["id"]]
+            ids = store.ids()
+            yield pd.DataFrame({"v": pdf["id"], "id": [ids[r] for r in roots], "tier": [store.tier[r] for r in roots]})
+
+    return spark.range(low, high + 1).mapInPandas(run, "v bigint, id binary, tier int")
+
+
+def parts(edge_rows: DataFrame, root: bytes, cap: int) -> DataFrame:
+    """(ordinal, child, run, total): a root's constituents in order, `cap` vertices at most, with how many there are in all."""
+    own = edge_rows.where((F.col("parent") == F.lit(root)) & F.col("letter").isNull())
+    total = own.agg(F.sum("run").alias("total"))  # one row
+    return own.crossJoin(F.broadcast(total)).orderBy("ordinal").limit(cap).select("ordinal", "child", "run", "total")
+
+
+CLAIM, VOICE = 1, 6
+TUPLE, OPAQUE, SCALAR = 1, 2, 4
+
+
+def label(node: bytes, read, seen: tuple = ()) -> str:
+    """A display of a stored node: its text where it is text, a bracketed list of what a tuple or record holds, else its id.
+
+    read(id) gives a letter, or (flags, [(child id, run, said)]), or None. A run is shown once with its count. Raises
+    ValueError on a cycle.
+    """
+    if node in seen:
+        raise ValueError("cycle")
+    text = surface(node, read, seen)
+    if text is not None:
+        return text
+    found = read(node)
+    if found is None or isinstance(found, str) or not found[1]:
+        return node.hex()
+    shown = [label(child, read, (*seen, node)) + (f" × {run}" if run > 1 else "") for child, run, _ in found[1]]
+    return "[" + " · ".join(shown) + "]"
+
+
+def surface(node: bytes, read, seen: tuple = ()) -> str | None:
+    """The node's text if all below it is text; claims and voices are no part of it."""
+    if node in seen:
+        raise ValueError("cycle")
+    found = read(node)
+    if found is None or isinstance(found, str):
+        return found
+    flags, children = found
+    if flags & OPAQUE or (flags & TUPLE and not flags & SCALAR):
+        return None
+    out = []
+    for child, run, said in children:
+        if said not in (CLAIM, VOICE):
+            text = surface(child, read, (*seen, node))
+            if text is None:
+                return None
+            out.append(text * run)
+    return "".join(out)
