@@ -158,3 +158,46 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels"]
     return found.select("doc_id", *(F.col(f"lic_{c}").alias(c) for c in names), F.round("lic_score", 9).alias("score"))
+
+
+def _sql() -> str:
+    """The scan as DuckDB SQL, for tables whose ids are unique."""
+    keys = _key_places()
+    rows = []
+    for t, (label, text, key) in enumerate(TEMPLATES):
+        inside = range(keys[t], keys[t] + len(key.split()))
+        rows += [f"({t}, '{label}', {q}, '{w}', {str(w in FUNCTION_WORDS).lower()}, {str(q in inside).lower()})" for q, w in enumerate(text.split())]
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, p, '{label}' AS label FROM hits JOIN d USING (doc_id) WHERE word = '{phrase.split()[0]}' AND " + " AND ".join(f"w[p + {i + 1}] = '{x}'" for i, x in enumerate(phrase.split()) if i)
+        for phrase, label in PHRASES.items()
+    )
+    return f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{OUTSIDE}]+'), lambda x: x <> '') AS w FROM documents),
+tpl(t, label, q, word, func, key) AS (VALUES {", ".join(rows)}),
+voc AS (SELECT DISTINCT word, func FROM tpl),
+hits AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) JOIN voc USING (word) WHERE NOT func),
+df AS (SELECT word, count(DISTINCT doc_id) AS c FROM hits GROUP BY word),
+idf AS (SELECT voc.word, CASE WHEN func THEN 0.25 ELSE ln(((SELECT count(*) FROM d) + 1) / CAST(coalesce(c, 0) + 1 AS DOUBLE)) + 0.01 END AS v FROM voc LEFT JOIN df ON df.word = voc.word),
+rare AS (
+  SELECT doc_id, word FROM (
+    SELECT h.doc_id, h.word, row_number() OVER (PARTITION BY h.doc_id ORDER BY v DESC, h.word) AS k FROM (SELECT DISTINCT doc_id, word FROM hits) h JOIN idf ON idf.word = h.word)
+  WHERE k <= {RARE}),
+tries AS (SELECT DISTINCT h.doc_id, x.t, h.p - x.q AS o FROM hits h JOIN rare r ON r.doc_id = h.doc_id AND r.word = h.word JOIN tpl x ON x.word = h.word),
+share AS (SELECT tpl.*, v / sum(v) OVER (PARTITION BY t) AS s FROM tpl JOIN idf ON idf.word = tpl.word),
+cover AS (
+  SELECT doc_id, t, o, any_value(label) AS label, sum(CASE WHEN same THEN s ELSE 0 END) AS cover, bool_and(same OR NOT key) AS whole
+  FROM (SELECT z.doc_id, z.t, z.o, label, s, key, o + q >= 0 AND coalesce(w[o + q + 1] = word, false) AS same FROM tries z JOIN share x ON x.t = z.t JOIN d ON d.doc_id = z.doc_id)
+  GROUP BY doc_id, t, o),
+passed AS (SELECT doc_id, label, cover FROM cover WHERE whole AND cover >= {COVER}),
+base AS ({base}),
+b AS (SELECT doc_id, count(*) AS n, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM passed) GROUP BY doc_id),
+c AS (SELECT doc_id, max(cover) AS cover FROM passed GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, round(CASE WHEN b.n > 0 THEN 1.0 ELSE least(1.0, coalesce(c.cover, 0)) END, 9) AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
+SQL = _sql()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe_codec import op9_bpe_codec
 from tesserae.llm.html_text import op6_html_text
+from tesserae.llm.license_scan import SQL as LICENSE_SQL
 from tesserae.llm.license_scan import op5_license_scan
 from tesserae.llm.lm_scoring import op2_lm_scoring
 from tesserae.llm.quality_rules import SQL as QUALITY_SQL
@@ -33,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_SQL, "op8_top_k": TOP_K_SQL}
+    return {"op3_quality_rules": QUALITY_SQL, "op5_license_scan": LICENSE_SQL, "op8_top_k": TOP_K_SQL}
