@@ -15,6 +15,7 @@ from tesserae.functions import tensors as Q
 from tesserae.operators import paths as P
 from tesserae.operators import registry as R
 from tesserae.operators import text as X
+from tesserae.operators.order import numbered
 from tesserae.plans.catalogue import register
 from tesserae.sources import containers, wire
 from tesserae.sources.tables import event_sequences, table
@@ -124,9 +125,9 @@ def bit_fields(spark, sf_dir):
 
 @register("id_map", "SELECT event_type AS id, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS times FROM events GROUP BY event_type")
 def id_map(spark, sf_dir):
-    """Distinct ids numbered in the order of their first appearance. The order is taken over distinct ids alone."""
+    """Distinct ids numbered in the order of their first appearance."""
     first = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("id")).agg(F.min("event_id").alias("at"), F.count("*").alias("times"))
-    return first.select("id", (F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("n"), "times")
+    return numbered(first, ["at"]).select("id", "n", "times")
 
 
 @register("id_index", "SELECT s_suppkey, CAST(count(l_orderkey) AS BIGINT) AS matches FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey")

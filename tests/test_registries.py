@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import identity, segments
 from tesserae.operators import consensus, text
+from tesserae.operators.order import numbered
 from tesserae.sources import registries
 
 
@@ -42,6 +43,12 @@ def test_scalars_and_trust_by_id(spark):
     assert [r.prior for r in consensus.trust_by_id(rows, "i").collect()] == [0.4, None]
 
 
+def test_numbered(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("k"), F.lit(1).alias("n_"))
+    got = [(r.k, r.n) for r in numbered(df, ["k"]).collect()]
+    assert sorted(got) == [(k, i) for i, k in enumerate(sorted(k for k, _ in got))]
+
+
 def test_labels():
     world = {
         b"h": "h", b"i": "i", b"hi": (0, [(b"h", 1, 0), (b"i", 2, 0)]), b"t": (text.TUPLE, [(b"hi", 1, 0), (b"gone", 3, 0)]),
