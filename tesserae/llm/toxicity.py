@@ -14,20 +14,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tesserae.llm.common import fold_of, table
+from tesserae.llm.common import cut, fold_of, stored, table
 
 #: The fitted sample: so many labelled rows at most, those with the least hashes of their ids.
 SAMPLE = 20_000
 #: A pattern must stand in this share of the sample's toxic texts, and of those it stands in this share must be toxic.
-SUPPORT, PRECISION = 0.02, 0.8
+SUPPORT, PRECISION = 0.01, 0.8
 MOST_CANDIDATES = 20_000
-PATTERNS = 48
+PATTERNS = 96
 #: Single-pattern-set voters; with the two counting voters there are 2^(VOTERS + 2) vote patterns at most.
 VOTERS = 8
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -37,35 +39,51 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct lower-case words and, marked by ^, their beginnings."""
+    """Distinct lower-case words and, marked by ^, their beginnings (a whole word begins with itself)."""
     words = set(_WORD.findall((text or "").lower()))
     out = set(words)
     for k in BEGINNINGS:
-        out.update(["^" + w[:k] for w in words if len(w) > k])
+        out.update(["^" + w[:k] for w in words if len(w) >= k])
     return out
 
 
 class Patterns:
-    """Chosen patterns, ready to be counted in texts."""
+    """Chosen patterns, ready to be counted in texts by one automaton over all of them."""
 
     def __init__(self, chosen: list[str]):
         self.chosen = chosen
-        self.words = {p: i for i, p in enumerate(chosen) if p[0] != "^"}
-        self.begins = {p[1:]: i for i, p in enumerate(chosen) if p[0] == "^"}
-        self.lengths = sorted({len(p) for p in self.begins})
+        self.automaton = None
 
-    def hits(self, text: str | None) -> tuple[np.ndarray, int]:
-        """How often each pattern stands in the text, and how many words that have any. A word counts once."""
-        counts, total = np.zeros(len(self.chosen)), 0
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            found = {i for i in (self.words.get(word), *(self.begins.get(word[:k]) for k in self.lengths)) if i is not None}
-            total += n * bool(found)
-            for i in found:
-                counts[i] += n
-        return counts, total
+    def __getstate__(self):
+        return {"chosen": self.chosen, "automaton": None}
 
+    def _build(self) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for i, p in enumerate(self.chosen):
+            bare = p.lstrip("^")
+            held = self.automaton.get(bare, [])
+            self.automaton.add_word(bare, [*held, (i, len(bare), p[0] == "^")])
+        self.automaton.make_automaton()
 
-def choose_patterns(rows: list[tuple[int, list[int]]], names: list[str]) -> list[str]:
+    def hits(self, text: str | None) -> tuple[np.ndarray, int]:
+        """How often each pattern stands in the text, and how many words that have any: beginnings at the start of a word, words whole."""
+        counts, words = np.zeros(len(self.chosen)), set()
+        if self.chosen and text:
+            if self.automaton is None:
+                self._build()
+            text = text.lower()
+            for end, found in self.automaton.iter(text):
+                for i, size, begins in found:
+                    at = end - size + 1
+                    if at and _WORD.match(text[at - 1]):
+                        continue
+                    if begins or end + 1 == len(text) or not _WORD.match(text[end + 1]):
+                        counts[i] += 1
+                        words.add(at)
+        return counts, len(words)
+
+
+def choose_patterns(rows: list[tuple[int, list[int]]], names: list[str], n_toxic: int) -> list[str]:
     """From (toxic, candidates that stand in the text): precise patterns, by how many toxic texts they add.
 
     Of patterns that stand in nearly the same texts the longest is taken, being the least likely elsewhere.
@@ -75,7 +93,7 @@ def choose_patterns(rows: list[tuple[int, list[int]]], names: list[str]) -> list
     size = len(names)
     in_toxic = np.bincount(np.concatenate(toxic), minlength=size) if toxic else np.zeros(size)
     in_clean = np.bincount(np.concatenate(clean), minlength=size) if clean else np.zeros(size)
-    precise = (in_toxic >= max(2, SUPPORT * len(toxic))) & ((in_toxic + 0.5) / (in_toxic + in_clean + 1.0) >= PRECISION)
+    precise = (in_toxic >= max(2, SUPPORT * n_toxic)) & ((in_toxic + 0.5) / (in_toxic + in_clean + 1.0) >= PRECISION)
     where: dict[int, set[int]] = {i: set() for i in np.flatnonzero(precise)}
     for n, c in enumerate(toxic):
         for i in c[precise[c]]:
@@ -168,14 +186,14 @@ def inputs(counts: np.ndarray, total: int) -> np.ndarray:
     return np.concatenate([[1.0, np.log1p(total), np.log1p(seen), min(seen, 1.0)], counts > 0])
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression towards probabilities, by Newton's method."""
+def fit_linear(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression of rows counted n times towards probabilities, by Newton's method."""
     w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * max(1.0, len(x) / 1000))
+    penalty = np.full(x.shape[1], ridge * max(1.0, n.sum() / 1000))
     penalty[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        step = np.linalg.solve((x * (n * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (target - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -185,8 +203,6 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-2) -> np.nda
 def _map(df: DataFrame, work, schema: str) -> DataFrame:
     """mapInArrow over (doc_id, text[, toxic]) rows, with work(list of row dicts) -> list of tuples."""
     to = T._parse_datatype_string(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(to)
 
     def run(batches):
@@ -211,33 +227,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Patterns, np.ndarray, LabelModel | None]:
     """Patterns, the classifier's weights, and the label model. Without labelled toxic texts nothing scores."""
-    rows = labelled_sample(docs, labels, sample)
+    rows = stored(labelled_sample(docs, labels, sample))
 
     def toxic_features(batch):
         counts: Counter = Counter()
         for r in batch:
-            if r["toxic"]:
-                counts.update(features(r["text"]))
-        return list(counts.items()) + [("", sum(1 for r in batch if r["toxic"]))]
+            counts.update(features(r["text"]))
+        return [*counts.items(), ("", len(batch))]
 
-    found = _map(rows.where("toxic = 1"), toxic_features, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = cut(_map(rows.where("toxic = 1"), toxic_features, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n")))
     n_toxic = (found.where("feature = ''").agg(F.sum("n")).first()[0]) or 0
     if not n_toxic:
         return Patterns([]), np.array([-5.0, 0, 0, 0]), None
     # at most (features of a text) / SUPPORT can stand in that share of the texts
-    frequent = found.where((F.col("feature") != "") & (F.col("n") >= max(2, SUPPORT * n_toxic)))
-    names = sorted(r.feature for r in frequent.orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES).collect())
-    index = {f: i for i, f in enumerate(names)}
+    frequent = found.where((F.col("feature") != "") & (F.col("n") >= max(2, SUPPORT * n_toxic))).orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES)
+    in_toxic = {r.feature: r.n for r in frequent.collect()}
 
-    def standing(batch):
-        out = []
+    def clean_features(batch):
+        counts: Counter = Counter()
         for r in batch:
-            out.append((int(r["toxic"]), sorted(i for f in features(r["text"]) if (i := index.get(f)) is not None)))
-        return out
+            counts.update(features(r["text"]).intersection(in_toxic))
+        return list(counts.items())
+
+    clean = _map(rows.where("toxic = 0"), clean_features, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    in_clean = {r.feature: r.n for r in clean.collect()}
+    names = sorted(f for f, n in in_toxic.items() if (n + 0.5) / (n + in_clean.get(f, 0) + 1.0) >= PRECISION)
+    candidates = Patterns(names)
 
-    # one row of candidate numbers for each row of the bounded sample
-    incidence = [(r.toxic, r.found) for r in _map(rows, standing, "toxic int, found array<int>").collect()]
-    patterns = Patterns(choose_patterns(incidence, names))
+    def standing(batch):
+        return [(int(r["toxic"]), np.flatnonzero(candidates.hits(r["text"])[0]).tolist()) for r in batch]
+
+    # one row for each row of the bounded sample that has any precise candidate: few but toxic ones have
+    incidence = [(r.toxic, r.found) for r in _map(rows, standing, "toxic int, found array<int>").where("size(found) > 0").collect()]
+    patterns = Patterns(choose_patterns(incidence, names, n_toxic))
     if not patterns.chosen:
         return patterns, np.array([-5.0, 0, 0, 0]), None
 
@@ -247,18 +269,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Patte
 
     learning = docs.select("doc_id", "text").where(F.coalesce(fold_of("doc_id", FOLDS), F.lit(0)) != HELD_OUT)
     tally = _map(learning, cast_votes, "votes int, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
-    model = LabelModel(np.array([r.votes for r in tally]), np.array([float(r.n) for r in tally]), n_toxic / len(incidence))
+    model = LabelModel(np.array([r.votes for r in tally]), np.array([float(r.n) for r in tally]), 0.1)
 
+    # the classifier's rows are as few as the sample, but equal rows are counted before they are gathered
     def seen(batch):
-        out = []
-        for r in batch:
-            counts, total = patterns.hits(r["text"])
-            out.append((inputs(counts, total).tolist(), votes(counts, total)))
-        return out
+        return list(Counter((*inputs(*(h := patterns.hits(r["text"]))).tolist(), votes(*h)) for r in batch).items())
 
-    sampled = _map(rows, seen, "x array<double>, votes int").collect()
-    x = np.array([r.x for r in sampled])
-    return patterns, fit_linear(x, model.posterior(np.array([r.votes for r in sampled]))), model
+    rows_seen = _map(rows, lambda batch: [(list(k[:-1]), int(k[-1]), n) for k, n in seen(batch)], "x array<double>, votes int, n bigint")
+    sampled = rows_seen.groupBy("x", "votes").agg(F.sum("n").alias("n")).orderBy("votes", "x").collect()
+    x, n = np.array([r.x for r in sampled]), np.array([float(r.n) for r in sampled])
+    return patterns, fit_linear(x, model.posterior(np.array([r.votes for r in sampled])), n), model
 
 
 def score(df: DataFrame, patterns: Patterns, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
