@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tesserae.llm.common import SPACES, table, whole_text, words
+from tesserae.llm.common import SPACES, cut, stored, table, whole_text, words
 
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS = 50
@@ -17,6 +16,7 @@ MOST_DUP_LINES = 30  # per cent of lines with a word
 BAD_HOST = 0.5
 #: Limits of the prior's weight, in documents: below, a host of one document could be judged; above, no host could.
 WEIGHT = (2.0, 1000.0)
+BROADCAST_HOSTS = 200_000
 
 
 def _repeated(w: Column) -> Column:
@@ -86,8 +86,8 @@ def host_verdicts(df: DataFrame, host: str, failed: str) -> DataFrame:
     mean = F.col("failed") / F.col("docs")
     noise = mean * (1 - mean)
     between = F.col("squares") - F.col("docs") * mean * mean - (F.col("hosts") - 1) * noise
-    spread = between / (F.col("docs") - F.col("sizes") / F.col("docs"))
-    weight = F.when((F.col("hosts") < 2) | (spread <= 0) | spread.isNull(), WEIGHT[1]).otherwise(F.greatest(F.lit(WEIGHT[0]), F.least(F.lit(WEIGHT[1]), noise / spread - 1)))
+    spread = F.try_divide(between, F.col("docs") - F.col("sizes") / F.col("docs"))
+    weight = F.when((F.col("hosts") < 2) | (spread <= 0) | spread.isNull(), WEIGHT[1]).otherwise(F.greatest(F.lit(WEIGHT[0]), F.least(F.lit(WEIGHT[1]), F.try_divide(noise, spread) - 1)))
     prior = sums.select(mean.alias("prior_mean"), weight.alias("prior_weight"))
     # one row by construction: a global aggregate
     shrunk = hosts.join(F.broadcast(prior))
@@ -95,23 +95,26 @@ def host_verdicts(df: DataFrame, host: str, failed: str) -> DataFrame:
     return shrunk.select(F.col(host).alias("host"), "n", "fails", rate.alias("rate"), (rate > BAD_HOST).alias("bad"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
     """All rows of `df` with the measures, base_failed, soft_failed, host_rate and kept.
 
     kept: not base_failed, and on a bad host no soft rule failed either; a clean document stays whatever its host. New
     columns carry the prefix "q_" so that none of the input clashes. Null hosts are judged together. Repeated rows count
-    as often as they come. An empty table gives no rows.
+    as often as they come. An empty table gives no rows. Rows are measured once and stored: verdicts need all of them.
+    keep_text=False leaves the text column out.
     """
     out = measures(df, text, "q_").withColumn("q_base_failed", base_failed("q_")).withColumn("q_soft_failed", soft_failed("q_"))
-    hosts = host_verdicts(out, host, "q_soft_failed").select(F.col("host").alias("q_host"), F.col("rate").alias("q_host_rate"), F.col("bad").alias("q_bad"))
-    # as many rows as hosts: Spark broadcasts them only below its own size limit
+    out = stored(out if keep_text else out.drop(text))
+    hosts = cut(host_verdicts(out, host, "q_soft_failed").select(F.col("host").alias("q_host"), F.col("rate").alias("q_host_rate"), F.col("bad").alias("q_bad")))
+    # broadcast only up to a checked number of rows of a name and two numbers; beyond it, an ordinary join
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     joined = out.join(hosts, F.col(host).eqNullSafe(F.col("q_host")), "left")
     kept = ~F.col("q_base_failed") & ~(F.coalesce("q_bad", F.lit(False)) & F.col("q_soft_failed"))
     return joined.withColumn("q_kept", kept).drop("q_host", "q_bad")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"]
     rounded = judged.withColumn("q_host_rate", F.round("q_host_rate", 9))
     return rounded.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in names))
