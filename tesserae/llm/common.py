@@ -57,9 +57,3 @@ def words(text: Column, outside: str = SPACES) -> Column:
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % folds
-
-
-def partitions_for(df: DataFrame, text: str = "text", megabytes: int = 12, least: int = 12) -> int:
-    """How many blocks of about `megabytes` of text there are."""
-    size = df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0
-    return max(least, -(-size // (megabytes << 20)))
