@@ -80,19 +80,19 @@ def host_verdicts(df: DataFrame, host: str, failed: str) -> DataFrame:
     a + b makes the spread of true rates what is left of the spread of observed ones after binomial noise. The shrunken
     rate is (fails + a) / (n + a + b). Documents are counted per host before any shuffle, so a hot host costs nothing.
     """
-    hosts = df.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("bigint")).alias("fails"))
+    hosts = cut(df.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("bigint")).alias("fails")))
     n, k = F.col("n").cast("double"), F.col("fails").cast("double")
     sums = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(k).alias("failed"), F.sum(k * k / n).alias("squares"), F.sum(n * n).alias("sizes"))
-    mean = F.col("failed") / F.col("docs")
-    noise = mean * (1 - mean)
-    between = F.col("squares") - F.col("docs") * mean * mean - (F.col("hosts") - 1) * noise
-    spread = F.try_divide(between, F.col("docs") - F.col("sizes") / F.col("docs"))
-    weight = F.when((F.col("hosts") < 2) | (spread <= 0) | spread.isNull(), WEIGHT[1]).otherwise(F.greatest(F.lit(WEIGHT[0]), F.least(F.lit(WEIGHT[1]), F.try_divide(noise, spread) - 1)))
-    prior = sums.select(mean.alias("prior_mean"), weight.alias("prior_weight"))
-    # one row by construction: a global aggregate
-    shrunk = hosts.join(F.broadcast(prior))
-    rate = (F.col("fails") + F.col("prior_mean") * F.col("prior_weight")) / (F.col("n") + F.col("prior_weight"))
-    return shrunk.select(F.col(host).alias("host"), "n", "fails", rate.alias("rate"), (rate > BAD_HOST).alias("bad"))
+    s = sums.first()  # five numbers, whatever the hosts
+    mean, weight = 0.0, WEIGHT[1]
+    if s.docs:
+        mean = s.failed / s.docs
+        noise, room = mean * (1 - mean), s.docs - s.sizes / s.docs
+        between = s.squares - s.docs * mean * mean - (s.hosts - 1) * noise
+        if s.hosts > 1 and room > 0 and between > 0:
+            weight = max(WEIGHT[0], min(WEIGHT[1], noise / (between / room) - 1))
+    rate = (F.col("fails") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+    return hosts.select(F.col(host).alias("host"), "n", "fails", rate.alias("rate"), (rate > BAD_HOST).alias("bad"))
 
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
@@ -105,7 +105,7 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", keep_text: bo
     """
     out = measures(df, text, "q_").withColumn("q_base_failed", base_failed("q_")).withColumn("q_soft_failed", soft_failed("q_"))
     out = stored(out if keep_text else out.drop(text))
-    hosts = cut(host_verdicts(out, host, "q_soft_failed").select(F.col("host").alias("q_host"), F.col("rate").alias("q_host_rate"), F.col("bad").alias("q_bad")))
+    hosts = host_verdicts(out, host, "q_soft_failed").select(F.col("host").alias("q_host"), F.col("rate").alias("q_host_rate"), F.col("bad").alias("q_bad"))
     # broadcast only up to a checked number of rows of a name and two numbers; beyond it, an ordinary join
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     joined = out.join(hosts, F.col(host).eqNullSafe(F.col("q_host")), "left")
