@@ -13,6 +13,7 @@ BROADCAST it is broadcast; beyond that the bigrams of the texts are sent to the
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,22 +56,21 @@ def _salt(level: int) -> np.uint64:
     return np.uint64(level * int(_M3) & (1 << 64) - 1)
 
 
-def bigrams(texts: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of the texts' bigrams, each text from its start to its end token, and where each text begins."""
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    flat = np.empty(int(sizes.sum()), np.uint64)
-    end = xxhash.xxh64_intdigest(END.encode(), 7)
-    at = 0
-    for t in texts:
-        for w in set(t).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 7)
-        flat[at : at + len(t)] = np.fromiter(map(known.__getitem__, t), np.uint64, len(t))
-        flat[at + len(t)] = end
-        at += len(t) + 1
+def bigrams(texts: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """48-bit hashes of the texts' bigrams, each text from its start to its end token; where each text begins; all tokens.
+
+    `known` keeps the hashes of words from call to call.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    end = [END.encode()]
+    flat = list(chain.from_iterable(part for t in texts for part in (t, end)))
+    for w in set(flat).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, 7)
+    hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    before = np.r_[_START, flat[:-1]] if len(flat) else flat
+    before = np.r_[_START, hashes[:-1]] if len(hashes) else hashes
     before[starts] = _START
-    return _mix(before * _M3 + _mix(flat)) >> np.uint64(16), starts
+    return _mix(before * _M3 + _mix(hashes)) >> np.uint64(16), starts, flat
 
 
 class Segment:
@@ -143,7 +143,7 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
         block, every, seen = None, set(), Counter()
 
         def out():
-            names = list(every)
+            names = list(every.union(seen))
             for i in range(0, len(names), 50_000):
                 part = names[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "token": pa.array(part, pa.binary()), "n": pa.array([seen[w] for w in part], pa.int64())})
@@ -154,10 +154,11 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
                     yield from out()
                     block, every, seen = b, {END.encode()}, Counter()
                 words = tokens(text.as_py())
-                every.update(words)
                 if train:
                     seen.update(words)
                     seen[END.encode()] += 1
+                else:
+                    every.update(words)
         yield from out()
 
     return rows.select("block", "text", "train").mapInArrow(run, "block bigint, token binary, n bigint")
@@ -186,7 +187,7 @@ def _packets(rows: DataFrame, segments: int) -> DataFrame:
                 texts = [tokens(x.as_py()) for x in batch.column(0).slice(start, 512)]
                 if len(known) > 400_000:
                     known.clear()
-                found, _ = bigrams(texts, known)
+                found, _, _ = bigrams(texts, known)
                 held.append(found)
                 size += len(found)
                 if size > SEGMENT:
@@ -245,8 +246,7 @@ def _block_scorer(total: int, distinct: int, segments: int, shared):
         for start in range(0, len(docs), 256):
             part = docs.iloc[start : start + 256]
             texts = [tokens(x) for x in part["text"]]
-            hashes, starts = bigrams(texts, known)
-            flat = [w for t in texts for w in (*t, END.encode())]
+            hashes, starts, flat = bigrams(texts, known)
             c = np.fromiter(map(counts.__getitem__, flat), np.float64, len(flat))
             prob = (c + 0.5) / scale
             base = np.add.reduceat(np.log10(prob), starts)
