@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.bpe_codec import digests, round_trip
 from tesserae.llm.common import shared_checkpoints, table
+from tesserae.llm.near_copies import near_copies
 from tesserae.llm.quality_rules import judge
-from tesserae.llm.simhash import near_duplicates
 from tesserae.llm.source_mixing import mix
 from tesserae.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near-duplicates here: five words to a shingle, and the widest radius that the operator compares.
-SHINGLE, RADIUS = 5, 7
+#: Words to a shingle; near-duplicates have 0.8 or more of their shingles in common (Jaccard similarity).
+SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near-duplicates."""
     docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs.where("doc_id is not null"), size=SHINGLE, radius=RADIUS)
+    found = near_copies(docs.where("doc_id is not null"), size=SHINGLE)
     ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     repeated = ids.where("times > 1").limit(1).count() > 0
     kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("mixture", mixture), ("tokens", tokens)]
 
-#: Toxicity is a fitted model, fingerprints and BPE are byte loops: SQL can't express the stages. Tests hold them against brute force.
+#: Toxicity is a fitted model, shingles and BPE are byte loops: SQL can't express the stages. Tests hold them against brute force.
 ORACLE_SQL = None
 
 
