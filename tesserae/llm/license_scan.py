@@ -1,8 +1,7 @@
-"""Licence scans with a positional index of the templates' rare words.
+"""Licence scans with a positional index of the templates' key phrases.
 
-The postings list says at which places of which template a word stands. Of each file the licence words with the highest
-IDF in the corpus are looked up; each place p of such a word and each posting (t, q) of it propose that template t begins
-at p - q, and equal proposals of several words meet. A proposal is then checked word by word against the template, words
+Of each template the word of its key phrase with the highest IDF in the corpus is looked up, in every file and at every
+place: a place p of such a word, q words behind the template's beginning, proposes that it begins at p - q. A proposal is then checked word by word against the template, words
 weighed by IDF, and counts only if the template's key phrase stands whole at its place. All of it happens inside the row.
 """
 
@@ -36,7 +35,7 @@ TEMPLATES = (
 )
 #: Template words that say nothing about a licence; they count when a proposal is checked but are never looked up.
 FUNCTION_WORDS = set("a and any are as at by can for form free in into is it may of or person that the this to under use with without you work".split())
-#: Licence words looked up of a file, and the weighed share of a template that must stand in its place.
+#: Licence words that the SQL looks up of a file (the operator misses none), and the weighed share of a template that must stand in its place.
 RARE, COVER = 8, 0.6
 
 
@@ -87,18 +86,19 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     seen = df.select(F.array_distinct(F.filter(words(body, OUTSIDE), lambda w: w.isin(anchors))).alias("found"))
     n, counts = word_counts(seen, "found")
     idf = {w: math.log((n + 1) / (counts[w] + 1)) + 0.01 for w in vocabulary}
-    rank = {w: r for r, w in enumerate(sorted(anchors, key=lambda w: (-idf[w], w)))}
-    ranks = F.create_map(*(F.lit(x) for w in anchors for x in (w, rank[w])))
-    lists = F.create_map(*(x for w in anchors for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in index[w])))))
-    rarest = F.slice(F.array_sort(F.array_distinct(F.transform("_lic_hits", lambda x: F.element_at(ranks, x.w)))), 1, RARE)
-    rows = rows.withColumn("_lic_rare", F.when(F.size("_lic_hits") > 0, rarest))
+    # a template counts only where its key phrase stands, so the rarest word of each key phrase finds all its places
+    lead: dict[str, list[tuple[int, int]]] = {}
+    for t, ((_, _, key), start) in enumerate(zip(TEMPLATES, _key_places())):
+        w, q = min(((w, start + i) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS), key=lambda x: (-idf[x[0]], x))
+        lead.setdefault(w, []).append((t, q))
+    lists = F.create_map(*(x for w in sorted(lead) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in lead[w])))))
     proposed = F.flatten(
         F.transform(
-            F.filter("_lic_hits", lambda x: F.array_contains(F.col("_lic_rare"), F.element_at(ranks, x.w))),
+            F.filter("_lic_hits", lambda x: x.w.isin(sorted(lead))),
             lambda x: F.transform(F.element_at(lists, x.w), lambda y: F.struct(y.t.alias("t"), (x.p - y.q).alias("o"))),
         )
     )
-    rows = rows.withColumn("_lic_try", F.when(F.size("_lic_hits") > 0, F.array_distinct(proposed)))
+    rows = rows.withColumn("_lic_try", F.when(F.size("_lic_hits") > 0, proposed))
     texts = F.array(*(_literal(text.split(), "string") for _, text, _ in TEMPLATES))
     # function words weigh little, however rare they are in the corpus
     shares = F.array(*(_literal(_shares(text.split(), idf), "double") for _, text, _ in TEMPLATES))
@@ -130,7 +130,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         "lic_labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ","),
         "lic_score": F.when(F.size("_lic_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), best)),
     }
-    return rows.withColumns(made).drop("_lic_w", "_lic_hits", "_lic_rare", "_lic_try", "_lic_passed", "_lic_base")
+    return rows.withColumns(made).drop("_lic_w", "_lic_hits", "_lic_try", "_lic_passed", "_lic_base")
 
 
 def _places(w: Column, phrase: list[str], label: str) -> Column:

@@ -278,6 +278,16 @@ def test_licenses(spark, odd, nothing):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(nothing).count() == 0
 
 
+def test_licenses_of_a_file_with_every_template(spark):
+    every = ". ".join(text for _, text, _ in license_scan.TEMPLATES)
+    out = license_scan.scan(spark.createDataFrame([(1, every), (2, "bare words")], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert out[0].lic_labels.split(",") == sorted({label for label, _, _ in license_scan.TEMPLATES})
+    # without a base phrase the score is the best of all templates, not of those whose words are looked up
+    bsd, isc, domain = (next(text for label, text, _ in license_scan.TEMPLATES if label == x) for x in ("bsd", "isc", "public-domain"))
+    row = license_scan.scan(spark.createDataFrame([(1, ". ".join([bsd, isc, domain]))], "doc_id bigint, text string")).first()
+    assert (row.lic_labels, row.lic_score) == ("bsd,isc,public-domain", 1.0)
+
+
 # --- HTML
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies ok</div>
