@@ -61,7 +61,17 @@ def codepoint_ids(spark, sf_dir):
 @register("composed_paths", "SELECT count(DISTINCT path) AS ids FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path FROM events WHERE event_id % 7 = 0 GROUP BY user_id)")
 def composed_paths(spark, sf_dir):
     """Sequences composed from the ids of their members; equal sequences have equal ids."""
-    few = table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("seq"), F.struct("ts", "event_id").alias("ord"), I.id_of_text_column(F.col("event_type")).alias("id"))
+    return _composed(table(spark, sf_dir, "events").where("event_id % 7 = 0"))
+
+
+@register("composed_paths_whole", None)
+def composed_paths_whole(spark, sf_dir):
+    """As composed_paths, over all events."""
+    return _composed(table(spark, sf_dir, "events"))
+
+
+def _composed(events):
+    few = events.select(F.col("user_id").alias("seq"), F.struct("ts", "event_id").alias("ord"), I.id_of_text_column(F.col("event_type")).alias("id"))
     whole = few.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
     return whole.select(I.compose_column(F.col("ids")).alias("id")).agg(F.countDistinct("id").alias("ids"))
 
@@ -293,11 +303,21 @@ def copy_stream(spark, sf_dir):
 @register("pg_arrays", "SELECT user_id, CAST(count(*) AS INT) AS n FROM events WHERE event_id % 3 = 0 GROUP BY user_id")
 def pg_arrays(spark, sf_dir):
     """Id arrays in PostgreSQL's binary form, read back."""
+    return _arrays_read(table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+
+
+@register("pg_arrays_whole", "SELECT user_id, CAST(count(*) AS INT) AS n FROM events GROUP BY user_id")
+def pg_arrays_whole(spark, sf_dir):
+    """As pg_arrays, over all events."""
+    return _arrays_read(table(spark, sf_dir, "events"))
+
+
+def _arrays_read(events):
 
     @F.pandas_udf("int")
     def through(lists: pd.Series) -> pd.Series:
         return lists.map(lambda x: len(wire.pg_array_read(wire.pg_array([bytes(i) for i in x]))))
 
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
+    e = events.groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
     ids = e.select("user_id", F.transform("types", lambda t: F.unhex(F.md5(t.cast("binary")))).alias("ids"))
     return ids.select("user_id", through("ids").alias("n"))
