@@ -146,14 +146,15 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     tokens = list(parse(page or ""))
     best = total = spent = 0.0
     start, region = 0, (0, 0)
-    for i, (kind, name, text, _) in enumerate(tokens):
+    for i, (kind, name, text, inside) in enumerate(tokens):
         if kind == "w":
             w = weights["w:" + name]
             value = len(text.split()) * w
         else:
             value = weights.get("t:" + name, weights["t"])
         if (name if kind == "w" else text) == "out":
-            value = max(value, spent - MOST_COST)
+            # what is left out of a marked article anyway must not part it from its ends
+            value = 0.0 if inside else max(value, spent - MOST_COST)
             spent -= value
         else:
             spent = 0.0

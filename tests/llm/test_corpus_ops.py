@@ -304,6 +304,13 @@ def test_html():
     assert html_text.main_text("just words", w) == "just words"
 
 
+def test_insets_do_not_part_an_article():
+    inset = "<div class='advert'>" + "<p>buy now and more of it</p>" * 12 + "</div>"
+    page = "<body><article><p>Short lead</p>" + inset + "<p>" + "Words of the article stand here. " * 10 + "</p>" + inset + "<p>Last words</p></article></body>"
+    text = html_text.main_text(page, html_text.DEFAULT)
+    assert text.startswith("Short lead Words") and text.endswith("here. Last words") and "buy" not in text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, "u", None, "old"), (2, "u", None, "old")], "page_id bigint, url string, html string, main_text string")
     assert [r.main_text for r in html_text.extract(df).orderBy("page_id").collect()][1:] == ["", ""]
