@@ -1,10 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets decide.
 
 Texts with equal shingle sets are one node. Two nodes are candidates if they agree on all rows of one of BANDS bands; at a
-similarity of 0.8 a pair misses all bands with a chance of 4 in a million. Each bucket first proposes its members to its
+similarity of 0.8 a pair misses all bands with a chance of 3 in a million. Each bucket first proposes its members to its
 least node, and what the shingle sets confirm is linked, so that a large group of copies needs no pair of all its members.
 Then every pair of a bucket that isn't connected yet is proposed, but for those whose signatures agree so little that 0.8 is
-out of the question (beyond 4.5 standard deviations). Only confirmed pairs are linked.
+all but impossible (missed with a chance of 8 in a million). Only confirmed pairs are linked.
 """
 
 from __future__ import annotations
