@@ -5,24 +5,27 @@ level 1..q. Asking for a count is asking for membership at level 1, 2, ... until
 a level; it reads too high a one with the small chance of a false positive at each step.
 
 Probabilities are Dirichlet-smoothed: p(w | v) = (min(c(vw), c(v)) + MU p(w)) / (c(v) + MU), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
-Unigram counts are exact: they come with each block of documents as the counts of just the block's words, so no table of
-all words is ever held in one place. The filter is cut into segments by hash. As long as its measured size is below
-BROADCAST it is broadcast; beyond that the bigrams of the texts are sent to the segments instead.
+
+Texts are split into words once, into blocks of about BLOCK bytes that hold each word as a number. Unigram counts are
+exact: each block sends its distinct words to the segments of the vocabulary and gets their counts back. The filter is
+cut into segments by hash. T training tokens make a filter of 1.45 T bytes at most (see filter_bound); where that is below
+BROADCAST the filter is broadcast. What is learned must grow with the corpus, so no bound holds for all: beyond it each
+block sends its distinct bigrams to the segments, which probe the same filter and send the levels back. Both ways give
+the same scores.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
+import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tesserae.llm.common import cut, fold_of, stored, table, whole_text
 
@@ -33,17 +36,28 @@ STEP = 2.0**0.5
 FIRST, FURTHER = 8, 3
 #: Largest filter that is broadcast, in bytes.
 BROADCAST = 160 << 20
-#: Training tokens to a segment of the filter, about; documents to a block.
-SEGMENT, BLOCK = 4_000_000, 4096
+#: Training tokens to a segment of the filter, and bytes of the blocks' words to a segment of the vocabulary, about.
+SEGMENT, WORDS = 4_000_000, 32 << 20
+#: Bytes of text to a block; a longer text is a block of its own.
+BLOCK = 8 << 20
 FOLDS, HELD_OUT = 5, 1
-END = ""  # no word is empty
 _START = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(xxhash.xxh64_intdigest(b"", 7))  # no word is empty
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words, without the end token."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of all texts in one array, and how many each text has; without end tokens."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = parts.flatten()
+    keep = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    ends = np.r_[0, np.cumsum(keep)][np.cumsum(np.asarray(pc.list_value_length(parts)), dtype=np.int64)] if len(texts) else np.zeros(0, np.int64)
+    return flat.filter(pa.array(keep)), np.diff(ends, prepend=0)
+
+
+def filter_bound(tokens: int) -> int:
+    """Bytes that a filter of so many tokens can have: a bigram seen c times takes FIRST + FURTHER 2 log2(c) bits, never more than FIRST c."""
+    return math.ceil(1.4427 * FIRST * tokens / 8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,21 +70,25 @@ def _salt(level: int) -> np.uint64:
     return np.uint64(level * int(_M3) & (1 << 64) - 1)
 
 
-def bigrams(texts: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """48-bit hashes of the texts' bigrams, each text from its start to its end token; where each text begins; all tokens.
+def _scaled(x: np.ndarray, size) -> np.ndarray:
+    """A place below `size` (itself below 2^32) from the upper half of x."""
+    return (x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
-    `known` keeps the hashes of words from call to call.
-    """
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    end = [END.encode()]
-    flat = list(chain.from_iterable(part for t in texts for part in (t, end)))
-    for w in set(flat).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w, 7)
-    hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+
+def counts_of(levels: np.ndarray) -> np.ndarray:
+    """The middle of each level's counts; 0 for level 0."""
+    q = np.arange(256.0)
+    low = np.ceil(STEP ** (q - 1.0) - 1e-9)
+    high = np.maximum(low, np.ceil(STEP**q - 1e-9) - 1)
+    return np.where(q > 0, (low + high) / 2, 0.0)[levels]
+
+
+def bigrams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of all bigrams of texts with `sizes` tokens each, from their words' hashes; where each text begins."""
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    before = np.r_[_START, hashes[:-1]] if len(hashes) else hashes
+    before = np.r_[_START, words[:-1]] if len(words) else words
     before[starts] = _START
-    return _mix(before * _M3 + _mix(hashes)) >> np.uint64(16), starts, flat
+    return _mix(before * _M3 + _mix(words)) >> np.uint64(16), starts
 
 
 class Segment:
@@ -94,12 +112,12 @@ class Segment:
         x = _mix(hashes + _salt(level))
         step = _mix(x ^ _M2) | np.uint64(1)
         for _ in range(FIRST if level == 1 else FURTHER):
-            yield x % np.uint64(size)
+            yield _scaled(x, size)
             x = x + step
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """The counts that repeated probes tell: 0, or the middle of the highest level reached."""
-        level = np.zeros(len(hashes), np.int64)
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The highest level that repeated probes reach, 0 for none."""
+        level = np.zeros(len(hashes), np.uint8)
         alive = np.arange(len(hashes))
         q = 0
         while len(alive):
@@ -107,22 +125,21 @@ class Segment:
             x = _mix(hashes[alive] + _salt(q))
             step = _mix(x ^ _M2) | np.uint64(1)
             for _ in range(FIRST if q == 1 else FURTHER):
-                place = x % self.size
+                place = _scaled(x, self.size)
                 hit = (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 alive, x, step = alive[hit], x[hit] + step[hit], step[hit]
             level[alive] = q
-        low = np.ceil(STEP ** (level - 1.0) - 1e-9)
-        high = np.maximum(low, np.ceil(STEP**level - 1e-9) - 1)
-        return np.where(level > 0, (low + high) / 2, 0.0)
+        return level
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return ((hashes >> np.uint64(16)) % np.uint64(segments)).astype(np.int64)
+    """Ranges of the 48-bit hashes."""
+    return ((hashes >> np.uint64(16)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Whole numbers byte by byte, all lowest bytes first: what high bytes there are compresses to nothing."""
-    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T.tobytes()
 
 
 def _unplanes(data: bytes, kind) -> np.ndarray:
@@ -130,88 +147,187 @@ def _unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _blocked(df: DataFrame) -> DataFrame:
-    """Add `block`: rows of one partition, BLOCK of them. The input must read the same twice, as files do."""
-    row = F.monotonically_increasing_id()
-    return df.withColumn("block", F.shiftrightunsigned(row, 33) * F.lit(1 << 24) + F.floor((row % F.lit(1 << 33)) / BLOCK))
+def _record(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
-def _vocabulary(rows: DataFrame) -> DataFrame:
-    """(block, token, n): each block's distinct tokens with their count in training texts, zero too."""
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """One row for each block of about BLOCK bytes of a partition's texts: its texts' ids, `train` and numbers of tokens (the
+    end counted), its distinct words with their hashes and their counts in training texts, and all tokens as places in
+    that list (the end token: one past it)."""
+    ids = rows.schema["doc_id"].dataType
+    schema = T.StructType(
+        [T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(ids)), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))]
+        + [T.StructField(c, T.LongType()) for c in ("train_texts", "train_words")]
+        + [T.StructField("words", T.StringType())]
+        + [T.StructField(c, T.BinaryType()) for c in ("hashes", "counts", "codes")]
+    )
 
     def run(batches):
-        block, every, seen = None, set(), Counter()
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        known: dict[str, int] = {}
+        held, size, made = [], 0, TaskContext.get().partitionId() << 32
 
         def out():
-            names = list(every.union(seen))
-            for i in range(0, len(names), 50_000):
-                part = names[i : i + 50_000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "token": pa.array(part, pa.binary()), "n": pa.array([seen[w] for w in part], pa.int64())})
+            nonlocal made, size
+            doc_ids, texts, train = (pa.concat_arrays([batch.column(i) for batch in held]) for i in range(3))
+            held.clear()
+            size = 0
+            flat, sizes = tokens(texts)
+            train = np.asarray(train)
+            coded = flat.dictionary_encode()
+            codes, words = coded.indices.to_numpy(), coded.dictionary
+            names = words.to_pylist()
+            if len(known) > 500_000:
+                known.clear()
+            for w in set(names).difference(known):
+                known[w] = xxhash.xxh64_intdigest(w, 7)
+            hashes = np.fromiter(map(known.__getitem__, names), np.uint64, len(names))
+            seen = np.bincount(codes[np.repeat(train, sizes)], minlength=len(words)).astype(np.uint32)
+            codes = np.insert(codes, np.cumsum(sizes), len(words)).astype(np.int32)
+            lists = [_one_list(x) for x in (doc_ids, pa.array(train), pa.array((sizes + 1).astype(np.int32)))]
+            cells = [int(train.sum()), int(seen.sum()), " ".join(names), hashes.tobytes(), _planes(seen), _planes(codes)]
+            columns = [pa.array([made]), *lists, *(pa.array([x]) for x in cells)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            made += 1
 
         for batch in batches:
-            for b, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if b != block:
+            lengths = np.asarray(pc.binary_length(batch.column(1)))
+            first = 0
+            for i, n in enumerate(lengths.tolist()):
+                size += n
+                if size >= BLOCK:
+                    held.append(batch.slice(first, i + 1 - first))
+                    first = i + 1
                     yield from out()
-                    block, every, seen = b, {END.encode()}, Counter()
-                words = tokens(text.as_py())
-                if train:
-                    seen.update(words)
-                    seen[END.encode()] += 1
-                else:
-                    every.update(words)
-        yield from out()
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        if held:
+            yield from out()
 
-    return rows.select("block", "text", "train").mapInArrow(run, "block bigint, token binary, n bigint")
+    return rows.select("doc_id", "text", "train").mapInArrow(run, schema)
 
 
-def _packets(rows: DataFrame, segments: int) -> DataFrame:
-    """(segment, hashes, counts): the training bigrams of a stretch of rows, one packet for each segment. Hashes are sorted
-    and stored as differences; both columns lie in byte planes."""
+_WORDS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("words", T.StringType()), T.StructField("counts", T.BinaryType())])
+_ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("answer", T.BinaryType()), T.StructField("distinct", T.LongType())])
 
-    def run(batches):
-        held, size, known = [], 0, {}
 
-        def out():
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            of = segment_of(hashes, segments)
-            order = np.argsort(of, kind="stable")
-            hashes, counts, of = hashes[order], counts[order].astype(np.uint32), of[order]
-            cuts = np.searchsorted(of, np.arange(segments + 1))
-            for s in range(segments):
-                a, b = cuts[s], cuts[s + 1]
-                if b > a:
-                    yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "hashes": pa.array([_planes(np.diff(hashes[a:b], prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_planes(counts[a:b])], pa.binary())})
+def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by segment, and where each begins in it."""
+    of = segment_of(hashes >> np.uint64(16), segments)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(segments + 1))
+
 
+def _word_counts(blocks: DataFrame, segments: int) -> DataFrame:
+    """_ANSWER rows of kind 0: for each block and vocabulary segment, the training counts of the block's words there. `distinct` adds
+    up to the number of words with a count."""
+
+    def send(batches):
+        for batch in batches:
+            for block, words, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes, counts = np.frombuffer(hashes, np.uint64), _unplanes(counts, np.uint32)
+                if not len(hashes):
+                    continue
+                order, cuts = _by_segment(hashes, segments)
+                names = pc.split_pattern(pa.array([words]), " ").flatten().take(pa.array(order))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), names), " ").to_pylist()
+                counts = counts[order]
+                yield _record(_WORDS, [(s, block, joined[s], _planes(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = pc.split_pattern(table["words"].combine_chunks(), " ")
+        sizes = np.asarray(pc.list_value_length(lists))
+        seen = np.concatenate([_unplanes(x, np.uint32) for x in table["counts"].to_pylist()])
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        # whole numbers below 2^53, so the sums are exact
+        sums = np.bincount(codes, seen, minlength=len(coded.dictionary)).astype(np.uint64)
+        cuts = np.r_[0, np.cumsum(sizes)]
+        blocks, segment = table["block"].to_pylist(), table["segment"][0].as_py()
+        answers = [_planes(sums[codes[a:b]]) for a, b in zip(cuts, cuts[1:])]
+        known = int((sums > 0).sum())
+        return pa.Table.from_batches([_record(_ANSWER, [(b, 0, segment, x, known if i == 0 else 0) for i, (b, x) in enumerate(zip(blocks, answers))])])
+
+    return blocks.select("block", "words", "hashes", "counts").mapInArrow(send, _WORDS).groupBy("segment").applyInArrow(count, _ANSWER)
+
+
+def _block_bigrams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a block's bigrams, where its texts begin, and its tokens' codes."""
+    codes = _unplanes(row["codes"], np.int32)
+    hashes = np.r_[np.frombuffer(row["hashes"], np.uint64), _END]
+    found, starts = bigrams(hashes[codes], np.asarray(row["sizes"], np.int64))
+    return found, starts, codes
+
+
+_PACKET = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+
+def _packets(blocks: DataFrame, segments: int, every: bool) -> DataFrame:
+    """Each segment's distinct bigrams with their counts in training texts, sorted and stored as differences; both columns
+    lie in byte planes. With `every`, a packet for each block, and bigrams that no training text has with count 0; else
+    packets of a stretch of blocks."""
+
+    def packets(block, hashes, counts):
+        cuts = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+        rows = [(s, block, _planes(np.diff(hashes[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return [_record(_PACKET, rows)] if rows else []
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                texts = [tokens(x.as_py()) for x in batch.column(0).slice(start, 512)]
-                if len(known) > 400_000:
-                    known.clear()
-                found, _, _ = bigrams(texts, known)
-                held.append(found)
-                size += len(found)
+            for row in batch.to_pylist():
+                found, _, _ = _block_bigrams(row)
+                train = np.repeat(np.asarray(row["train"], bool), row["sizes"])
+                if every:
+                    hashes, inverse = np.unique(found, return_inverse=True)
+                    yield from packets(row["block"], hashes, np.bincount(inverse[train], minlength=len(hashes)))
+                    continue
+                held.append(found[train])
+                size += len(held[-1])
                 if size > SEGMENT:
-                    yield from out()
+                    yield from packets(None, *np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if held:
-            yield from out()
+            yield from packets(None, *np.unique(np.concatenate(held), return_counts=True))
+
+    return blocks.select("block", "train", "sizes", "hashes", "codes").mapInArrow(run, _PACKET)
+
 
-    return rows.where("train").select("text").mapInArrow(run, "segment int, hashes binary, counts binary")
+def _segment_of_packets(table: pa.Table) -> tuple[Segment, list[np.ndarray]]:
+    """The segment of the filter that the packets make, and each packet's hashes."""
+    parts = [np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in table["hashes"].to_pylist()]
+    hashes = np.concatenate(parts)
+    counts = np.concatenate([_unplanes(x, np.uint32) for x in table["counts"].to_pylist()])
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    sums = np.add.reduceat(counts, first)
+    return Segment.build(hashes[first][sums > 0], sums[sums > 0]), parts
 
 
-def _segments(packets: DataFrame) -> DataFrame:
-    """(segment, bits, size): the filter."""
+_BITS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("size", T.LongType())])
 
-    def build(pdf):
-        hashes = np.concatenate([np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]])
-        counts = np.concatenate([_unplanes(x, np.uint32) for x in pdf["counts"]])
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        s = Segment.build(hashes[first], np.add.reduceat(counts, first))
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [s.bits.tobytes()], "size": [int(s.size)]})
 
-    return packets.groupBy("segment").applyInPandas(build, "segment int, bits binary, size bigint")
+def _bits(table: pa.Table) -> pa.Table:
+    made, _ = _segment_of_packets(table)
+    return pa.Table.from_batches([_record(_BITS, [(table["segment"][0].as_py(), made.bits.tobytes(), int(made.size))])])
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    """_ANSWER rows of kind 1: the levels that the segment's filter tells for each packet's bigrams."""
+    made, parts = _segment_of_packets(table)
+    segment = table["segment"][0].as_py()
+    return pa.Table.from_batches([_record(_ANSWER, [(b, 1, segment, made.levels(x).tobytes(), 0) for b, x in zip(table["block"].to_pylist(), parts)])])
 
 
 class _Filter:
@@ -219,15 +335,14 @@ class _Filter:
 
     def __init__(self, rows):
         self.segments = {r.segment: (bytes(r.bits), r.size) for r in rows}
-        self.ready = None
-
-    def counts(self, hashes: np.ndarray, segments: int) -> np.ndarray:
-        if self.ready is None:
-            self.ready = {s: Segment(np.frombuffer(b, np.uint8), n) for s, (b, n) in self.segments.items()}
-        out, of = np.zeros(len(hashes)), segment_of(hashes, segments)
-        for s, segment in self.ready.items():
-            here = np.flatnonzero(of == s)
-            out[here] = segment.counts(hashes[here])
+
+    def levels(self, hashes: np.ndarray, segments: int) -> np.ndarray:
+        """For hashes in rising order."""
+        out = np.zeros(len(hashes), np.uint8)
+        cuts = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+        for s, (bits, size) in self.segments.items():
+            a, b = cuts[s], cuts[s + 1]
+            out[a:b] = Segment(np.frombuffer(bits, np.uint8), size).levels(hashes[a:b])
         return out
 
 
@@ -236,86 +351,67 @@ def _log_p(pair, before, prob):
     return np.log10((np.minimum(pair, before) + MU * prob) / (before + MU))
 
 
-def _block_scorer(total: int, distinct: int, segments: int, shared):
-    """For a block of texts and its words' counts: the measures, and either the score or what the segments need for it."""
+def _scorer(total: int, distinct: int, texts: int, word_segments: int, segments: int, shared, schema: T.StructType):
+    """From a block and the answers to it, the measures and the score of each of its texts."""
     scale = total + 0.5 * (distinct + 1)
 
-    def run(key, docs, vocabulary):
-        counts = dict(zip(map(bytes, vocabulary["token"]), vocabulary["c"]))
-        rows, packets, known = [], [], {}
-        for start in range(0, len(docs), 256):
-            part = docs.iloc[start : start + 256]
-            texts = [tokens(x) for x in part["text"]]
-            hashes, starts, flat = bigrams(texts, known)
-            c = np.fromiter(map(counts.__getitem__, flat), np.float64, len(flat))
-            prob = (c + 0.5) / scale
-            base = np.add.reduceat(np.log10(prob), starts)
-            have = np.add.reduceat((c > 0).astype(np.int64), starts)
-            sizes = np.diff(np.r_[starts, len(flat)])
-            before = np.r_[0.0, c[:-1]]
-            before[starts] = float(counts[END.encode()])  # as many starts as ends
-            if shared is not None:
-                score = np.add.reduceat(_log_p(shared.value.counts(hashes, segments), before, prob), starts)
-            else:
-                score = np.zeros(len(texts))
-                of, owner = segment_of(hashes, segments), np.repeat(part["row"].to_numpy(np.int64), sizes)
-                for s in range(segments):
-                    here = np.flatnonzero(of == s)
-                    if len(here):
-                        packets.append((s, *(x[here].tobytes() for x in (hashes, owner, before, prob))))
-            rows.append(pd.DataFrame({"row": part["row"].to_numpy(), "doc_id": part["doc_id"], "train": part["train"].to_numpy(), "n_tokens": sizes, "n_known": have, "base_score": base, "score": score}))
-        out = pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"row": []})
-        out["doc_id"] = out["doc_id"].astype("Int64") if len(out) else None
-        if packets:
-            out = pd.concat([out, pd.DataFrame(packets, columns=["segment", "hashes", "owner", "before", "prob"])], ignore_index=True)
-        return out.reindex(columns=[f.name for f in _SCORED])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        row = {c: left[c][0].as_py() for c in ("hashes", "codes", "sizes")}
+        answers = {(k, s): x for k, s, x in zip(*(right[c].to_pylist() for c in ("kind", "segment", "answer")))}
+        found, starts, codes = _block_bigrams(row)
+        order, _ = _by_segment(np.frombuffer(row["hashes"], np.uint64), word_segments)
+        counts = np.zeros(len(order) + 1)
+        counts[order] = np.concatenate([_unplanes(answers[0, s], np.uint64) for s in range(word_segments) if (0, s) in answers] or [np.zeros(0)])
+        counts[-1] = texts
+        prob = (counts + 0.5) / scale
+        hashes, inverse = np.unique(found, return_inverse=True)
+        if shared is not None:
+            levels = shared.value.levels(hashes, segments)
+        else:
+            levels = np.concatenate([np.frombuffer(answers[1, s], np.uint8) for s in range(segments) if (1, s) in answers])
+        before = np.r_[0.0, counts[codes[:-1]]]
+        before[starts] = float(texts)  # as many starts as ends
+        score = np.add.reduceat(_log_p(counts_of(levels)[inverse], before, prob[codes]), starts)
+        base = np.add.reduceat(np.log10(prob)[codes], starts)
+        have = np.add.reduceat((counts > 0).astype(np.int64)[codes], starts)
+        ids, train = (left[c].combine_chunks().flatten() for c in ("doc_ids", "train"))
+        columns = [ids, train, np.asarray(row["sizes"], np.int64), have, base, score]
+        return pa.Table.from_arrays([pa.array(x, f.type) if isinstance(x, np.ndarray) else x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     return run
 
 
-_SCORED = T.StructType(
-    [T.StructField(name, kind()) for name, kind in (("row", T.LongType), ("doc_id", T.LongType), ("train", T.BooleanType), ("n_tokens", T.LongType), ("n_known", T.LongType))]
-    + [T.StructField(name, T.DoubleType()) for name in ("base_score", "score")]
-    + [T.StructField("segment", T.IntegerType())]
-    + [T.StructField(name, T.BinaryType()) for name in ("hashes", "owner", "before", "prob")]
-)
-
-
-def _at_segment(key, texts, segment):
-    if not len(texts):
-        return pd.DataFrame({"row": np.zeros(0, np.int64), "score": np.zeros(0)})
-    hashes, owner = (np.concatenate([np.frombuffer(x, t) for x in texts[c]]) for c, t in (("hashes", np.uint64), ("owner", np.int64)))
-    before, prob = (np.concatenate([np.frombuffer(x, np.float64) for x in texts[c]]) for c in ("before", "prob"))
-    pair = Segment(np.frombuffer(bytes(segment["bits"].iloc[0]), np.uint8), int(segment["size"].iloc[0])).counts(hashes) if len(segment) else np.zeros(len(hashes))
-    rows, inverse = np.unique(owner, return_inverse=True)
-    return pd.DataFrame({"row": rows, "score": np.bincount(inverse, _log_p(pair, before, prob), minlength=len(rows))})
-
-
 def score(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id", broadcast: int = BROADCAST) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of `df`.
 
     `train`: a boolean column expression; the model learns from these rows alone (null: not). Null texts count as empty:
     the end token alone. Repeated rows are scored each. With nothing to learn from, all probabilities are 1 / (V + 1).
-    An empty table gives no rows. `df` must give the same rows in the same partitions when read again.
+    An empty table gives no rows. Ids may be null, repeated or of any type; other columns are not looked at. A text is
+    held whole, in a block of its own if it is longer than BLOCK.
     """
-    rows = _blocked(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train")))
-    by_token = Window.partitionBy("token")
-    words = _vocabulary(rows).select("block", "token", "n", F.sum("n").over(by_token).alias("c"), F.row_number().over(by_token.orderBy("block")).alias("k"))
-    words = stored(words)
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(((F.col("k") == 1) & (F.col("c") > 0)).cast("bigint")), F.lit(0))).first()
-    segments = max(1, -(-total // SEGMENT))
-    bits = cut(_segments(_packets(rows, segments)))
-    size = bits.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(_Filter(bits.collect())) if size <= broadcast else None
-    scorer = _block_scorer(total, distinct, segments, shared)
-    docs = rows.withColumn("row", F.monotonically_increasing_id())
-    out = docs.groupBy("block").cogroup(words.select("block", "token", "c").groupBy("block")).applyInPandas(scorer, _SCORED)
-    if shared is None:
-        out = cut(out)
-        sent = out.where("segment is not null").groupBy("segment").cogroup(bits.groupBy("segment")).applyInPandas(_at_segment, "row bigint, score double")
-        sums = sent.groupBy("row").agg(F.sum("score").alias("score"))
-        out = out.where("segment is null").drop("score").join(sums, "row")
+    rows = df.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    blocks = stored(_blocks(rows))
+    row = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_texts", "train_words", F.length("words")))).first()
+    texts, total = row[0], row[0] + row[1]
+    word_segments, segments = max(1, -(-row[2] // WORDS)), max(1, -(-total // SEGMENT))
+    answers = stored(_word_counts(blocks, word_segments))
+    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + (texts > 0)
+    shared = None
+    if filter_bound(total) <= broadcast:
+        bits = cut(_packets(blocks, segments, False).groupBy("segment").applyInArrow(_bits, _BITS))
+        shared = df.sparkSession.sparkContext.broadcast(_Filter(bits.toLocalIterator()))
+    else:
+        answers = answers.unionByName(stored(_packets(blocks, segments, True).groupBy("segment").applyInArrow(_levels, _ANSWER)))
+    schema = T.StructType(
+        [T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
+        + [T.StructField(name, T.DoubleType()) for name in ("base_score", "score")]
+    )
+    scorer = _scorer(total, distinct, texts, word_segments, segments, shared, schema)
+    own = blocks.select("block", "doc_ids", "train", "sizes", "hashes", "codes")
+    out = own.groupBy("block").cogroup(answers.select("block", "kind", "segment", "answer").groupBy("block")).applyInArrow(scorer, schema)
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
