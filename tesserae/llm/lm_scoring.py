@@ -36,13 +36,13 @@ STEP = 2.0**0.5
 FIRST, FURTHER = 8, 3
 #: Largest filter that is broadcast, in bytes.
 BROADCAST = 160 << 20
-#: Training tokens to a segment of the filter, and bytes of the blocks' words to a segment of the vocabulary, about.
-SEGMENT, WORDS = 4_000_000, 32 << 20
+#: Training tokens to a segment of the filter, and compressed bytes of the blocks' words to a segment of the vocabulary, about.
+SEGMENT, WORDS = 4_000_000, 4 << 20
 #: Bytes of text to a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 FOLDS, HELD_OUT = 5, 1
 _START = np.uint64(0x9E3779B97F4A7C15)
-_END = np.uint64(xxhash.xxh64_intdigest(b"", 7))  # no word is empty
+_END = np.uint64(xxhash.xxh64_intdigest(b"", 7) >> 16)  # no word is empty
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,14 +137,23 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(data: bytes) -> bytes:
+    """The length in eight bytes, then the data, compressed."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers byte by byte, all lowest bytes first: what high bytes there are compresses to nothing."""
-    return numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T.tobytes()
+    """Whole numbers byte by byte, all lowest bytes first, compressed: what high bytes there are takes no room."""
+    return _packed(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T.tobytes())
 
 
 def _unplanes(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_unpacked(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _record(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
@@ -166,8 +175,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     schema = T.StructType(
         [T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(ids)), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))]
         + [T.StructField(c, T.LongType()) for c in ("train_texts", "train_words")]
-        + [T.StructField("words", T.StringType())]
-        + [T.StructField(c, T.BinaryType()) for c in ("hashes", "counts", "codes")]
+        + [T.StructField(c, T.BinaryType()) for c in ("words", "hashes", "counts", "codes")]
     )
 
     def run(batches):
@@ -190,12 +198,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
             if len(known) > 500_000:
                 known.clear()
             for w in set(names).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w, 7)
+                known[w] = xxhash.xxh64_intdigest(w, 7) >> 16
             hashes = np.fromiter(map(known.__getitem__, names), np.uint64, len(names))
             seen = np.bincount(codes[np.repeat(train, sizes)], minlength=len(words)).astype(np.uint32)
             codes = np.insert(codes, np.cumsum(sizes), len(words)).astype(np.int32)
             lists = [_one_list(x) for x in (doc_ids, pa.array(train), pa.array((sizes + 1).astype(np.int32)))]
-            cells = [int(train.sum()), int(seen.sum()), " ".join(names), hashes.tobytes(), _planes(seen), _planes(codes)]
+            cells = [int(train.sum()), int(seen.sum()), _packed(" ".join(names).encode()), _planes(hashes), _planes(seen), _planes(codes)]
             columns = [pa.array([made]), *lists, *(pa.array([x]) for x in cells)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
             made += 1
@@ -217,13 +225,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "train").mapInArrow(run, schema)
 
 
-_WORDS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("words", T.StringType()), T.StructField("counts", T.BinaryType())])
+_WORDS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 _ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("answer", T.BinaryType()), T.StructField("distinct", T.LongType())])
 
 
 def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by segment, and where each begins in it."""
-    of = segment_of(hashes >> np.uint64(16), segments)
+    of = segment_of(hashes, segments)
     order = np.argsort(of, kind="stable")
     return order, np.searchsorted(of[order], np.arange(segments + 1))
 
@@ -235,17 +243,17 @@ def _word_counts(blocks: DataFrame, segments: int) -> DataFrame:
     def send(batches):
         for batch in batches:
             for block, words, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, counts = np.frombuffer(hashes, np.uint64), _unplanes(counts, np.uint32)
+                hashes, counts = _unplanes(hashes, np.uint64), _unplanes(counts, np.uint32)
                 if not len(hashes):
                     continue
                 order, cuts = _by_segment(hashes, segments)
-                names = pc.split_pattern(pa.array([words]), " ").flatten().take(pa.array(order))
+                names = pc.split_pattern(pa.array([_unpacked(words)], pa.binary()).cast(pa.string()), " ").flatten().take(pa.array(order))
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), names), " ").to_pylist()
                 counts = counts[order]
-                yield _record(_WORDS, [(s, block, joined[s], _planes(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
+                yield _record(_WORDS, [(s, block, _packed(joined[s].encode()), _planes(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
 
     def count(table: pa.Table) -> pa.Table:
-        lists = pc.split_pattern(table["words"].combine_chunks(), " ")
+        lists = pc.split_pattern(pa.array([_unpacked(x) for x in table["words"].to_pylist()], pa.binary()).cast(pa.string()), " ")
         sizes = np.asarray(pc.list_value_length(lists))
         seen = np.concatenate([_unplanes(x, np.uint32) for x in table["counts"].to_pylist()])
         coded = lists.flatten().dictionary_encode()
@@ -264,7 +272,7 @@ def _word_counts(blocks: DataFrame, segments: int) -> DataFrame:
 def _block_bigrams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a block's bigrams, where its texts begin, and its tokens' codes."""
     codes = _unplanes(row["codes"], np.int32)
-    hashes = np.r_[np.frombuffer(row["hashes"], np.uint64), _END]
+    hashes = np.r_[_unplanes(row["hashes"], np.uint64), _END]
     found, starts = bigrams(hashes[codes], np.asarray(row["sizes"], np.int64))
     return found, starts, codes
 
@@ -327,7 +335,7 @@ def _levels(table: pa.Table) -> pa.Table:
     """_ANSWER rows of kind 1: the levels that the segment's filter tells for each packet's bigrams."""
     made, parts = _segment_of_packets(table)
     segment = table["segment"][0].as_py()
-    return pa.Table.from_batches([_record(_ANSWER, [(b, 1, segment, made.levels(x).tobytes(), 0) for b, x in zip(table["block"].to_pylist(), parts)])])
+    return pa.Table.from_batches([_record(_ANSWER, [(b, 1, segment, _packed(made.levels(x).tobytes()), 0) for b, x in zip(table["block"].to_pylist(), parts)])])
 
 
 class _Filter:
@@ -362,7 +370,7 @@ def _scorer(total: int, distinct: int, texts: int, word_segments: int, segments:
         row = {c: left[c][0].as_py() for c in ("hashes", "codes", "sizes")}
         answers = {(k, s): x for k, s, x in zip(*(right[c].to_pylist() for c in ("kind", "segment", "answer")))}
         found, starts, codes = _block_bigrams(row)
-        order, _ = _by_segment(np.frombuffer(row["hashes"], np.uint64), word_segments)
+        order, _ = _by_segment(_unplanes(row["hashes"], np.uint64), word_segments)
         counts = np.zeros(len(order) + 1)
         counts[order] = np.concatenate([_unplanes(answers[0, s], np.uint64) for s in range(word_segments) if (0, s) in answers] or [np.zeros(0)])
         counts[-1] = texts
@@ -371,7 +379,7 @@ def _scorer(total: int, distinct: int, texts: int, word_segments: int, segments:
         if shared is not None:
             levels = shared.value.levels(hashes, segments)
         else:
-            levels = np.concatenate([np.frombuffer(answers[1, s], np.uint8) for s in range(segments) if (1, s) in answers])
+            levels = np.concatenate([np.frombuffer(_unpacked(answers[1, s]), np.uint8) for s in range(segments) if (1, s) in answers])
         before = np.r_[0.0, counts[codes[:-1]]]
         before[starts] = float(texts)  # as many starts as ends
         score = np.add.reduceat(_log_p(counts_of(levels)[inverse], before, prob[codes]), starts)
