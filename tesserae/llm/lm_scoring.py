@@ -37,7 +37,9 @@ FIRST, FURTHER = 8, 3
 #: Largest filter that is broadcast, in bytes.
 BROADCAST = 160 << 20
 #: Training tokens to a segment of the filter, and compressed bytes of the blocks' words to a segment of the vocabulary, about.
-SEGMENT, WORDS = 4_000_000, 4 << 20
+SEGMENT, WORDS = 2_000_000, 4 << 20
+#: Training tokens whose bigrams are counted before they are sent, and hashes that are probed at once.
+STRETCH, PROBED = 3_000_000, 1 << 17
 #: Bytes of text to a block; a longer text is a block of its own.
 BLOCK = 3 << 20
 FOLDS, HELD_OUT = 5, 1
@@ -103,8 +105,10 @@ class Segment:
         size = max(64, int(1.4427 * (FIRST * len(hashes) + FURTHER * int((levels - 1).sum()))))
         bits = np.zeros(-(-size // 8), np.uint8)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for place in Segment.places(hashes[levels >= level], level, size):
-                np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
+            here = np.flatnonzero(levels >= level)
+            for at in range(0, len(here), PROBED):
+                for place in Segment.places(hashes[here[at : at + PROBED]], level, size):
+                    np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
         return Segment(bits, size)
 
     @staticmethod
@@ -117,6 +121,8 @@ class Segment:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The highest level that repeated probes reach, 0 for none."""
+        if len(hashes) > PROBED:
+            return np.concatenate([self.levels(hashes[at : at + PROBED]) for at in range(0, len(hashes), PROBED)])
         level = np.zeros(len(hashes), np.uint8)
         alive = np.arange(len(hashes))
         q = 0
@@ -195,7 +201,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             coded = flat.dictionary_encode()
             codes, words = coded.indices.to_numpy(), coded.dictionary
             names = words.to_pylist()
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             for w in set(names).difference(known):
                 known[w] = xxhash.xxh64_intdigest(w, 7) >> 16
@@ -302,7 +308,7 @@ def _packets(blocks: DataFrame, segments: int, every: bool) -> DataFrame:
                     continue
                 held.append(found[train])
                 size += len(held[-1])
-                if size > SEGMENT:
+                if size > STRETCH:
                     yield from packets(None, *np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if held:
