@@ -38,59 +38,66 @@ def _compress(chain: np.ndarray, words: np.ndarray, counter: np.ndarray, length:
     return np.stack([v[i] ^ v[i + 8] for i in range(8)])
 
 
-def _chunks(parts: list[bytes], numbers: list[int], root: bool) -> np.ndarray:
-    """Chaining values of chunks that have equally many blocks."""
-    blocks = max(1, -(-len(parts[0]) // 64))
-    data = np.zeros((len(parts), blocks * 64), np.uint8)
-    lengths = np.array([len(p) for p in parts])
-    for i, p in enumerate(parts):
-        data[i, : len(p)] = np.frombuffer(p, np.uint8)
-    words = data.view("<u4").reshape(len(parts), blocks, 16)
-    chain = np.repeat(_IV[:, None], len(parts), axis=1)
-    counter = np.array(numbers, np.uint64)
-    for b in range(blocks):
-        last = b == blocks - 1
-        flag = (_START if b == 0 else 0) | (_END | (_ROOT if root else 0) if last else 0)
-        size = lengths - 64 * b if last else np.full(len(parts), 64)
-        chain = _compress(chain, np.ascontiguousarray(words[:, b].T), counter, size, np.full(len(parts), flag))
-    return chain
-
+def _chunks(parts: list[bytes], numbers: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Chaining values (8, n) of chunks of at most CHUNK bytes; `root` marks those that are their input's only chunk.
 
-def _long(data: bytes) -> bytes:
-    """More than one chunk: a binary tree over chunks, the left side the largest power of two."""
-    parts = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-    values = [c for c in _chunks(parts[:-1], list(range(len(parts) - 1)), False).T]
-    values.append(_chunks(parts[-1:], [len(parts) - 1], False).T[0])
+    The longest come first, so that those with a b-th block are always the first ones.
+    """
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    blocks = np.maximum(1, -(-lengths // 64))
+    order = np.argsort(-blocks, kind="stable")
+    lengths, blocks, numbers, root = lengths[order], blocks[order], numbers[order].astype(np.uint64), root[order]
+    starts = np.r_[0, np.cumsum(blocks)] * 64
+    # all chunks in one buffer, each padded to whole blocks
+    data = np.frombuffer(b"".join(x for i, n, k in zip(order.tolist(), lengths.tolist(), blocks.tolist()) for x in (parts[i], bytes(64 * k - n))), "<u4").reshape(-1, 16)
+    chain = np.repeat(_IV[:, None], len(parts), axis=1)
+    for b in range(int(blocks.max(initial=0))):
+        n = int(np.searchsorted(-blocks, -b, "left"))
+        last = blocks[:n] == b + 1
+        flags = np.where(last, _END | np.where(root[:n], _ROOT, 0), 0) | (_START if b == 0 else 0)
+        size = np.where(last, lengths[:n] - 64 * b, 64)
+        chain[:, :n] = _compress(chain[:, :n], np.ascontiguousarray(data[starts[:n] // 64 + b].T), numbers[:n], size, flags)
+    out = np.empty_like(chain)
+    out[:, order] = chain
+    return out
 
-    def join(left, right, top):
-        words = np.concatenate([left, right])[:, None]
-        flag = np.array([_PARENT | (_ROOT if top else 0)])
-        return _compress(_IV[:, None].copy(), words, np.zeros(1, np.uint64), np.array([64]), flag)[:, 0]
 
-    def tree(lo, hi, top):
-        if hi - lo == 1:
-            return values[lo]
-        left = 1 << ((hi - lo - 1).bit_length() - 1)
-        return join(tree(lo, lo + left, False), tree(lo + left, hi, False), top)
+def _hash_some(inputs: list[bytes]) -> np.ndarray:
+    """Chaining values (8, n) of whole inputs: chunks, then their trees pair by pair, level by level, all inputs at once.
 
-    return tree(0, len(values), True).astype("<u4").tobytes()[:SIZE]
+    A level's odd last value goes up as it is: so the left side of every node has the largest power of two.
+    """
+    counts = np.array([max(1, -(-len(x) // CHUNK)) for x in inputs])
+    parts = [x[i : i + CHUNK] for x in inputs for i in range(0, max(len(x), 1), CHUNK)]
+    firsts = np.r_[0, np.cumsum(counts)]
+    numbers = np.arange(len(parts)) - np.repeat(firsts[:-1], counts)
+    values = _chunks(parts, numbers, np.repeat(counts == 1, counts))
+    while (counts > 1).any():
+        at = np.arange(values.shape[1]) - np.repeat(firsts[:-1], counts)
+        size = np.repeat(counts, counts)
+        left = np.flatnonzero((at % 2 == 0) & (at + 1 < size))
+        flags = np.where(size[left] == 2, _PARENT | _ROOT, _PARENT)
+        words = np.concatenate([values[:, left], values[:, left + 1]])
+        values[:, left] = _compress(np.repeat(_IV[:, None], len(left), axis=1), words, np.zeros(len(left), np.uint64), np.full(len(left), 64), flags)
+        values = np.ascontiguousarray(values[:, at % 2 == 0])
+        counts = -(-counts // 2)
+        firsts = np.r_[0, np.cumsum(counts)]
+    return values
 
 
 def hash_many(inputs: list[bytes]) -> list[bytes]:
     """The first 16 bytes of BLAKE3 of each input."""
-    out: list[bytes] = [b""] * len(inputs)
-    groups: dict[int, list[int]] = {}
-    for i, x in enumerate(inputs):
-        if len(x) > CHUNK:
-            out[i] = _long(x)
-        else:
-            groups.setdefault(max(1, -(-len(x) // 64)), []).append(i)
-    for where in groups.values():
-        for at in range(0, len(where), 8192):
-            some = where[at : at + 8192]
-            packed = np.ascontiguousarray(_chunks([inputs[i] for i in some], [0] * len(some), True).T[:, :4]).astype("<u4")
-            for i, row in zip(some, packed):
-                out[i] = row.tobytes()
+    out: list[bytes] = []
+    at = 0
+    while at < len(inputs):
+        # as many as fit a few megabytes of padded blocks
+        end, size = at, 0
+        while end < len(inputs) and (end == at or size < 1 << 22):
+            size += len(inputs[end]) + 64
+            end += 1
+        packed = np.ascontiguousarray(_hash_some(inputs[at:end])[:4].T).astype("<u4").tobytes()
+        out += [packed[i : i + SIZE] for i in range(0, len(packed), SIZE)]
+        at = end
     return out
 
 
@@ -118,6 +125,9 @@ class Composer:
         self.number: dict[tuple[int, ...] | str, int] = {}
         self.tier: list[int] = []
         self.id: list[bytes] = []
+        #: Word segments that were decomposed, by text, and sentences by their segments.
+        self.words: dict[str, int] = {}
+        self.sentences: dict[tuple[str, ...], int] = {}
 
     def atom(self, char: str) -> int:
         return self._put(char, 0)
@@ -142,6 +152,8 @@ class Composer:
     def factor(self, items: list[int]) -> list[int]:
         """Adjacent repeats of a block of two constituents or more become copies of one composition, leftmost and shortest first."""
         size = squares(items)
+        if not any(size):
+            return items
         out: list[int] = []
         i, n = 0, len(items)
         while i < n:
@@ -178,31 +190,70 @@ class Composer:
 def squares(items: list[int]) -> list[int]:
     """For each place the shortest period p >= 2 with two equal, non-uniform blocks of length p from there on; else 0."""
     n = len(items)
+    if n < 4 or len(set(zip(items, items[1:]))) == n - 1:  # a square has its first pair twice
+        return [0] * n
+    if n > 160:
+        return _squares_of_runs(np.array(items))
     out = [0] * n
-    if n < 4:
-        return out
-    if n <= 48:
-        for i in range(n - 3):
-            first = items[i]
-            for p in range(2, (n - i) // 2 + 1):
-                if items[i + p] == first and items[i : i + p] == items[i + p : i + 2 * p] and any(x != first for x in items[i + 1 : i + p]):
-                    out[i] = p
-                    break
-        return out
-    s, found = np.array(items), np.zeros(n, np.int64)
-    # how far from each place the same item goes on
-    change = np.r_[np.flatnonzero(s[1:] != s[:-1]) + 1, n]
-    same = change[np.searchsorted(change, np.arange(n), "right")] - np.arange(n)
-    for p in range(2, n // 2 + 1):
-        differs = np.flatnonzero(s[:-p] != s[p:])
-        ends = np.r_[differs, n - p]
-        starts = np.r_[0, differs + 1]
-        long = np.flatnonzero(ends - starts >= p)
-        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
-            here = np.arange(a, b - p + 1)
-            here = here[(found[here] == 0) & (same[here] < p)]
-            found[here] = p
-    return found.tolist()
+    for i in range(n - 3):
+        first = items[i]
+        for p in range(2, (n - i) // 2 + 1):
+            if items[i + p] == first and items[i : i + p] == items[i + p : i + 2 * p] and any(x != first for x in items[i + 1 : i + p]):
+                out[i] = p
+                break
+    return out
+
+
+def _ranks(codes: np.ndarray) -> list[np.ndarray]:
+    """For k = 0, 1, ...: the ranks, from 1, of the stretches of 2^k items from each place on, cut off at the end."""
+    n, out = len(codes), [np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1]
+    while out[-1].max() < n:
+        step = 1 << len(out) - 1
+        behind = np.zeros(n, np.int64)
+        if step < n:
+            behind[: n - step] = out[-1][step:]
+        out.append(np.unique(out[-1] * (n + 1) + behind, return_inverse=True)[1].astype(np.int64) + 1)
+    return out
+
+
+def _squares_of_runs(items: np.ndarray) -> list[int]:
+    """squares() in O(n log n), by the runs theorem: every maximal repetition starts from a longest Lyndon word, in the order
+    of items or in its reverse, and that word is as long as its period. A shortest square lies in such a repetition."""
+    n = len(items)
+    levels = _ranks(items)
+    place = np.arange(n)
+
+    def common(i, j, step):
+        """How many items from i and from j on (step 1), or up to them (step -1), are equal."""
+        got = np.zeros(len(i), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            width = 1 << k
+            a, b = (i + got, j + got) if step == 1 else (i - got - width + 1, j - got - width + 1)
+            lo, hi = np.minimum(a, b), np.maximum(a, b) + width
+            ok = np.flatnonzero((lo >= 0) & (hi <= n))
+            same = ok[levels[k][a[ok]] == levels[k][b[ok]]]
+            got[same] += width
+        return got
+
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for ranks in (levels[-1], _ranks(-items)[-1]):
+        # the next smaller suffix: where the longest Lyndon word of each place ends
+        nearest, stack = [n] * n, []
+        for i, r in enumerate(ranks.tolist()):
+            while stack and stack[-1][1] > r:
+                nearest[stack.pop()[0]] = i
+            stack.append((i, r))
+        p = np.array(nearest) - place
+        use = np.flatnonzero((p >= 2) & (place + p < n))
+        i, p = place[use], p[use]
+        left, right = common(i - 1, i + p - 1, -1), common(i, i + p, 1)
+        deep = left + right >= p
+        found.append((p[deep], (i - left)[deep], (i + right - p)[deep]))
+    p, first, last = (np.concatenate(x) for x in zip(*found))
+    out = np.zeros(n, np.int64)
+    for k in np.lexsort((first, -p)).tolist():  # shorter periods are written over longer ones
+        out[first[k] : last[k] + 1] = p[k]
+    return out.tolist()
 
 
 def id_of_text_column(text: Column) -> Column:

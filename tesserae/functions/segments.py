@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import regex
 
 from tesserae.functions.identity import Composer
@@ -15,6 +17,7 @@ _LONE = regex.compile(r"(?<=[^\n\r \t][ \t]*)(?:\r\n|\n|\r)(?=[ \t]*[^\n\r \t])"
 _STOP = regex.compile(r"(?P<para>\r\n|[\n\r\x85  ])|(?P<term>[\p{SB=ATerm}\p{SB=STerm}])[\p{SB=Extend}\p{SB=Format}]*(?P<close>[\p{SB=Close}]*)(?P<space>[\p{SB=Sp}]*)(?P<sep>\r\n|[\n\r\x85  ])?")
 _LOWER_AHEAD = regex.compile(r"[^\p{SB=OLetter}\p{SB=Upper}\p{SB=Lower}\p{SB=Sep}\p{SB=CR}\p{SB=LF}\p{SB=STerm}\p{SB=ATerm}]*\p{SB=Lower}")
 _ON = regex.compile(r"[\p{SB=SContinue}\p{SB=STerm}\p{SB=ATerm}]")
+_DOT, _DIGIT, _UPPER = regex.compile(r"\p{SB=ATerm}"), regex.compile(r"\p{SB=Numeric}"), regex.compile(r"\p{SB=Upper}")
 _CASED = regex.compile(r"[\p{SB=Upper}\p{SB=Lower}]")
 
 
@@ -30,12 +33,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
         end = m.end()
         if m["term"] and not m["sep"]:
             after = text[end : end + 1]
-            dot = regex.match(r"\p{SB=ATerm}", m["term"]) is not None
+            dot = _DOT.match(m["term"]) is not None
             if not after:
                 pass
-            elif dot and not m["close"] and not m["space"] and regex.match(r"\p{SB=Numeric}", after):
+            elif dot and not m["close"] and not m["space"] and _DIGIT.match(after):
                 continue
-            elif dot and not m["close"] and not m["space"] and m.start() and _CASED.match(text[m.start() - 1]) and regex.match(r"\p{SB=Upper}", after):
+            elif dot and not m["close"] and not m["space"] and m.start() and _CASED.match(text[m.start() - 1]) and _UPPER.match(after):
                 continue
             elif dot and _LOWER_AHEAD.match(text, end):
                 continue
@@ -50,39 +53,41 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Word segments that cover every character; characters that join words stand by themselves."""
-    cuts = sorted({0, len(text), *(m.start() for m in _WORD.finditer(text))})
+    cuts = {0, len(text), *(m.start() for m in _WORD.finditer(text))}
     for m in _JOINER.finditer(text):
-        cuts += [m.start(), m.end()]
-    cuts = sorted(set(cuts))
+        cuts.update(m.span())
+    cuts = sorted(cuts)
     return list(zip(cuts, cuts[1:]))
 
 
 def decompose(text: str, store: Composer, visit=None) -> int:
     """The root of the text's tree in `store`. visit(offset, length, node) sees the word segments in order, in bytes of UTF-8."""
     shown = blanked(text)
-    paragraphs, open_sentences, at = [], [], 0
     spans = sentences(shown)
-    words = {s: e for s, e in word_spans(shown)}
-    inner = sorted(words)
-    k = 0
-    for n, (s, e) in enumerate(spans):
-        segments = []
-        while s < e:
-            while k < len(inner) and inner[k] <= s:
-                k += 1
-            end = min(e, inner[k] if k < len(inner) else e)
-            letters = [store.made([store.atom(c) for c in g]) for g in _GRAPHEME.findall(text[s:end])]
-            node = store.made(letters)
-            segments.append(node)
-            if visit is not None:
-                size = len(text[s:end].encode("utf-8", "surrogatepass"))
-                visit(at, size, node)
-                at += size
-            s = end
-        open_sentences.append(store.made(segments))
-        tail = regex.search(r"[ \t\r\n]*\Z", text[spans[n][0] : e]).span()
-        ends = any(text[spans[n][0] + i] in "\r\n" and shown[spans[n][0] + i] != " " for i in range(*tail))
-        if ends or n == len(spans) - 1:
+    cuts = sorted({x for span in (*word_spans(shown), *spans) for x in span})
+    words = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+    known, paragraphs, open_sentences = store.words, [], []
+    at = k = 0
+    for n, (start, end) in enumerate(spans):
+        first = k
+        k = bisect_left(cuts, end, first)
+        inside = tuple(words[first:k])
+        sentence = store.sentences.get(inside)
+        if sentence is None or visit is not None:
+            segments = []
+            for word in inside:
+                node = known.get(word)
+                if node is None:
+                    node = known[word] = store.made([store.made([store.atom(c) for c in g]) for g in _GRAPHEME.findall(word)])
+                segments.append(node)
+                if visit is not None:
+                    size = len(word) if word.isascii() else len(word.encode("utf-8", "surrogatepass"))
+                    visit(at, size, node)
+                    at += size
+            sentence = store.sentences[inside] = store.made(segments)
+        open_sentences.append(sentence)
+        tail = start + len(text[start:end].rstrip(" \t\r\n"))
+        if n == len(spans) - 1 or any(text[i] in "\r\n" and shown[i] != " " for i in range(tail, end)):
             paragraphs.append(store.made(open_sentences))
             open_sentences = []
     return store.made(paragraphs) if paragraphs else store.compose(())

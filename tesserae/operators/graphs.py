@@ -6,23 +6,16 @@ folder that spark.checkpoint.dir names.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.checkpoints import cut
+
 
 class CycleError(ValueError):
     """The graph isn't acyclic."""
 
 
-def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
-    return df.checkpoint(eager=True)
-
-
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): the longest way down to a leaf, edges counting their `distance`. Raises CycleError.
 

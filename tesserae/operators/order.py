@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.operators.graphs import cut
+from tesserae.operators.checkpoints import cut
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:

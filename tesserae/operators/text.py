@@ -9,11 +9,29 @@ from pyspark.sql import types as T
 
 from tesserae.functions import segments as S
 from tesserae.functions.identity import Composer
-from tesserae.operators.graphs import cut
+from tesserae.operators.checkpoints import cut
 
 EDGES = "parent binary, ordinal int, child binary, run int, tier int, letter string"
-#: Texts whose compositions are kept and hashed together.
-TOGETHER = 64
+#: Characters of text whose compositions are kept and hashed together; a longer text is by itself.
+TOGETHER = 2_000_000
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Small files make few tasks; taking texts apart costs enough to deal them to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _groups(texts: pd.Series):
+    """Ranges of rows, TOGETHER characters in each, about."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > TOGETHER:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def text_ids(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,13 +39,13 @@ def text_ids(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), TOGETHER):
-                part, store = pdf.iloc[at : at + TOGETHER], Composer()
+            for a, b in _groups(pdf["_text"]):
+                part, store = pdf.iloc[a:b], Composer()
                 roots = [S.decompose(t, store) if t else None for t in part["_text"]]
                 ids = store.ids()
                 yield pd.DataFrame({key: part[key], "id": [None if r is None else ids[r] for r in roots], "tier": pd.array([None if r is None else store.tier[r] for r in roots], "Int32")})
 
-    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, T.StructType([df.schema[key], T.StructField("id", T.BinaryType()), T.StructField("tier", T.IntegerType())]))
+    return _spread(df.select(key, F.col(text).alias("_text"))).mapInPandas(run, T.StructType([df.schema[key], T.StructField("id", T.BinaryType()), T.StructField("tier", T.IntegerType())]))
 
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,9 +53,9 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), TOGETHER):
+            for a, b in _groups(pdf["_text"]):
                 store, rows = Composer(), []
-                for k, t in zip(pdf[key].iloc[at : at + TOGETHER], pdf["_text"].iloc[at : at + TOGETHER]):
+                for k, t in zip(pdf[key].iloc[a:b], pdf["_text"].iloc[a:b]):
                     found: list[tuple[int, int]] = []
                     start = 0
 
@@ -53,7 +71,7 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
                 yield pd.DataFrame([(*r[:4], ids[r[4]]) for r in rows], columns=[key, "pos", "offset", "length", "id"])
 
     schema = T.StructType([df.schema[key], T.StructField("pos", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("id", T.BinaryType())])
-    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return _spread(df.select(key, F.col(text).alias("_text"))).mapInPandas(run, schema)
 
 
 def edges(df: DataFrame, text: str) -> DataFrame:
@@ -64,9 +82,9 @@ def edges(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), TOGETHER):
+            for a, b in _groups(pdf[text]):
                 store = Composer()
-                for t in pdf[text].iloc[at : at + TOGETHER]:
+                for t in pdf[text].iloc[a:b]:
                     if t:
                         S.decompose(t, store)
                 ids, rows = store.ids(), []
@@ -83,7 +101,7 @@ def edges(df: DataFrame, text: str) -> DataFrame:
                         i, k = j, k + 1
                 yield pd.DataFrame(rows, columns=["parent", "ordinal", "child", "run", "tier", "letter"])
 
-    return df.select(text).mapInPandas(run, EDGES).dropDuplicates(["parent", "ordinal"])
+    return _spread(df.select(text)).mapInPandas(run, EDGES).dropDuplicates(["parent", "ordinal"])
 
 
 def entities(edge_rows: DataFrame) -> DataFrame:
@@ -94,17 +112,19 @@ def entities(edge_rows: DataFrame) -> DataFrame:
 def realized(roots: DataFrame, edge_rows: DataFrame, root: str = "id") -> DataFrame:
     """(root, text) of each root: surfaces are put together from the codepoints up, one tier a round.
 
-    Every composition's surface is made once, whatever stands above it; what isn't there writes nothing.
+    Every composition's surface is made once, whatever stands above it, and written once; what isn't there writes nothing.
     """
-    done = cut(edge_rows.where("letter is not null").select(F.col("parent").alias("node"), F.col("letter").alias("surface")))
-    links = cut(edge_rows.where("letter is null"))
+    edge_rows = cut(edge_rows)
+    links = edge_rows.where("letter is null")
+    done = edge_rows.where("letter is not null").select(F.col("parent").alias("node"), F.col("letter").alias("surface"))
     tiers = sorted(r.tier for r in links.select("tier").distinct().collect())  # at most 255 numbers
     for tier in tiers:
         level = links.where(F.col("tier") == tier)
         with_text = level.join(done.select(F.col("node").alias("child"), "surface"), "child", "left")
         piece = F.struct("ordinal", F.repeat(F.coalesce("surface", F.lit("")), F.col("run")).alias("s"))
         made = with_text.groupBy(F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("surface"))
-        done = cut(done.union(made))
+        # each level is written by itself; those below stay where they are
+        done = done.union(cut(made))
     return roots.join(done, F.col(root) == F.col("node"), "left").select(*roots.columns, F.col("surface").alias("text"))
 
 

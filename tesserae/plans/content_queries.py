@@ -15,70 +15,102 @@ from tesserae.functions import tensors as Q
 from tesserae.operators import paths as P
 from tesserae.operators import registry as R
 from tesserae.operators import text as X
+from tesserae.operators.checkpoints import cut
 from tesserae.operators.order import numbered
 from tesserae.plans.catalogue import register
 from tesserae.sources import containers, wire
 from tesserae.sources.tables import event_sequences, table
 
 
-def _benchmark(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
-@register("text_segments", "SELECT item_id AS key, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS covers FROM benchmark")
+# word segments of Latin text: letters and digits together, blanks together, all else by itself; lone line breaks are blanks
+_BLANKED = "coalesce(text, '')"
+for _break, _blanks in ((r"\r\n", "  "), (r"[\n\r]", " ")):
+    for _ in range(2):  # neighbours share a character, so every other one is found at a time
+        _BLANKED = rf"regexp_replace({_BLANKED}, '([^\n\r \t][ \t]*){_break}([ \t]*[^\n\r \t])', '\1{_blanks}\2', 'g')"
+_SEGMENTS = rf"regexp_extract_all({_BLANKED}, '[0-9A-Za-zªµºÀ-ÖØ-öø-ÿ]+| +|\r\n|(?s:.)')"
+
+
+@register("text_segments", f"SELECT doc_id AS key, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_transform(s, lambda x: octet_length(encode(x))), ',')) AS lengths FROM (SELECT doc_id, {_SEGMENTS} AS s FROM documents WHERE text <> '')")
 def text_segments(spark, sf_dir):
-    s = X.segments(_benchmark(spark, sf_dir), "key", "text").groupBy("key").agg(F.sum("length").alias("bytes"), F.max(F.col("offset") + F.col("length")).alias("top"))
-    return s.select("key", "bytes", (F.col("bytes") == F.col("top")).alias("covers"))
+    """How many segments each document has, and a digest of their lengths in order."""
+    s = X.segments(_documents(spark, sf_dir), "key", "text").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "length"))).alias("s"))
+    return s.select("key", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("s", lambda x: x["length"].cast("string")), ",").cast("binary")).alias("lengths"))
 
 
-@register("text_realized", "SELECT item_id AS key, md5(text) AS digest FROM benchmark")
+@register("text_realized", "SELECT doc_id AS key, md5(text) AS digest FROM documents WHERE text <> ''")
 def text_realized(spark, sf_dir):
     """Decomposed to edges, kept once each, and put together again."""
-    b = _benchmark(spark, sf_dir)
-    back = X.realized(X.text_ids(b, "key", "text"), X.edges(b, "text"))
+    d = _documents(spark, sf_dir).where("text <> ''")
+    back = X.realized(X.text_ids(d, "key", "text"), X.edges(d, "text"))
     return back.select("key", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@register("text_ids", "SELECT count(DISTINCT text) AS ids, count(*) AS n FROM conversations")
+@register("text_ids", "SELECT md5(text) AS first, md5(text) AS last, count(*) AS n FROM conversations WHERE text <> '' GROUP BY text")
 def text_ids(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.monotonically_increasing_id().alias("key"), "text")
-    return X.text_ids(c, "key", "text").agg(F.countDistinct("id").alias("ids"), F.count("*").alias("n"))
+    """Turns by id: those of one id have one text, and those of one text one id."""
+    ids = X.text_ids(table(spark, sf_dir, "conversations").where("text <> ''").select("text"), "text", "text")
+    digest = F.md5(F.col("text").cast("binary"))
+    return ids.groupBy("id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"), F.count("*").alias("n")).drop("id")
+
+
+_GOLDEN = {"A": "32684bfa28c0c84d6f210511aace0efc", "Holmes": "5b7e40e9a23ae55eaccd45646934977d"}
+
+
+@register("golden_ids", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{i}', '{i}')" for t, i in _GOLDEN.items()) + ") v(text, tree, flat)")
+def golden_ids(spark, sf_dir):
+    """Published ids of texts, as trees and as flat sequences (for words without repeats the same)."""
+    t = X.text_ids(spark.createDataFrame([(t,) for t in _GOLDEN], "text string"), "text", "text")
+    return t.select("text", F.lower(F.hex("id")).alias("tree"), F.lower(F.hex(I.id_of_text_column(F.col("text")))).alias("flat"))
 
 
 @register("text_entities", None)
 def text_entities(spark, sf_dir):
-    e = X.entities(X.edges(_benchmark(spark, sf_dir), "text"))
+    e = X.entities(X.edges(_documents(spark, sf_dir), "text"))
     return e.groupBy("tier").agg(F.count("*").alias("entities"), F.sum("parts").alias("parts"), F.sum("vertices").alias("vertices"))
 
 
-@register("codepoint_ids", "SELECT count(DISTINCT event_type) AS ids, CAST(count(*) AS BIGINT) AS n, true AS single FROM events")
+@register("text_letters", "SELECT unicode(ch) AS cp, ch FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')")
+def text_letters(spark, sf_dir):
+    """The codepoints that all documents come down to."""
+    return X.edges(_documents(spark, sf_dir), "text").where("letter is not null").select(F.expr("ascii(letter)").alias("cp"), F.col("letter").alias("ch"))
+
+
+@register("codepoint_ids", "SELECT event_type AS first, event_type AS last, count(*) AS n FROM events GROUP BY event_type")
 def codepoint_ids(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", I.id_of_text_column(F.col("event_type")).alias("id"))
-    one = F.lit(bytes.fromhex("32684bfa28c0c84d6f210511aace0efc"))
-    return e.crossJoin(F.broadcast(spark.range(1).select(I.id_of_text_column(F.lit("A")).alias("a")))).agg(F.countDistinct("id").alias("ids"), F.count("*").alias("n"), F.max(F.col("a") == one).alias("single"))
+    return e.groupBy("id").agg(F.min("event_type").alias("first"), F.max("event_type").alias("last"), F.count("*").alias("n")).drop("id")
+
+
+_PATHS = "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path FROM events GROUP BY user_id"
 
 
-@register("composed_paths", "SELECT count(DISTINCT path) AS ids FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path FROM events WHERE event_id % 7 = 0 GROUP BY user_id)")
+@register("composed_paths", f"SELECT user_id AS seq, min(user_id) OVER (PARTITION BY path) AS twin FROM ({_PATHS})")
 def composed_paths(spark, sf_dir):
-    """Sequences composed from the ids of their members; equal sequences have equal ids."""
-    return _composed(table(spark, sf_dir, "events").where("event_id % 7 = 0"))
+    """Each user's sequence composed from the ids of its members, with the least user that has the same: equal sequences have equal ids."""
+    ids = _composed(table(spark, sf_dir, "events"))
+    return ids.join(ids.groupBy("id").agg(F.min("seq").alias("twin")), "id").select("seq", "twin")
 
 
-@register("composed_paths_whole", None)
+@register("composed_paths_whole", f"SELECT count(DISTINCT path) AS ids FROM ({_PATHS})")
 def composed_paths_whole(spark, sf_dir):
-    """As composed_paths, over all events."""
-    return _composed(table(spark, sf_dir, "events"))
+    return _composed(table(spark, sf_dir, "events")).agg(F.countDistinct("id").alias("ids"))
 
 
 def _composed(events):
-    few = events.select(F.col("user_id").alias("seq"), F.struct("ts", "event_id").alias("ord"), I.id_of_text_column(F.col("event_type")).alias("id"))
-    whole = few.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
-    return whole.select(I.compose_column(F.col("ids")).alias("id")).agg(F.countDistinct("id").alias("ids"))
+    own = events.select(F.col("user_id").alias("seq"), F.struct("ts", "event_id").alias("ord"), I.id_of_text_column(F.col("event_type")).alias("id"))
+    whole = own.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
+    return whole.select("seq", I.compose_column(F.col("ids")).alias("id"))
 
 
-@register("hex_ids", "SELECT doc_id, lower(hex(encode(left(text, 8)))) AS hex FROM documents")
+@register("hex_ids", "SELECT doc_id, lower(hex(encode(text))) AS hex, text FROM documents")
 def hex_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.encode(F.substring("text", 1, 8), "UTF-8"))).alias("hex"))
+    """Whole texts in hexadecimal and back."""
+    h = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.encode("text", "UTF-8"))).alias("hex"))
+    return h.select("doc_id", "hex", F.decode(F.unhex("hex"), "UTF-8").alias("text"))
 
 
 @register("decimal_digits", "SELECT o_orderkey, CAST(o_orderkey * 37 - 50000 AS VARCHAR) AS digits FROM orders")
@@ -94,27 +126,34 @@ def decimal_digits(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", digits(F.col("o_orderkey") * 37 - 50000).alias("digits"))
 
 
-_CP = "c AS (SELECT item_id, unnest(list_distinct(string_split(text, ''))) AS ch FROM benchmark WHERE text <> ''), p AS (SELECT item_id, ch, unicode(ch) AS cp FROM c)"
+_CP = "c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), p AS (SELECT ch, unicode(ch) AS cp FROM c)"
+_SHARD = "CASE WHEN cp <= 127 THEN 'ascii' WHEN " + " OR ".join(f"cp BETWEEN {a} AND {b}" for a, b in U.CJK) + " THEN 'cjk' WHEN cp <= 65535 AND NOT cp BETWEEN 55296 AND 57343 THEN 'utf' ELSE 'ext' END"
 
 
-@register("codepoint_shards", f"WITH {_CP} SELECT CASE WHEN cp <= 127 THEN 'ascii' ELSE 'utf' END AS shard, count(DISTINCT cp) AS letters FROM p GROUP BY 1")
+@register("codepoint_shards", f"WITH {_CP} SELECT {_SHARD} AS shard, count(*) AS letters FROM p GROUP BY 1")
 def codepoint_shards(spark, sf_dir):
-    c = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''")
-    return c.select(F.expr("ascii(ch)").alias("cp")).distinct().groupBy(U.shard(F.col("cp")).alias("shard")).agg(F.count("*").alias("letters"))
+    c = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''")
+    return c.distinct().select(F.expr("ascii(ch)").alias("cp")).groupBy(U.shard(F.col("cp")).alias("shard")).agg(F.count("*").alias("letters"))
 
 
-@register("codepoint_table", "SELECT * FROM (VALUES ('ascii', 128), ('cjk', 1)) t(shard, n) WHERE shard = 'ascii'")
+@register("codepoint_table", f"SELECT {_SHARD} AS shard, count(*) AS n, CAST(min(cp) AS INT) AS low, CAST(max(cp) AS INT) AS high, CAST(sum(cp) AS BIGINT) AS ranks, 0::BIGINT AS faults FROM range({U.COUNT}) r(cp) GROUP BY 1")
 def codepoint_table(spark, sf_dir):
-    """The first 4,096 codepoints' table, its ascii branch counted where no fault is found."""
-    t = U.build(spark, 4096)
-    f = U.faults(t).where("ids = 0 and ranks = 0 and outside = 0 and `order` = 0")
-    return U.branch(t, "ascii").groupBy("shard").agg(F.count("*").cast("int").alias("n")).join(F.broadcast(f.select(F.lit("ascii").alias("shard"))), "shard", "left_semi")
+    """The table of all codepoints, counted by shard, with what is wrong in it: repeated ids or ranks, points outside, keys out of order."""
+    t = cut(U.build(spark))
+    f = U.faults(t).select((F.col("ids") + F.col("ranks") + F.col("outside") + F.col("order")).cast("bigint").alias("faults"))
+    shards = U.branch(t, "all").groupBy("shard").agg(F.count("*").alias("n"), F.min("cp").alias("low"), F.max("cp").alias("high"), F.sum("rank").alias("ranks"))
+    return shards.crossJoin(F.broadcast(f))
 
 
-@register("codepoint_properties", "SELECT 95 AS printable, 26 AS upper")
+_CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Co".split()
+
+
+@register("codepoint_properties", f"WITH {_CP} SELECT cp, CASE " + " ".join(rf"WHEN regexp_full_match(ch, '(?s:\p{{{c}}})') THEN '{c}'" for c in _CATEGORIES) + " END AS category, CAST(upper(ch) <> ch AS BOOLEAN) AS lower FROM p WHERE cp < 592")
 def codepoint_properties(spark, sf_dir):
-    p = spark.range(128).select(U.properties(F.col("id").cast("int")).alias("p"))
-    return p.agg(F.sum((F.col("p.category") != "Cc").cast("int")).cast("int").alias("printable"), F.sum((F.col("p.category") == "Lu").cast("int")).cast("int").alias("upper"))
+    """Category of each codepoint of the documents' Latin letters and signs, and whether it has an upper case."""
+    c = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
+    p = c.select("ch", F.expr("ascii(ch)").alias("cp")).where("cp < 592")
+    return p.select("cp", U.properties(F.col("cp"))["category"].alias("category"), (F.upper("ch") != F.col("ch")).alias("lower"))
 
 
 @register("loose_names", "SELECT p_partkey, regexp_replace(lower(p_name), '[ _-]', '', 'g') AS name FROM part")
@@ -185,11 +224,14 @@ def registry_crosswalk(spark, sf_dir):
     return R.crosswalk(s, links, "nation", "region").select("s_suppkey", F.col("to_slot").alias("region"))
 
 
-@register("registry_resolve", "WITH k AS (SELECT r_name AS key, count(DISTINCT n_nationkey) AS n, min(n_nationkey) AS lone FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 5 < 2 GROUP BY r_name) SELECT key, CAST(n AS INT) AS targets, CASE WHEN n = 1 THEN lone END AS target FROM k")
+@register("registry_resolve", "WITH q AS (SELECT DISTINCT left(n_name, 1) AS key FROM nation UNION SELECT left(r_name, 1) || left(r_name, 1) FROM region) SELECT key, CAST(count(n_nationkey) AS INT) AS targets, CASE WHEN count(n_nationkey) = 1 THEN min(n_nationkey) END AS target FROM q LEFT JOIN nation ON left(n_name, 1) = key GROUP BY key")
 def registry_resolve(spark, sf_dir):
-    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation").where("n_nationkey % 5 < 2")
-    keys = r.join(n, r.r_regionkey == n.n_regionkey).select(F.lit("region").alias("namespace"), F.col("r_name").alias("key"), F.col("n_nationkey").alias("target"))
-    out = R.resolve(r.select(F.lit("region").alias("namespace"), F.col("r_name").alias("key")), keys)
+    """Nations by their first letter: one, several, or for other keys none."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    first = F.substring("n_name", 1, 1)
+    keys = n.select(F.lit("nation").alias("namespace"), first.alias("key"), F.col("n_nationkey").alias("target"))
+    asked = n.select(first.alias("key")).union(r.select(F.repeat(F.substring("r_name", 1, 1), F.lit(2)).alias("key"))).distinct()
+    out = R.resolve(asked.select(F.lit("nation").alias("namespace"), "key"), keys)
     return out.select("key", F.coalesce(F.size("targets"), F.lit(0)).alias("targets"), "target")
 
 
@@ -246,19 +288,23 @@ def tensor_sizes(spark, sf_dir):
     return t.select("dtype", "elements", Q.nbytes(F.col("dtype"), F.col("elements")).cast("bigint").alias("bytes"))
 
 
-@register("tensor_decode", "SELECT vec_id, CAST(64 AS INT) AS n, true AS f32, true AS f16, true AS bf16 FROM embeddings")
+_TO_BITS = "CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), {least}) - {bits}), 0) * pow(2.0, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), {least}) - {bits}) END"
+_ROUNDED = {"f32": "CAST(x AS DOUBLE)", "f16": _TO_BITS.format(least=-14, bits=10), "bf16": _TO_BITS.format(least=-126, bits=7)}
+
+
+@register("tensor_decode", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, " + ", ".join(f"round(list_sum(list_transform(embedding, lambda x, i: i * ({e}))), 6) AS {c}" for c, e in _ROUNDED.items()) + " FROM embeddings")
 def tensor_decode(spark, sf_dir):
-    """Embeddings as raw tensors of three types, decoded: exact, to 2^-11 and to 2^-8."""
+    """Embeddings as raw tensors of three types, decoded; of each a sum that weighs values by their places."""
 
     @F.pandas_udf("f32 binary, f16 binary, bf16 binary")
     def raw(v: pd.Series) -> pd.DataFrame:
         a = [np.asarray(x, np.float32) for x in v]
         return pd.DataFrame({"f32": [x.tobytes() for x in a], "f16": [x.astype("<f2").tobytes() for x in a], "bf16": [Q.f32_to_bf16(x).astype("<u2").tobytes() for x in a]})
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), raw("embedding").alias("r"))
-    back = e.select("vec_id", "v", *(Q.decode_column(F.col(f"r.{c}"), F.lit(c.upper())).alias(c) for c in ("f32", "f16", "bf16")))
-    close = lambda c, eps: F.forall(F.zip_with("v", c, lambda x, y: F.abs(x - y) <= eps * F.abs(x) + 1e-7), lambda ok: ok)
-    return back.select("vec_id", F.size("f32").alias("n"), (F.col("f32") == F.col("v")).alias("f32"), close("f16", 2.0**-10).alias("f16"), close("bf16", 2.0**-7).alias("bf16"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", raw("embedding").alias("r"))
+    back = e.select("vec_id", *(Q.decode_column(F.col(f"r.{c}"), F.lit(c.upper())).alias(c) for c in _ROUNDED))
+    weighed = lambda c: F.aggregate(F.transform(c, lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return back.select("vec_id", F.size("f32").alias("n"), *(F.round(weighed(c), 6).alias(c) for c in _ROUNDED))
 
 
 @register("tensor_files", "SELECT label, 'embeddings' AS name, 'F32' AS dtype, CAST(count(*) * 64 * 4 AS BIGINT) AS bytes, true AS same FROM embeddings GROUP BY label")
@@ -283,41 +329,46 @@ def ggml_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", Q.ggml_name(name).alias("name"))
 
 
-@register("ewkb_paths", "WITH p AS (SELECT user_id AS seq, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), f AS (SELECT seq, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY seq ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM p) SELECT seq, CAST(sum(fresh) AS INT) AS vertices, CAST(CASE WHEN sum(fresh) = 1 THEN 37 ELSE 9 + 32 * sum(fresh) END AS INT) AS bytes, true AS same FROM f GROUP BY seq")
+@register("ewkb_paths", "WITH p AS (SELECT user_id AS seq, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), f AS (SELECT seq, pos, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY seq ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM p), g AS (SELECT seq, event_type, sum(fresh) OVER (PARTITION BY seq ORDER BY pos) AS vertex FROM f), r AS (SELECT seq, vertex, any_value(event_type) AS event_type, count(*) AS run FROM g GROUP BY seq, vertex) SELECT seq, CAST(count(*) AS INT) AS vertices, CAST(CASE WHEN count(*) = 1 THEN 37 ELSE 9 + 32 * count(*) END AS INT) AS bytes, md5(string_agg(CAST(run AS INT), ',' ORDER BY vertex)) AS runs, CAST(count(DISTINCT event_type) AS INT) AS ids FROM r GROUP BY seq")
 def ewkb_paths(spark, sf_dir):
-    """Paths written as EWKB with packed ids, and their vertices read back."""
+    """Paths written as EWKB with packed ids, and their vertices read back: runs in order, and how many ids they have."""
     runs = P.runs(event_sequences(spark, sf_dir)).withColumn("key", I.id_of_text_column(F.col("id")))
     items = F.transform(F.array_sort(F.collect_list(F.struct("vertex", F.col("key").alias("id"), F.col("run").cast("double").alias("m"), F.lit(0).alias("spare")))), lambda x: F.struct(x["id"].alias("id"), x["m"].alias("m"), x["spare"].alias("spare")))
-    w = runs.groupBy("seq").agg(items.alias("items")).select("seq", "items", wire.path_column(F.col("items")).alias("wkb"))
-    v = w.select("seq", "items", "wkb", wire.vertices_column(F.col("wkb")).alias("v"))
-    same = F.transform("v", lambda x: x["m"]) == F.transform("items", lambda x: x["m"])
-    return v.select("seq", F.size("v").alias("vertices"), F.length("wkb").alias("bytes"), same.alias("same"))
+    w = runs.groupBy("seq").agg(items.alias("items")).select("seq", wire.path_column(F.col("items")).alias("wkb"))
+    v = w.select("seq", "wkb", wire.vertices_column(F.col("wkb")).alias("v"))
+    ids = F.array_distinct(F.transform("v", lambda p: F.struct(p["x"], p["y"], p["z"])))
+    return v.select("seq", F.size("v").alias("vertices"), F.length("wkb").alias("bytes"), F.md5(F.array_join(F.transform("v", lambda p: p["m"].cast("int").cast("string")), ",").cast("binary")).alias("runs"), F.size(ids).alias("ids"))
+
 
+_HEX = "lpad(lower(hex({0})), {1}, '0')"
+_TUPLE = "'0003' || '00000008' || " + _HEX.format("CAST(n_nationkey AS BIGINT)", 16) + " || " + _HEX.format("octet_length(encode(n_name))", 8) + " || lower(hex(encode(n_name))) || '00000004' || " + _HEX.format("n_regionkey", 8)
 
-@register("copy_stream", "SELECT CAST(21 + count(*) * (2 + 4 + 8 + 4 + 4) + sum(octet_length(encode(n_name))) + count(*) * 4 AS BIGINT) AS bytes FROM nation")
+
+@register("copy_stream", f"SELECT md5('5047434f50590aff0d0a00' || repeat('00', 8) || string_agg({_TUPLE}, '' ORDER BY n_nationkey) || 'ffff') AS digest FROM nation")
 def copy_stream(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name", "n_regionkey").coalesce(1)
-    return wire.copy_files(n).agg(F.sum(F.length("data")).cast("bigint").alias("bytes"))
+    """One COPY stream, byte for byte."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name", "n_regionkey").coalesce(1).sortWithinPartitions("k")
+    pieces = wire.copy_files(n).agg(F.array_sort(F.collect_list(F.struct("piece", F.lower(F.hex("data")).alias("hex")))).alias("p"))
+    return pieces.select(F.md5(F.array_join(F.transform("p", lambda x: x["hex"]), "").cast("binary")).alias("digest"))
 
 
-@register("pg_arrays", "SELECT user_id, CAST(count(*) AS INT) AS n FROM events WHERE event_id % 3 = 0 GROUP BY user_id")
+@register("pg_arrays", "SELECT user_id, CAST(count(*) AS INT) AS n, md5(string_agg(md5(event_type), '' ORDER BY ts, event_id)) AS ids FROM events GROUP BY user_id")
 def pg_arrays(spark, sf_dir):
     """Id arrays in PostgreSQL's binary form, read back."""
-    return _arrays_read(table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+    return _arrays_read(table(spark, sf_dir, "events"))
 
 
 @register("pg_arrays_whole", "SELECT user_id, CAST(count(*) AS INT) AS n FROM events GROUP BY user_id")
 def pg_arrays_whole(spark, sf_dir):
-    """As pg_arrays, over all events."""
-    return _arrays_read(table(spark, sf_dir, "events"))
+    return _arrays_read(table(spark, sf_dir, "events")).select("user_id", "n")
 
 
 def _arrays_read(events):
-
-    @F.pandas_udf("int")
-    def through(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: len(wire.pg_array_read(wire.pg_array([bytes(i) for i in x]))))
-
-    e = events.groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
-    ids = e.select("user_id", F.transform("types", lambda t: F.unhex(F.md5(t.cast("binary")))).alias("ids"))
-    return ids.select("user_id", through("ids").alias("n"))
+    @F.pandas_udf("n int, ids string")
+    def through(lists: pd.Series) -> pd.DataFrame:
+        back = [wire.pg_array_read(wire.pg_array([bytes(i) for i in x])) for x in lists]
+        return pd.DataFrame({"n": [len(x) for x in back], "ids": [b"".join(x).hex() for x in back]})
+
+    own = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    read = own.select("user_id", through(F.transform("e", lambda x: F.unhex(F.md5(x["event_type"].cast("binary"))))).alias("r"))
+    return read.select("user_id", "r.n", F.md5(F.col("r.ids").cast("binary")).alias("ids"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import coords as C
 from tesserae.functions import shapes, sphere
+from tesserae.operators import directions as D
 from tesserae.operators import vectors as V
 from tesserae.plans.catalogue import register
 from tesserae.sources.tables import table, trajectories
@@ -97,30 +98,28 @@ def angle4(spark, sf_dir):
     return p.select("vec_id", F.round(sphere.angle([p[f"a{d}"] for d in range(4)], [p[f"b{d}"] for d in range(4)]), 9).alias("angle"))
 
 
-@register("sphere_maps", "SELECT vec_id, true AS returns, true AS ends FROM embeddings")
+_DOT = " + ".join(f"a{d} / na * b{d} / nb" for d in range(4))
+
+
+@register("sphere_maps", f"WITH p AS (SELECT *, {_NA} AS na, {_NB} AS nb FROM ({_AB})), q AS (SELECT *, acos(greatest(-1.0, least(1.0, {_DOT}))) AS th FROM p) SELECT vec_id, " + ", ".join(f"round((b{d} / nb - cos(th) * a{d} / na) * th / sin(th), 6) AS t{d}, round(sin(0.7 * th) / sin(th) * a{d} / na + sin(0.3 * th) / sin(th) * b{d} / nb, 6) AS s{d}, round(b{d} / nb, 6) AS e{d}" for d in range(4)) + " FROM q")
 def sphere_maps(spark, sf_dir):
-    """exp undoes log, and slerp's ends are its arguments, to 1e-9."""
+    """log at one point of another, what exp makes of it, and the point three tenths along the arc."""
     p = _points(spark, sf_dir)
     u = p.select("vec_id", F.array(*sphere.unit([p[f"a{d}"] for d in range(4)])).alias("u"), F.array(*sphere.unit([p[f"b{d}"] for d in range(4)])).alias("v"))
     a, b = sphere.point(F.col("u")), sphere.point(F.col("v"))
-    t = u.select("vec_id", "u", "v", F.array(*sphere.log(a, b)).alias("t"), F.array(*sphere.slerp(a, b, F.lit(0.0))).alias("s0"), F.array(*sphere.slerp(a, b, F.lit(1.0))).alias("s1"))
-    back = sphere.exp(sphere.point(F.col("u")), sphere.point(F.col("t")))
-    ends = (sphere.distance(sphere.point(F.col("s0")), a) < 1e-9) & (sphere.distance(sphere.point(F.col("s1")), b) < 1e-9)
-    return t.select("vec_id", (sphere.distance(back, b) < 1e-9).alias("returns"), ends.alias("ends"))
+    t = u.select("vec_id", "u", F.array(*sphere.log(a, b)).alias("t"), F.array(*sphere.slerp(a, b, F.lit(0.3))).alias("s"))
+    e = t.select("vec_id", "t", "s", F.array(*sphere.exp(a, sphere.point(F.col("t")))).alias("e"))
+    return e.select("vec_id", *(F.round(F.col(c)[d], 6).alias(f"{c}{d}") for d in range(4) for c in "tse"))
 
 
 @register("direction_means", None)
 def direction_means(spark, sf_dir):
-    """Karcher mean and dominant direction of each label's points. Means of directions need all points of a label at once."""
-
-    def means(pdf):
-        p = pdf[["a0", "a1", "a2", "a3"]].to_numpy()
-        p = p / np.sqrt((p * p).sum(axis=1))[:, None]
-        k = sphere.karcher_mean(p)
-        e = sphere.dominant(sphere.sorted_points(p).T @ sphere.sorted_points(p))
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "karcher": [None if k is None else np.round(k, 9)], "eigen": [np.round(e, 9)]})
-
-    return _points(spark, sf_dir).groupBy("label").applyInPandas(means, "label int, karcher array<double>, eigen array<double>")
+    """Karcher mean and dominant direction of each label's points."""
+    p, at = _points(spark, sf_dir), ["a0", "a1", "a2", "a3"]
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 9))
+    axes = D.dominant_directions(p, "label", at).withColumnRenamed("label", "of")
+    both = D.karcher_means(p, "label", at).join(axes, F.col("label").eqNullSafe(F.col("of")))
+    return both.select("label", rounded("karcher").alias("karcher"), rounded("eigen").alias("eigen"))
 
 
 def _pairs(spark, sf_dir):
@@ -138,11 +137,26 @@ def hausdorff4(spark, sf_dir):
     return _pairs(spark, sf_dir).select("vec_id", F.round(shapes.hausdorff_column(F.col("a"), F.col("b")), 9).alias("dist"))
 
 
-@register("trajectory_measures", None)
+# the three dynamic programs row by row, each row a list that grows from left to right
+
+
+@register("trajectory_measures", f"""WITH RECURSIVE {_TRAJ}, g AS (SELECT vec_id, i, list(gap ORDER BY j) AS gap FROM d GROUP BY vec_id, i),
+w AS (SELECT DISTINCT vec_id, -1 AS i, list_prepend(0.0, list_transform(range(16), lambda x: CAST('inf' AS DOUBLE))) AS f, list_prepend(0.0, list_transform(range(16), lambda x: CAST('inf' AS DOUBLE))) AS t, list_transform(range(17), lambda x: CAST(x AS DOUBLE)) AS e FROM g
+UNION ALL SELECT w.vec_id, w.i + 1, list_reduce(list_transform(range(1, 17), lambda j: [CAST(j AS DOUBLE)]), lambda acc, j: list_append(acc, greatest(g.gap[CAST(j[1] AS INT)], least(f[CAST(j[1] AS INT)], f[CAST(j[1] AS INT) + 1], acc[-1]))), [CAST('inf' AS DOUBLE)]),
+ list_reduce(list_transform(range(1, 17), lambda j: [CAST(j AS DOUBLE)]), lambda acc, j: list_append(acc, g.gap[CAST(j[1] AS INT)] + least(t[CAST(j[1] AS INT)], t[CAST(j[1] AS INT) + 1], acc[-1])), [CAST('inf' AS DOUBLE)]),
+ list_reduce(list_transform(range(1, 17), lambda j: [CAST(j AS DOUBLE)]), lambda acc, j: list_append(acc, least(e[CAST(j[1] AS INT) + 1] + 1, acc[-1] + 1, e[CAST(j[1] AS INT)] + CASE WHEN g.gap[CAST(j[1] AS INT)] <= 0.3 THEN 0 ELSE 1 END)), [CAST(w.i + 2 AS DOUBLE)])
+ FROM w JOIN g ON g.vec_id = w.vec_id AND g.i = w.i + 1)
+SELECT vec_id, round(f[17], 9) AS frechet, round(t[17], 9) AS dtw, CAST(e[17] AS BIGINT) AS edr FROM w WHERE i = 15""")
 def trajectory_measures(spark, sf_dir):
-    a, b = F.col("a"), F.col("b")
-    p = _pairs(spark, sf_dir).select("vec_id", shapes.frechet_column(a, b).alias("frechet"), shapes.frechet_column(a, b, 1).alias("frechet1"), shapes.dtw_column(a, b).alias("dtw"), shapes.edr_column(a, b, 0.3).alias("edr"))
-    return p.select("vec_id", F.round("frechet", 9).alias("frechet"), F.round("frechet1", 9).alias("frechet_skip1"), F.round("dtw.dist", 9).alias("dtw"), F.col("dtw.steps").alias("dtw_steps"), "edr")
+    p = _pairs(spark, sf_dir).select("vec_id", shapes.measures_column(F.col("a"), F.col("b"), 0.3).alias("s"))
+    return p.select("vec_id", F.round("s.frechet", 9).alias("frechet"), F.round("s.dtw", 9).alias("dtw"), F.col("s.edr").alias("edr"))
+
+
+@register("trajectory_skips", None)
+def trajectory_skips(spark, sf_dir):
+    """The Frechet distance with one vertex of each side passed over, and the length of the warping walk."""
+    p = _pairs(spark, sf_dir).select("vec_id", shapes.measures_column(F.col("a"), F.col("b"), 0.3).alias("s"))
+    return p.select("vec_id", F.round("s.frechet_skips", 9).alias("frechet_skip1"), F.col("s.dtw_steps").alias("dtw_steps"))
 
 
 _I8 = "list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 127) AS INT))"

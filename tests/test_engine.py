@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import codepoints, coords, identity, json_values, ratings, segments, shapes, sphere, tensors, vertex
-from tesserae.operators import consensus, graphs, paths, registry, text, vectors
+from tesserae.operators import consensus, directions, graphs, paths, registry, text, vectors
 from tesserae.sources import containers, wire
 
 
@@ -187,12 +187,19 @@ def test_shapes():
     assert shapes.edr(a, b, 1.5) == d[12, 9]
 
 
-def test_sphere_means():
+def test_sphere_means(spark):
     ring = np.array([[math.cos(t), math.sin(t), 0, 0] for t in np.arange(6) / 40])
-    mean = sphere.karcher_mean(ring[np.random.default_rng(7).permutation(6)])
-    assert np.allclose(mean, [math.cos(2.5 / 40), math.sin(2.5 / 40), 0, 0])
-    assert sphere.karcher_mean(ring[:0]) is None
-    assert np.allclose(np.abs(sphere.dominant(ring.T @ ring)), np.abs(mean), atol=1e-3)
+    rows = [("ring", *map(float, p)) for p in ring] + [("lone", 0.0, 0.0, 3.0, 0.0), ("nowhere", 0.0, 0.0, 0.0, 0.0), (None, 2.0, 0.0, 0.0, 0.0)]
+    rows += [("even", 1.0, 0.0, 0.0, 0.0), ("even", -1.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, c double, d double")
+    got = {r.k: r.karcher for r in directions.karcher_means(df, "k", list("abcd")).collect()}
+    large = {r.k: r.karcher for r in directions.karcher_means(df, "k", list("abcd"), gathered=1).collect()}
+    assert got.keys() == large.keys() and all(a is b or np.allclose(a, b, atol=1e-11) for a, b in ((got[k], large[k]) for k in got))
+    assert np.allclose(got["ring"], [math.cos(2.5 / 40), math.sin(2.5 / 40), 0, 0], atol=1e-11)
+    assert got["lone"] == [0, 0, 1, 0] and got["nowhere"] is None and got["even"] == [-1, 0, 0, 0]
+    axis = {r.k: r.eigen for r in directions.dominant_directions(df, "k", list("abcd")).collect()}
+    assert np.allclose(axis["ring"], got["ring"], atol=1e-3) and axis["nowhere"] is None
+    assert np.allclose(np.abs(sphere.dominant(ring.T @ ring)), np.abs(got["ring"]), atol=1e-3)
 
 
 def test_angles(spark):
