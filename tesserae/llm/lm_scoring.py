@@ -41,7 +41,7 @@ SEGMENT, WORDS = 2_000_000, 4 << 20
 #: Training tokens whose bigrams are counted before they are sent, and hashes that are probed at once.
 STRETCH, PROBED = 3_000_000, 1 << 17
 #: Bytes of text to a block; a longer text is a block of its own.
-BLOCK = 3 << 20
+BLOCK = 5 << 20
 FOLDS, HELD_OUT = 5, 1
 _START = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(xxhash.xxh64_intdigest(b"", 7) >> 16)  # no word is empty
@@ -145,7 +145,7 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
 
 def _packed(data: bytes) -> bytes:
     """The length in eight bytes, then the data, compressed."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes) -> bytes:
