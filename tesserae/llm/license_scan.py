@@ -8,6 +8,7 @@ weighed by IDF, and counts only if the template's key phrase stands whole at its
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,30 +36,25 @@ TEMPLATES = (
 )
 #: Template words that say nothing about a licence; they count when a proposal is checked but are never looked up.
 FUNCTION_WORDS = set("a and any are as at by can for form free in into is it may of or person that the this to under use with without you work".split())
-#: Licence words that the SQL looks up of a file (the operator misses none), and the weighed share of a template that must stand in its place.
-RARE, COVER = 8, 0.6
+#: The weighed share of a template that must stand in its place.
+COVER = 0.6
+Template = tuple[str, str, str]
 
 
-def postings() -> dict[str, list[tuple[int, int]]]:
-    out: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for q, w in enumerate(text.split()):
-            out.setdefault(w, []).append((t, q))
-    return out
-
-
-def _key_places() -> list[int]:
-    """Where each template's key phrase begins, in words."""
+def _key_places(templates: Sequence[Template]) -> list[int]:
+    """Where each template's key phrase begins, in words. It must stand in the template and have a word that is looked up."""
     out = []
-    for _, text, key in TEMPLATES:
+    for label, text, key in templates:
         t, k = text.split(), key.split()
-        out.append(next(i for i in range(len(t)) if t[i : i + len(k)] == k))
+        places = [i for i in range(len(t)) if k and t[i : i + len(k)] == k]
+        if not places or set(k) <= FUNCTION_WORDS:
+            raise ValueError(f"the key phrase of a template of {label} isn't in it or says nothing")
+        out.append(places[0])
     return out
 
 
-def word_counts(df: DataFrame, found: str) -> tuple[int, dict[str, int]]:
+def word_counts(df: DataFrame, found: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """Rows, and for each licence word in how many rows of `found` it stands: as many numbers as the templates have words."""
-    vocabulary = sorted(postings())
     sums = [F.sum(F.array_contains(found, w).cast("bigint")).alias(f"c{i}") for i, w in enumerate(vocabulary)]
     row = df.where(F.size(found) > 0).agg(*sums).first()
     return df.count(), {w: row[i] or 0 for i, w in enumerate(vocabulary)}
@@ -68,15 +64,17 @@ def _literal(values: list, kind: str) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
+def scan(df: DataFrame, text: str = "text", templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """All rows of `df` with lic_n_words, lic_n_base, lic_first_word, lic_last_word, lic_base_labels, lic_labels, lic_score.
 
     Base labels come from consecutive words alone; lic_labels adds the templates that pass. The score is 1 where a base
     phrase stands, else the largest weighed share of a template that passed, else 0. Null texts are empty: no words, no
     labels (empty strings), null places. Rows are independent of each other but for the corpus-wide IDF. No rows: no rows.
+    The work is in proportion to a text's words, whatever they are. Columns of `df` with these names are replaced.
+
+    `templates`: (label, text, key phrase), of lower-case words with single spaces; a text may be a whole licence.
     """
-    index = postings()
-    vocabulary = sorted(index)
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
     body = ascii_lower(whole_text(text))
     rows = df.withColumn("_lic_w", words(body, OUTSIDE))
     placed = F.transform("_lic_w", lambda w, i: F.struct(w.alias("w"), i.alias("p")))
@@ -84,11 +82,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_lic_hits", F.filter(placed, lambda x: x.w.isin(anchors)))
     # the corpus statistics: one pass that keeps only sums
     seen = df.select(F.array_distinct(F.filter(words(body, OUTSIDE), lambda w: w.isin(anchors))).alias("found"))
-    n, counts = word_counts(seen, "found")
+    n, counts = word_counts(seen, "found", vocabulary)
     idf = {w: math.log((n + 1) / (counts[w] + 1)) + 0.01 for w in vocabulary}
     # a template counts only where its key phrase stands, so the rarest word of each key phrase finds all its places
     lead: dict[str, list[tuple[int, int]]] = {}
-    for t, ((_, _, key), start) in enumerate(zip(TEMPLATES, _key_places())):
+    for t, ((_, _, key), start) in enumerate(zip(templates, _key_places(templates))):
         w, q = min(((w, start + i) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS), key=lambda x: (-idf[x[0]], x))
         lead.setdefault(w, []).append((t, q))
     lists = F.create_map(*(x for w in sorted(lead) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in lead[w])))))
@@ -99,11 +97,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         )
     )
     rows = rows.withColumn("_lic_try", F.when(F.size("_lic_hits") > 0, proposed))
-    texts = F.array(*(_literal(text.split(), "string") for _, text, _ in TEMPLATES))
+    texts = F.array(*(_literal(text.split(), "string") for _, text, _ in templates))
     # function words weigh little, however rare they are in the corpus
-    shares = F.array(*(_literal(_shares(text.split(), idf), "double") for _, text, _ in TEMPLATES))
-    keys = F.array(*(_literal(key.split(), "string") for _, _, key in TEMPLATES))
-    starts = _literal(_key_places(), "int")
+    shares = F.array(*(_literal(_shares(text.split(), idf), "double") for _, text, _ in templates))
+    keys = F.array(*(_literal(key.split(), "string") for _, _, key in templates))
+    starts = _literal(_key_places(templates), "int")
     w = F.col("_lic_w")
 
     def checked(x: Column) -> Column:
@@ -116,7 +114,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_lic_passed", F.when(F.size("_lic_try") > 0, F.filter(F.transform("_lic_try", checked), lambda x: x.cover >= COVER)))
     places = [_places(w, phrase.split(), label) for phrase, label in PHRASES.items()]
     rows = rows.withColumn("_lic_base", F.when(F.size("_lic_hits") > 0, F.concat(*places)))
-    names = _literal([label for label, _, _ in TEMPLATES], "string")
+    names = _literal([label for label, _, _ in templates], "string")
     none = F.array().cast("array<string>")
     base = F.coalesce(F.array_distinct(F.transform("_lic_base", lambda x: x.label)), none)
     more = F.coalesce(F.transform("_lic_passed", lambda x: F.get(names, x.t)), none)
@@ -162,7 +160,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The scan as DuckDB SQL, for tables whose ids are unique."""
-    keys = _key_places()
+    keys = _key_places(TEMPLATES)
     rows = []
     for t, (label, text, key) in enumerate(TEMPLATES):
         inside = range(keys[t], keys[t] + len(key.split()))
@@ -179,11 +177,8 @@ voc AS (SELECT DISTINCT word, func FROM tpl),
 hits AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) JOIN voc USING (word) WHERE NOT func),
 df AS (SELECT word, count(DISTINCT doc_id) AS c FROM hits GROUP BY word),
 idf AS (SELECT voc.word, CASE WHEN func THEN 0.25 ELSE ln(((SELECT count(*) FROM d) + 1) / CAST(coalesce(c, 0) + 1 AS DOUBLE)) + 0.01 END AS v FROM voc LEFT JOIN df ON df.word = voc.word),
-rare AS (
-  SELECT doc_id, word FROM (
-    SELECT h.doc_id, h.word, row_number() OVER (PARTITION BY h.doc_id ORDER BY v DESC, h.word) AS k FROM (SELECT DISTINCT doc_id, word FROM hits) h JOIN idf ON idf.word = h.word)
-  WHERE k <= {RARE}),
-tries AS (SELECT DISTINCT h.doc_id, x.t, h.p - x.q AS o FROM hits h JOIN rare r ON r.doc_id = h.doc_id AND r.word = h.word JOIN tpl x ON x.word = h.word),
+lead AS (SELECT * FROM (SELECT tpl.t, tpl.q, tpl.word, row_number() OVER (PARTITION BY tpl.t ORDER BY v DESC, tpl.word, tpl.q) AS k FROM tpl JOIN idf ON idf.word = tpl.word WHERE tpl.key AND NOT tpl.func) WHERE k = 1),
+tries AS (SELECT DISTINCT h.doc_id, lead.t, h.p - lead.q AS o FROM hits h JOIN lead ON lead.word = h.word),
 share AS (SELECT tpl.*, v / sum(v) OVER (PARTITION BY t) AS s FROM tpl JOIN idf ON idf.word = tpl.word),
 cover AS (
   SELECT doc_id, t, o, any_value(label) AS label, sum(CASE WHEN same THEN s ELSE 0 END) AS cover, bool_and(same OR NOT key) AS whole
