@@ -22,12 +22,15 @@ from tesserae.llm.common import table
 
 #: Labelled pages that weights are learned from, about.
 SAMPLE = 2000
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
+#: Elements that are passed over whole, up to their closing tag or the end of the page.
+SKIPPED = set("script style noscript template svg math iframe object textarea select title".split())
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in SKIPPED}
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: Most tags: names and well-quoted values. What isn't like that is read piece by piece.
+_PLAIN = re.compile(r"(/?[a-zA-Z][^\s/>]*+)((?:\s++[a-zA-Z-]++(?:=\"[^\"<>]*+\")?+)*+\s*+)>")
+_TO_VALUE = re.compile(r"[^>=]*")
+_VALUE = re.compile(r"=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _ATTR = re.compile(r"""(?<![^\s"'])(class|id|role|aria-label|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements inside a line of text; all others end a block. (Fixed values of HTML.)
@@ -49,6 +52,85 @@ DEFAULT = {"w:plain": 1.0, "w:link": -0.5, "w:out": -0.5, "t": -0.3}
 MOST_COST, TAG_COST = 6.0, 1.5
 
 
+class _Finder:
+    """page.find() that remembers what doesn't come any more, so that a page of openings without an end is read once."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def find_closing(self, name: str, at: int) -> int:
+        """Where </name stands, in any case of letters, ended by white space, a slash or >."""
+        if name in self.missing:
+            return -1
+        m = _CLOSING[name].search(self.page, at)
+        if m is None:
+            self.missing.add(name)
+            return -1
+        return m.start()
+
+
+def markup(page: str):
+    """Yield (start, end, name, closing, attributes) of tags, and of comments and the like with an empty name.
+
+    A quote has a meaning only where an attribute's value begins; elsewhere it is a letter like any other. A quote, comment
+    or element passed over that never ends: the quote is a letter, the others reach to the end of the page.
+    """
+    finder, at, n = _Finder(page), 0, len(page)
+
+    def past(what: str, start: int) -> int:
+        found = finder.find(what, start)
+        return n if found < 0 else found + len(what)
+
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        m = _PLAIN.match(page, start + 1)
+        plain = m is not None
+        if not plain:
+            m = _NAME.match(page, start + 1)
+        if m is None:
+            at = start + 1
+            if page.startswith("<!--", start):
+                at = start + 5 if page.startswith("<!-->", start) else past("-->", start + 4)
+            elif page.startswith("<![CDATA[", start):
+                at = past("]]>", start + 9)
+            elif page[at : at + 1] in ("!", "?", "/") and at < n:
+                at = past(">", start + 2)
+            else:
+                continue  # a lone < is text
+            yield start, at, "", False, ""
+            continue
+        name = m[1].lower() if plain else m[0].lower()
+        inside = m.end(1) if plain else m.end()
+        at = m.end() - 1 if plain else inside
+        while not plain:
+            at = _TO_VALUE.match(page, at).end()
+            if at >= n or page[at] == ">":
+                break
+            at = _VALUE.match(page, at).end()
+            quote = page[at : at + 1]
+            end = finder.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+            at = end + 1 if end >= 0 else _UNQUOTED.match(page, at).end()
+        attributes, at = page[inside:at], min(n, at + 1)
+        closing = name[0] == "/"
+        name = name.lstrip("/")
+        if name in SKIPPED and not closing:
+            end = finder.find_closing(name, at)
+            at = n if end < 0 else past(">", end)
+            yield start, at, name, False, ""
+            continue
+        yield start, at, name, closing, attributes
+
+
 def _is_out(name: str, attrs: str) -> bool:
     if name in NEVER_OUT:
         return False
@@ -74,38 +156,45 @@ def parse(page: str):
     inside: whether an <article> or <main> element is open. Stray closing tags count as tags; what is cut off ends open.
     """
     stack: list[tuple[str, bool]] = []
+    # places in the stack: of each name, and of what isn't inline; so that no tag has to look through the stack
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
     out = links = marked = at = 0
 
     def close(k: int) -> None:
         nonlocal out, links, marked
         while len(stack) > k:
             name, is_out = stack.pop()
+            places[name].pop()
+            if name not in INLINE:
+                blocks.pop()
             out -= is_out
             links -= name == "a"
             marked -= name in ("article", "main")
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield "w", "out" if out else "link" if links else "plain", page[at : m.start()], marked > 0
-        at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                yield "t", m[1].lower(), "out" if out else "", marked > 0
+    for start, end, name, closing, attributes in markup(page):
+        if start > at:
+            yield "w", "out" if out else "link" if links else "plain", page[at:start], marked > 0
+        at = end
+        if not name:
+            continue
+        if name in SKIPPED:
+            yield "t", name, "out" if out else "", marked > 0
             continue
-        name = name.lower()
-        if m[2]:
+        if closing:
             yield "t", name, "out" if out else "", marked > 0
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0 and (name not in INLINE or all(x in INLINE for x, _ in stack[k:])):
-                close(k)
+            if places.get(name) and (name not in INLINE or not blocks or blocks[-1] < places[name][-1]):
+                close(places[name][-1])
             continue
         if name not in INLINE and stack:
             # a block ends open inline elements (an unclosed <b> says nothing about what follows) and some like it
             while stack and (stack[-1][0] in INLINE or stack[-1][0] in ENDS.get(name, ())) and not (stack[-1][0] == "a"):
                 close(len(stack) - 1)
-        if name not in VOID and not m[4].rstrip().endswith("/"):
-            is_out = _is_out(name, m[4])
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            is_out = _is_out(name, attributes)
+            places.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
             stack.append((name, is_out))
             out += is_out
             links += name == "a"
@@ -141,15 +230,12 @@ def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, each with single spaces, joined by a space. No words that earn: empty."""
-    tokens = list(parse(page or ""))
-    best = total = spent = 0.0
-    start, region = 0, (0, 0)
-    for i, (kind, name, text, inside) in enumerate(tokens):
+def values(tokens: list, weights: dict[str, float]) -> list[float]:
+    """What each token is worth: words what they are many of, tags what their kind costs; an inset at most MOST_COST in all."""
+    out, spent = [], 0.0
+    for kind, name, text, inside in tokens:
         if kind == "w":
-            w = weights["w:" + name]
-            value = len(text.split()) * w
+            value = len(text.split()) * weights["w:" + name]
         else:
             value = weights.get("t:" + name, weights["t"])
         if (name if kind == "w" else text) == "out":
@@ -158,11 +244,27 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             spent -= value
         else:
             spent = 0.0
+        out.append(value)
+    return out
+
+
+def best_region(worth: list[float]) -> tuple[int, int]:
+    """The contiguous stretch with the largest sum, the first of equal ones; empty if none is above 0."""
+    best = total = 0.0
+    start, region = 0, (0, 0)
+    for i, value in enumerate(worth):
         if total <= 0:
             total, start = 0.0, i
         total += value
         if total > best:
             best, region = total, (start, i + 1)
+    return region
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The blocks of the best region, each with single spaces, joined by a space. No words that earn: empty."""
+    tokens = list(parse(page or ""))
+    region = best_region(values(tokens, weights))
     blocks, line = [], []
     for kind, name, text, _ in tokens[region[0] : region[1]]:
         if kind == "w":
@@ -177,7 +279,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def learn(df: DataFrame, page: str = "html", sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from a bounded sample of the pages that mark their article; the default weights if none does."""
+    """Weights from a sample of the pages that mark their article, `sample` of them, about; the default weights if none does.
+
+    Null and empty pages mark nothing. Equal pages are in the sample together or not at all.
+    """
     marked = df.where(F.col(page).rlike("(?i)<(article|main)[\\s>]"))
     n = marked.count()
     some = marked.where(F.pmod(F.xxhash64(page), F.lit(max(n, 1))) < sample).select(page)
@@ -191,13 +296,18 @@ def learn(df: DataFrame, page: str = "html", sample: int = SAMPLE) -> dict[str,
         yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in keys], pa.string()), "inside": pa.array([b for _, b in keys], pa.bool_()), "n": pa.array([counts[k] for k in keys], pa.int64())})
 
     sums = some.mapInArrow(run, "kind string, inside boolean, n bigint").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    # a row for each kind of tag at most; rare ones keep the default
-    rows = sums.where("n >= 5").orderBy(F.desc("n"), "kind", "inside").limit(1000).collect()
+    # of a bounded sample: a row for each kind of tag in it; rare ones keep the default
+    rows = sums.where("n >= 5").orderBy("kind", "inside").collect()
     return weights_from({(r.kind, r.inside): r.n for r in rows})
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "main_text", weights: dict[str, float] | None = None) -> DataFrame:
-    """Replace the column `page` by `out`, the main text; all rows and other columns stay. Null pages count as empty."""
+    """Replace the column `page` by `out`, the main text; all rows and other columns stay.
+
+    Null, empty and wordless pages give an empty text. Pages are independent of each other, so repeated ones give the
+    same; of regions that score alike the first is taken. A column of `df` named like `out` is replaced. The work is in
+    proportion to a page's length, however broken its markup. No rows: no rows.
+    """
     weights = learn(df, page) if weights is None else weights
     rest = [c for c in df.columns if c not in (page, out)]
 
