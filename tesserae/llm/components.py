@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import split_join, stored
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = stored(least.select("a", F.least("a", "m").alias("m"), "n"))
     # large star: every larger neighbour moves to the least of the neighbourhood
-    large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    large = split_join(both.where(F.col("b") > F.col("a")), least, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     # small star: the node and its smaller neighbours move to the least of these (here b < a holds for every edge)
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+    large = stored(large)
+    low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    small = split_join(large, low, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
     return small.where("a <> b").distinct()
 
 
@@ -23,14 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of `edges` (a, b: bigint): component is the smallest node that can be reached.
 
     Self loops, repeated edges and either direction are allowed; rows with a null end are left out. No edges: no rows.
-    Edges are rewritten until every node points at its component's least node. Each round is checkpointed.
+    A hub's edges stay where they are: only what its neighbourhood moves to is sent to them. Edges are rewritten until every node points at its component's least node. Each round is written
+    to the shared folder as a table: checkpoints carry what is known of their columns on, more with each round.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not state[0] or state == seen:
             break
-        seen, now = state, cut(_stars(now))
+        seen, now = state, stored(_stars(now, state[0]))
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,10 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Near copies: SimHash distances of texts that share a bucket, compared bit-sliced, then whole shingle sets.
 
-Texts with equal shingle sets are one node. Two nodes are candidates if they agree on all rows of one of BANDS bands; at a
-similarity of 0.8 a pair misses all bands with a chance of 3 in a million. Each bucket first proposes its members to its
-least node, and what the shingle sets confirm is linked, so that a large group of copies needs no pair of all its members.
-Then every pair of a bucket that isn't connected yet is proposed, but for those whose signatures agree so little that 0.8 is
-all but impossible (missed with a chance of 8 in a million). Only confirmed pairs are linked.
+At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in some 10 bits, up to 24 now and then. Blocks of bits that
+must agree, which deal fingerprints to buckets where the radius is 4, would have to be two bits long for that. So buckets are
+dealt by least hashes: texts share one if they agree on all rows of one of BANDS bands, which a pair of 0.8 misses with a
+chance of 3 in a million. In the buckets the bit planes of the fingerprints are compared as for exact radii: pairs beyond RADIUS
+bits are abandoned (a pair of 0.8 lies beyond it with a chance of some 3 in 100,000), and what is left is decided by the
+shingle sets themselves.
+
+Texts with equal shingle sets are one node. Each bucket first proposes its members to its least node, so that a large group of
+copies needs no pair of all its members. Then every pair of a bucket that isn't connected yet is proposed.
 """
 
 from __future__ import annotations
@@ -18,17 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, split_join
 from tesserae.llm.components import components
+from tesserae.llm.simhash import close_pairs
 
 #: Bands and their rows.
 BANDS, ROWS = 24, 4
-#: Rows of a signature that must agree before a pair's shingle sets are compared: 59 of 96, for 76.8 +- 3.9 at 0.8.
-LEAST = 59
+#: Differing bits up to which a pair's shingle sets are compared.
+RADIUS = 24
 #: Members of a bucket that are compared as one group; larger buckets are split into pairs of parts.
-PART = 2048
-#: Parts over which the pairs of one node are dealt.
-SALTS = 16
+PART = 8192
+#: Pairs of one node that a task gets together, about.
+PAIRS = 256
 #: Shingles that meet all hash functions at once.
 AT_ONCE = 1024
 
@@ -66,6 +71,15 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of a shingle set, as a signed number: bit k is 1 if it is set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), AT_ONCE):
+        part = hashes[start : start + AT_ONCE].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets is 0.8 or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -75,16 +89,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _signed(size: int):
     def run(batches):
         for batch in batches:
-            nodes, keys, lows = [], [], []
-            for x in batch.column(1):
+            nodes, keys, fps = [], [], []
+            for x in batch.column(2):
                 hashes = shingles(x.as_py(), size)
-                values = signature(hashes)
                 nodes.append(node_of(hashes))
-                bands = values.reshape(BANDS, ROWS)
+                fps.append(fingerprint_of(hashes))
+                bands = signature(hashes).reshape(BANDS, ROWS)
                 keys.append([xxhash.xxh64_intdigest(v.tobytes(), i) - (1 << 63) for i, v in enumerate(bands)])
-                lows.append((values >> np.uint64(40)).astype(np.uint8).tobytes())
-            made = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "node", "keys", "sig"])
+            made = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text_hash", "node", "keys", "fp"])
 
     return run
 
@@ -99,8 +112,7 @@ def _confirmed(size: int):
                 if last is None or last != text_a:
                     last, held = text_a, shingles(text_a, size)
                 other = shingles(text_b, size)
-                # an id that stands over several texts brings the others along
-                if similar(held, other) and node_of(held) == a and node_of(other) == b:
+                if similar(held, other):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -108,32 +120,30 @@ def _confirmed(size: int):
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose shingle sets are similar."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    left = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    right = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size), "a bigint, b bigint"))
+    """Those of `pairs` (a, b) whose shingle sets are similar. The pairs of one `a` are dealt to as many tasks as they need."""
+    pairs = cut(pairs)
+    degrees = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    spread = F.ceil(F.col("n") / PAIRS).cast("int")
+    salted = split_join(pairs, degrees, ["a"], "n", pairs.count(), PAIRS).withColumn("salt", F.pmod(F.xxhash64("b"), spread).cast("int"))
+    salted = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").drop("n")
+    left = degrees.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
+    return cut(salted.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size), "a bigint, b bigint"))
 
 
 def _bucket_pairs(batches):
     keys = ["key", "part_a", "part_b"]
 
     def pairs(pdf):
-        changed = np.flatnonzero((pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(axis=1)) + 1
-        sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        node, label, own = (pdf[c].to_numpy() for c in ("node", "label", "own"))
-        part_a, part_b = pdf["part_a"].to_numpy(), pdf["part_b"].to_numpy()
-        found_a, found_b = [], []
-        for lo, hi in zip(np.r_[0, changed], np.r_[changed, len(pdf)]):
-            for i in range(lo, hi - 1):
-                others = i + 1 + np.flatnonzero(label[i + 1 : hi] != label[i])
-                if part_a[lo] != part_b[lo]:  # pairs within a part are met where both parts are that one
-                    others = others[own[others] != own[i]]
-                near = others[(sigs[others] == sigs[i]).sum(axis=1) >= LEAST]
-                found_a.append(np.minimum(node[near], node[i]))
-                found_b.append(np.maximum(node[near], node[i]))
-        join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-        return pd.DataFrame({"a": join(found_a), "b": join(found_b)}).drop_duplicates()
+        changed = (pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(axis=1)
+        node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
+        across = (pdf["part_a"] != pdf["part_b"]).to_numpy()
+        found = [np.zeros((2, 0), np.int64)]
+        for i, j in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), np.r_[0, np.cumsum(changed)], RADIUS, pdf["label"].to_numpy(np.int64)):
+            # pairs within a part are met where both parts are that one
+            use = ~across[i] | (own[i] != own[j])
+            found.append(np.stack([np.minimum(node[i], node[j])[use], np.maximum(node[i], node[j])[use]]))
+        a, b = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     held = None
     for pdf in batches:
@@ -147,36 +157,46 @@ def _bucket_pairs(batches):
         yield pairs(held)
 
 
-def _unconnected(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket, have different labels and may be similar."""
     known = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    parts = known.join(open_.select("key", "n"), "key").join(nodes.select("node", "sig"), "node")
+    known = cut(known.select("key", "node", "fp", "label"))
+    buckets = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    parts = split_join(known, cut(buckets.select("key", "n")), ["key"], "n", known.count())
     parts = parts.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    parts = parts.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "own", "node", "label", "sig")
+    parts = parts.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "own", "node", "label", "fp")
     keys = ["key", "part_a", "part_b"]
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_bucket_pairs, "a bigint, b bigint").distinct()
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "label").mapInPandas(_bucket_pairs, "a bigint, b bigint").distinct()
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, component_id) for every row: the least id that links reach, a link for each pair of similarity 0.8 or more.
+    """(doc_id, text_hash, component_id, leads) for every row: the least id that links reach, a link for each pair of similarity 0.8 or more.
 
-    The similarity is the Jaccard similarity of the sets of `size`-word shingles; a shorter text is one shingle. Null and
-    empty texts are equal to each other. Rows with equal ids give equal rows if their texts are similar. No rows: no rows.
+    text_hash is xxhash64 of the text, null counting as empty: with the id it tells rows apart. `leads` marks one (id, text) of
+    each component, that with the least id and, among equal ids, the least hash; rows that are wholly equal are marked
+    together. The similarity is the Jaccard similarity of the sets of `size`-word shingles; a shorter text is one shingle.
+    Null and empty texts are equal to each other. Null ids come first. Ids are whole numbers; other columns are not looked
+    at. No rows: no rows.
     """
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    prints = cut(docs.mapInArrow(_signed(size), "doc_id bigint, node bigint, keys array<bigint>, sig binary"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    dealt = nodes.select("node", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    members = cut(dealt.join(shared.select("key", "first"), "key"))
+    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    prints = cut(docs.select("doc_id", "text_hash", "text").mapInArrow(_signed(size), "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>, fp bigint"))
+    nodes = cut(prints.groupBy("node").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
+    dealt = nodes.select("node", "fp", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("first")).where("n > 1")
+    members = cut(split_join(dealt, cut(shared), ["key"], "n", nodes.count() * BANDS).select("node", "fp", "key", "first"))
     needed = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = cut(docs.join(needed, F.col("doc_id") == F.col("rep")).select("node", "text"))
-    members, leads = members.select("node", "key"), members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    # equal rows, if the representative is repeated, are one
+    same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
+    texts = cut(docs.join(needed, same).groupBy("node").agg(F.first("text").alias("text")))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS
+    leads = members.where((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirm(leads, texts, size)
-    more = _confirm(_unconnected(members, nodes, components(links)), texts, size)
+    more = _confirm(_unconnected(members.select("node", "fp", "key"), components(links)), texts, size)
     found = components(links.union(more))
-    named = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return prints.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = cut(nodes.join(found, "node", "left").select("node", "times", "rep", F.coalesce("component", "node").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")))
+    named = cut(split_join(named, least, ["component"], "n", named.count()).select("node", "times", "least"))
+    total = named.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    leads = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return split_join(prints.select("doc_id", "text_hash", "node"), named, ["node"], "times", total).select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), leads.alias("leads"))

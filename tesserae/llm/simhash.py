@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut, table
+from tesserae.llm.common import cut, split_join, table
 from tesserae.llm.components import components
 
 #: Shingles whose bits are counted at once.
@@ -91,8 +91,12 @@ def _add(x, y, z):
     return t ^ z, (x & y) | (t & z)
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int):
-    """Yield (i, j) index arrays, i < j, of the rows of equal `group` (rising numbers) within `radius` differing bits."""
+def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray | None = None):
+    """Yield (i, j) index arrays, i < j, of the rows of equal `group` (rising numbers) within `radius` (below 32) differing bits.
+
+    Rows of equal `label` are no pairs; inside a group it must rise, so that most words have one label and are passed over.
+    No rows or one: no pairs. Equal fingerprints are pairs like any others.
+    """
     n = len(fps)
     if n < 2:
         return
@@ -110,6 +114,11 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int):
     row_of[word, lane.astype(np.int64)] = np.arange(n)
     filled = np.zeros(total, np.uint64)
     np.bitwise_or.at(filled, word, np.uint64(1) << lane)
+    if label is not None:
+        last = np.r_[first[1:], n] - 1
+        ends = np.minimum(first[of] + (place // 64) * 64 + 63, last[of])
+        one_label = np.zeros(total, np.int64), np.zeros(total, bool)
+        one_label[0][word], one_label[1][word] = label, label[ends - (ends - first[of]) % 64] == label[ends]
     shift = np.arange(64, dtype=np.uint64)
     planes = np.stack([np.bitwise_or.reduce(((lanes >> np.uint64(k)) & np.uint64(1)) << shift, axis=1) for k in range(64)])
     # each row meets its own word (the lanes behind it) and the later words of its group
@@ -127,8 +136,10 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int):
         own = offset == 0
         valid[own] &= (everything << lane[rows[own]]) & ~(np.uint64(1) << lane[rows[own]])
         live = valid != 0
+        if label is not None:
+            live &= ~(one_label[1][at] & (one_label[0][at] == label[rows]))
         rows, at, valid = rows[live], at[live], valid[live]
-        ones, twos, fours, eights = (np.zeros(len(rows), np.uint64) for _ in range(4))
+        ones, twos, fours, eights, sixteens, over = (np.zeros(len(rows), np.uint64) for _ in range(6))
         for k in range(0, 64, 7):
             x = [planes[b][at] ^ (np.uint64(0) - ((fps[rows] >> np.uint64(b)) & np.uint64(1))) for b in range(k, min(k + 7, 64))]
             while len(x) < 7:
@@ -140,25 +151,29 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int):
             ones, carry = ones ^ s1, ones & s1
             twos, carry = _add(twos, s2, carry)
             fours, carry = _add(fours, s4, carry)
-            eights |= carry
-            # here radius < 8; lanes above it
-            value, beyond = (ones, twos, fours), np.zeros(len(rows), np.uint64)
+            eights, carry = eights ^ carry, eights & carry
+            sixteens, carry = sixteens ^ carry, sixteens & carry
+            over |= carry
+            # lanes above the radius
+            value, beyond = (ones, twos, fours, eights, sixteens), over
             equal = everything
-            for bit in (2, 1, 0):
+            for bit in (4, 3, 2, 1, 0):
                 if radius >> bit & 1:
                     equal = equal & value[bit]
                 else:
                     beyond = beyond | (equal & value[bit])
                     equal = equal & ~value[bit]
-            near = valid & ~(eights | beyond)
+            near = valid & ~beyond
             live = near != 0
             if not live.all():
-                rows, at, valid, ones, twos, fours, eights, near = (v[live] for v in (rows, at, valid, ones, twos, fours, eights, near))
+                rows, at, valid, ones, twos, fours, eights, sixteens, over, near = (v[live] for v in (rows, at, valid, ones, twos, fours, eights, sixteens, over, near))
             if not len(rows):
                 break
         if len(rows):
             hit, bit = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield rows[hit], row_of[at[hit], bit]
+            i, j = rows[hit], row_of[at[hit], bit]
+            apart = slice(None) if label is None else label[i] != label[j]
+            yield i[apart], j[apart]
 
 
 def spanning_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +220,14 @@ def _bucket_links(radius: int):
 
 def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) between the `rep` ids of distinct fingerprints (fp, rep); they connect all that lie within `radius` bits."""
+    fps = fps.select("fp", "rep")
     n = fps.count()
     masks = bucket_masks(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = fps.select("fp", "rep", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))).alias("x")).select("fp", "rep", "x.*")
     counted = dealt.groupBy("mask", "key").agg(F.count("*").alias("members")).where("members > 1")
-    parts = dealt.join(counted, ["mask", "key"]).withColumn("parts", F.ceil(F.col("members") / PART).cast("int"))
+    counted = cut(counted)
+    parts = split_join(dealt, counted, ["mask", "key"], "members", n * len(masks), PART).withColumn("parts", F.ceil(F.col("members") / PART).cast("int"))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     parts = parts.select("mask", "key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "fp", "rep")
@@ -223,15 +240,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """(doc_id, fp, component_id) for every row: the fingerprint and the smallest id that links reach.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with equal ids give equal rows. A null id
-    never names a component unless all ids of the component are null. radius must be below 8. An empty table: no rows.
+    never names a component unless all ids of the component are null. Ids are whole numbers; other columns are not looked
+    at. radius must be below 8, or there would be too many kinds of buckets. An empty table: no rows. A fingerprint that
+    many rows have stays where its rows are: only its component is sent to them.
     """
     if not 0 <= radius < 8:
         raise ValueError("radius must be from 0 to 7")
     prints = cut(with_fingerprints(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), size=size))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = components(linked(distinct.where("rep is not null"), radius))
-    labels = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = cut(distinct.join(found, distinct.rep == found.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return split_join(prints, labels, ["fp"], "n", total).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import cut, table, whole_text, words
+from tesserae.llm.common import cut, split_join, table, whole_text, words
 
 #: How much the mixture's entropy may lie above the token shares' own: this part of the way to the uniform mixture.
 FLATTEN = 0.5
@@ -19,6 +19,8 @@ MOST_EPOCHS = 4.0
 TRIED, ROUNDS = 33, 6
 #: Documents in a block of the permutation, about.
 BLOCK = 1000
+#: Sources up to this many are broadcast.
+FEW = 200_000
 SEED = 10
 
 
@@ -77,12 +79,18 @@ def realise(df: DataFrame, mixed: DataFrame, source: str = "source", tokens: str
     order, whole passes first, then the part that still fits: the document at which the budget runs out is used if at
     least half of it fits. Sources without tokens have no weight: copies 0. Rows with equal source, key and tokens are one
     unit of the order and have equal copies. Only these three columns are laid out, so texts travel once, to the copies.
-    Blocks are counted per source: no window holds more than a block or the list of a source's blocks.
+    Blocks are counted per source: no window holds more than a block or the list of a source's blocks. Null sources are
+    one source, null keys and token counts are values like others (a null count is 0). Columns of `df` named like the
+    three that are added are replaced; any other names are kept as they are.
     """
+    # a row for each source: broadcast where they are few, as sources are
+    few = mixed.count() <= FEW
     own = mixed.select(F.col("source").alias("mix_source"), F.col("docs").alias("mix_docs"), F.col("tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("budget").alias("mix_budget"))
-    size = F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))
-    units = df.select(F.col(source).alias("u_source"), F.col(key).alias("u_key"), size.alias("u_size")).groupBy("u_source", "u_key", "u_size").agg(F.count("*").alias("times"))
-    units = units.join(own, F.col("u_source").eqNullSafe(F.col("mix_source")), "left").withColumn("held", F.col("u_size") * F.col("times"))
+    added = ("mix_copies", "mix_weight", "mix_place")
+    own_key = F.col(source).alias("u_source"), F.col(key).alias("u_key"), F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("u_size")
+    total = df.count()
+    units = df.select(*own_key).groupBy("u_source", "u_key", "u_size").agg(F.count("*").alias("times"))
+    units = units.join(F.broadcast(own) if few else own, F.col("u_source").eqNullSafe(F.col("mix_source")), "left").withColumn("held", F.col("u_size") * F.col("times"))
     units = units.withColumn("mix_order", F.xxhash64(F.lit(seed), "u_key", "u_source"))
     blocks = F.coalesce(F.greatest(F.lit(1), F.ceil(F.col("mix_docs") / BLOCK)), F.lit(1)).cast("bigint")
     units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_order"), blocks))
@@ -97,9 +105,11 @@ def realise(df: DataFrame, mixed: DataFrame, source: str = "source", tokens: str
     fits = (2 * F.col("end") - F.col("held") <= 2 * left) & (left > 0)
     copies = F.when(F.col("mix_tokens").isNull(), 0).otherwise(passes + fits.cast("bigint")).cast("bigint")
     place = F.when(F.col("mix_tokens").isNotNull(), F.col("end") - F.col("held"))
-    units = units.select("u_source", "u_key", "u_size", copies.alias("mix_copies"), "mix_weight", place.alias("mix_place"))
-    same = F.col(source).eqNullSafe(F.col("u_source")) & F.col(key).eqNullSafe(F.col("u_key")) & (size == F.col("u_size"))
-    return df.join(units, same).drop("u_source", "u_key", "u_size")
+    units = units.select("u_source", "u_key", "u_size", "times", copies.alias("mix_copies"), "mix_weight", place.alias("mix_place"))
+    # all of a row in one column, so that no name of it can clash
+    rows = df.drop(*added).select(F.struct("*").alias("row"), *own_key)
+    back = split_join(rows, cut(units), ["u_source", "u_key", "u_size"], "times", total)
+    return back.select("row.*", *added)
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", flatten: float = FLATTEN, most_epochs: float = MOST_EPOCHS, budget: int | None = None) -> DataFrame:
