@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.bpe_codec import digests, round_trip
-from tesserae.llm.common import shared_checkpoints, table
+from tesserae.llm.common import cut, shared_folder, table
 from tesserae.llm.near_copies import near_copies
 from tesserae.llm.quality_rules import judge
 from tesserae.llm.source_mixing import mix
@@ -36,13 +36,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near-duplicates."""
+    """One row of each group of near-duplicates: that with the least id and, of rows with that id, the least hash of its text.
+
+    Rows are told apart by id and text, so that different texts under one id are each kept or dropped on their own.
+    """
     docs = docs.select(*COLUMNS)
-    found = near_copies(docs.where("doc_id is not null"), size=SHINGLE)
-    ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    repeated = ids.where("times > 1").limit(1).count() > 0
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null"))
+    own = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    leads = near_copies(own.select("doc_id", "text"), size=SHINGLE).where("leads").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    leads = cut(leads)
+    kept = own.join(leads.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    if not leads.where("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, through Parquet tables in the shared checkpoint folder."""
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
