@@ -131,49 +131,53 @@ def tallies(spark, sf_dir):
     return K.tally(table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "claim"), ["claim"], F.col("l_quantity"), score, position)
 
 
-# region 1.., nation 100.., customer 10^6.., order 10^9..
-_NODES = "n AS (SELECT 1 + r_regionkey AS parent, 100 + n_nationkey AS child, 1 AS times FROM region JOIN nation ON n_regionkey = r_regionkey), c AS (SELECT 100 + c_nationkey AS parent, 1000000 + c_custkey AS child, 1 + c_custkey % 3 AS times FROM customer), o AS (SELECT 1000000 + o_custkey AS parent, 1000000000 + o_orderkey AS child, 1 + o_orderkey % 2 AS times FROM orders)"
+# region 1.., nation 100.., customer 10^6.., order 10^9.., line 10^12..; a line's times are its quantity
+_NODES = "n AS (SELECT 1 + r_regionkey AS parent, 100 + n_nationkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey), c AS (SELECT 100 + c_nationkey AS parent, 1000000 + c_custkey AS child FROM customer), o AS (SELECT 1000000 + o_custkey AS parent, 1000000000 + o_orderkey AS child FROM orders), l AS (SELECT 1000000000 + l_orderkey AS parent, 1000000000000 + l_orderkey * 10 + l_linenumber AS child, CAST(l_quantity AS BIGINT) AS times FROM lineitem)"
 
 
 def _edges(spark, sf_dir):
     big = lambda e: e.cast("bigint")
-    n = table(spark, sf_dir, "nation").select(big(1 + F.col("n_regionkey")).alias("parent"), big(100 + F.col("n_nationkey")).alias("child"), F.lit(1).cast("bigint").alias("times"))
-    c = table(spark, sf_dir, "customer").select(big(100 + F.col("c_nationkey")).alias("parent"), big(1000000 + F.col("c_custkey")).alias("child"), big(1 + F.col("c_custkey") % 3).alias("times"))
-    o = table(spark, sf_dir, "orders").select(big(1000000 + F.col("o_custkey")).alias("parent"), big(1000000000 + F.col("o_orderkey")).alias("child"), big(1 + F.col("o_orderkey") % 2).alias("times"))
-    return n.union(c).union(o).withColumn("distance", F.lit(1))
+    once = F.lit(1).cast("bigint").alias("times")
+    n = table(spark, sf_dir, "nation").select(big(1 + F.col("n_regionkey")).alias("parent"), big(100 + F.col("n_nationkey")).alias("child"), once)
+    c = table(spark, sf_dir, "customer").select(big(100 + F.col("c_nationkey")).alias("parent"), big(1000000 + F.col("c_custkey")).alias("child"), once)
+    o = table(spark, sf_dir, "orders").select(big(1000000 + F.col("o_custkey")).alias("parent"), big(1000000000 + F.col("o_orderkey")).alias("child"), once)
+    l = table(spark, sf_dir, "lineitem").select(big(1000000000 + F.col("l_orderkey")).alias("parent"), big(1000000000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("child"), big(F.col("l_quantity")).alias("times"))
+    return n.union(c).union(o).union(l).withColumn("distance", F.lit(1))
 
 
 def _nodes(edges):
     return edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
 
 
-@register("dag_counts", f"WITH {_NODES} SELECT n.parent AS top, CAST(sum(n.times * c.times * o.times) AS BIGINT) AS paths, count(DISTINCT o.child) AS leaves FROM n JOIN c ON c.parent = n.child JOIN o ON o.parent = c.child GROUP BY n.parent")
+@register("dag_counts", f"WITH {_NODES} SELECT n.parent AS top, CAST(sum(l.times) AS BIGINT) AS paths, count(DISTINCT l.child) AS leaves FROM n JOIN c ON c.parent = n.child JOIN o ON o.parent = c.child JOIN l ON l.parent = o.child GROUP BY n.parent")
 def dag_counts(spark, sf_dir):
     e = _edges(spark, sf_dir)
     tops = table(spark, sf_dir, "region").select((1 + F.col("r_regionkey")).cast("bigint").alias("node"))
-    p = G.path_counts(e, tops).where("node >= 1000000000")
+    p = G.path_counts(e, tops).where("node >= 1000000000000")
     return p.groupBy("top").agg(F.sum("paths").cast("bigint").alias("paths"), F.count("*").alias("leaves"))
 
 
-@register("dag_levels", f"WITH {_NODES}, l AS (SELECT child AS node, 0 AS level FROM o UNION SELECT 1000000 + c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 1 ELSE 0 END FROM customer UNION SELECT 100 + n_nationkey, CASE WHEN count(o_orderkey) > 0 THEN 2 WHEN count(c_custkey) > 0 THEN 1 ELSE 0 END FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey) SELECT CAST(node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM l")
+@register("dag_levels", f"WITH {_NODES}, lo AS (SELECT o.parent, o.child, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.parent = o.child) THEN 1 ELSE 0 END AS level FROM o), lc AS (SELECT c.parent, c.child, coalesce(max(lo.level) + 1, 0) AS level FROM c LEFT JOIN lo ON lo.parent = c.child GROUP BY c.parent, c.child), ln AS (SELECT n.parent, n.child, coalesce(max(lc.level) + 1, 0) AS level FROM n LEFT JOIN lc ON lc.parent = n.child GROUP BY n.parent, n.child), lr AS (SELECT parent AS child, max(level) + 1 AS level FROM ln GROUP BY parent), every AS (SELECT DISTINCT child, 0 AS level FROM l UNION ALL SELECT child, level FROM lo UNION ALL SELECT child, level FROM lc UNION ALL SELECT child, level FROM ln UNION ALL SELECT child, level FROM lr) SELECT CAST(child AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM every")
 def dag_levels(spark, sf_dir):
-    e = _edges(spark, sf_dir).where("parent >= 100")
-    return G.levels(e, _nodes(_edges(spark, sf_dir)).where("node >= 100"))
+    e = _edges(spark, sf_dir)
+    return G.levels(e, _nodes(e))
 
 
-@register("dag_order", "SELECT CAST(x.node AS BIGINT) AS node, CAST(x.wave AS BIGINT) AS wave FROM (SELECT 1 + r_regionkey AS node, 0 AS wave FROM region UNION ALL SELECT 100 + n_nationkey, 1 FROM nation UNION ALL SELECT 1000000 + c_custkey, 2 FROM customer) x WHERE node < 100 OR node >= 1000000 OR node IN (SELECT 100 + n_nationkey FROM nation)")
+@register("dag_order", f"WITH {_NODES} SELECT CAST(node AS BIGINT) AS node, CAST(wave AS BIGINT) AS wave FROM (SELECT DISTINCT parent AS node, 0 AS wave FROM n UNION ALL SELECT child, 1 FROM n UNION ALL SELECT child, 2 FROM c UNION ALL SELECT child, 3 FROM o UNION ALL SELECT DISTINCT child, 4 FROM l)")
 def dag_order(spark, sf_dir):
-    e = _edges(spark, sf_dir).where("child < 1000000000")
-    regions = table(spark, sf_dir, "region").select((1 + F.col("r_regionkey")).cast("bigint").alias("node"))
-    return G.order(e, _nodes(e).union(regions).distinct())
+    e = _edges(spark, sf_dir)
+    return G.order(e, _nodes(e))
 
 
-@register("graph_components", "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_nationkey * 7 + c_custkey) % 25 AS b FROM customer WHERE c_custkey % 40 = 0), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(least(n_nationkey, coalesce(min(x.b), n_nationkey)) AS BIGINT) AS component FROM nation LEFT JOIN (SELECT p.a, p.b FROM r p JOIN r q ON p.a = q.b AND p.b = q.a) x ON x.a = n_nationkey GROUP BY n_nationkey")
+@register("graph_components", "SELECT c_custkey AS node, CASE WHEN c_custkey % 8 <= 3 AND c_custkey - c_custkey % 8 + 3 <= hi AND c_custkey - c_custkey % 8 >= lo THEN c_custkey - c_custkey % 8 ELSE c_custkey END AS component FROM customer, (SELECT min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer)")
 def graph_components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0")
-    e = c.select(F.col("c_nationkey").cast("bigint").alias("parent"), ((F.col("c_nationkey") * 7 + F.col("c_custkey")) % 25).cast("bigint").alias("child")).distinct()
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
-    return G.strong_components(e, nodes).select("node", "component")
+    """All customers: each leads to the next, but that every eighth chain of four leads back to its first, and every seventh to itself."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    e = c.select(k.alias("parent"), F.when(k % 8 == 3, k - 3).when(k % 8 == 7, k).otherwise(k + 1).alias("child"))
+    nodes = c.select(k.alias("node"))
+    known = e.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").select("parent", "child")
+    return G.strong_components(known, nodes).select("node", "component")
 
 
 _TRADE = "t AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"
