@@ -4,12 +4,17 @@ The pre-token rule reads left to right and never looks back, so it may be taken
 a boundary depends on at most two characters behind it (white space gives back its last character, a contraction looks
 at three from its start). An edit therefore concerns the pre-tokens it overlaps, those just before it that could see
 it, and those after it until a boundary of the new text falls on one of the old text; from there on both are equal.
+
+Trees are a column: plant() encodes each text once and makes them, apply() brings edits to stored trees and gives back the trees
+as they are then, for the next edits. A stored tree is its text, the lengths of its pre-tokens, and how many of these and
+how many tokens each leaf has; sums are added up from that, and leaves are cut out of the text when an edit comes to them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +23,51 @@ from pyspark.sql import types as T
 
 from tesserae.llm import bpe
 from tesserae.llm.bpe_codec import TOKENIZER, _each_batch
-from tesserae.llm.common import table, whole_text
+from tesserae.llm.common import stored, table, whole_text
 
 LEAF = 64
 #: How many characters behind its end can change what a pre-token is.
 SIGHT = 3
 
 EDIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("remove", T.IntegerType()), T.StructField("insert", T.StringType())])
+#: A stored tree. `lengths` has a byte for each pre-token, 255 for longer ones, whose lengths are in `long` in their order.
+TREE = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("lengths", T.BinaryType())]
+    + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("long", "sizes", "tokens")]
+)
+
+
+class _Leaves:
+    """The leaves of a stored tree: lists of pre-tokens, cut out of the text when they are asked for."""
+
+    def __init__(self, text: str, lengths: np.ndarray, sizes: list[int]):
+        self.base, self.lengths, self.own = text, lengths, [None] * len(sizes)
+        self.first = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        self.at = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def __getitem__(self, i: int) -> list[str]:
+        if self.own[i] is None:
+            ends = self.at[self.first[i] : self.first[i + 1] + 1].tolist()
+            self.own[i] = [self.base[a:b] for a, b in zip(ends, ends[1:])]
+        return self.own[i]
+
+    def __setitem__(self, i: int, pieces: list[str]) -> None:
+        self.own[i] = pieces
+
+    def __iter__(self):
+        return map(self.__getitem__, range(len(self)))
+
+    def parts(self):
+        """(text, lengths) of each leaf, without cutting those that nobody asked for."""
+        for i, own in enumerate(self.own):
+            if own is None:
+                a, b = self.first[i], self.first[i + 1]
+                yield self.base[self.at[a] : self.at[b]], self.lengths[a:b]
+            else:
+                yield "".join(own), np.fromiter(map(len, own), np.int64, len(own))
 
 
 class TokenTree:
@@ -37,6 +80,31 @@ class TokenTree:
         self._plant(self._pieces(text) if isinstance(text, str) else text)
         self.encoded = 0  # counts what edits encode again, not the first pass
 
+    @classmethod
+    def restored(cls, state: dict, encoder: bpe.Encoder) -> "TokenTree":
+        """A stored tree, ready for edits; nothing is encoded or cut."""
+        tree = cls.__new__(cls)
+        tree.kept, tree.encoded = encoder.pretoken, 0
+        lengths = np.frombuffer(state["lengths"] or b"", np.uint8).astype(np.int64)
+        lengths[lengths == 255] = state["long"] or []
+        tree.leaves = _Leaves(state["text"] or "", lengths, state["sizes"] or [0])
+        tree._sum(np.diff(tree.leaves.at[tree.leaves.first]).tolist(), state["tokens"] or [0])
+        return tree
+
+    def state(self) -> tuple:
+        """The tree as TREE stores it."""
+        parts = list(self.leaves.parts()) if isinstance(self.leaves, _Leaves) else [("".join(x), np.fromiter(map(len, x), np.int64, len(x))) for x in self.leaves]
+        lengths = np.concatenate([x for _, x in parts])
+        return "".join(t for t, _ in parts), np.minimum(lengths, 255).astype(np.uint8).tobytes(), lengths[lengths >= 255].tolist(), [len(x) for _, x in parts], self.tokens[self.width : self.width + len(parts)]
+
+    def _sum(self, chars: list[int], tokens: list[int]) -> None:
+        self.width = 1 << (len(chars) - 1).bit_length()
+        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
+        self.chars[self.width : self.width + len(chars)], self.tokens[self.width : self.width + len(chars)] = chars, tokens
+        for i in range(self.width - 1, 0, -1):
+            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+
     def _pieces(self, text: str) -> list[str]:
         return bpe.PRETOKEN.findall(text)
 
@@ -46,18 +114,17 @@ class TokenTree:
 
     def _plant(self, pieces: list[str]) -> None:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.width + i], self.tokens[self.width + i] = sum(map(len, leaf)), self._count(leaf)
-        for i in range(self.width - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self._sum([sum(map(len, leaf)) for leaf in self.leaves], [self._count(leaf) for leaf in self.leaves])
 
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
 
+    @property
+    def n_pretokens(self) -> int:
+        own = self.leaves
+        return sum(map(len, own)) if isinstance(own, list) else sum(int(own.first[i + 1] - own.first[i]) if x is None else len(x) for i, x in enumerate(own.own))
+
     @property
     def n_chars(self) -> int:
         return self.chars[1]
@@ -137,44 +204,83 @@ class TokenTree:
                 self._set(leaf, [], 0)
         self._set(first, head + fresh + rest, tokens)
         if len(self.leaves[first]) > 8 * LEAF:
-            before = self.encoded
-            self._plant([x for leaf in self.leaves for x in leaf])
-            self.encoded = before
+            self._split(first)
+
+    def _split(self, leaf: int) -> None:
+        """Make leaves of the usual size of one that has grown; the others keep their sums."""
+        before, n = self.encoded, len(self.leaves)
+        chars, tokens = self.chars[self.width : self.width + n], self.tokens[self.width : self.width + n]
+        leaves = list(self.leaves)
+        parts = [leaves[leaf][i : i + LEAF] for i in range(0, len(leaves[leaf]), LEAF)]
+        self.leaves = leaves[:leaf] + parts + leaves[leaf + 1 :]
+        self._sum(chars[:leaf] + [sum(map(len, x)) for x in parts] + chars[leaf + 1 :], tokens[:leaf] + [self._count(x) for x in parts] + tokens[leaf + 1 :])
+        self.encoded = before
 
     def text(self) -> str:
         return "".join(x for leaf in self.leaves for x in leaf)
 
 
-def count_with_edits(df: DataFrame, edits: str = "edits", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Apply `edits`, an array of (at, remove, insert) in order, to each text and keep its token count through them.
+def _tree_array(trees: list[TokenTree]) -> pa.Array:
+    columns = zip(*(t.state() for t in trees)) if trees else [()] * 5
+    types = [pa.string(), pa.binary(), *[pa.list_(pa.int32())] * 3]
+    return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=TREE.fieldNames())
 
-    Adds tokens_before, tokens_after, n_pretokens (after), n_reencoded (pre-tokens encoded again) and edited (the text).
-    A null text is empty, null edits or null members change nothing, places outside the text are moved to its end.
-    Special tokens' strings are ordinary text here. Rows are independent: repeated rows give
-    repeated results, no rows none. Columns of the new names are replaced.
-    """
+
+def plant(df: DataFrame, text: str = "text", out: str = "tree", tokenizer: str | None = None) -> DataFrame:
+    """Add `out`: the tree of each text, to be stored. Null texts count as empty. Every row stays; a column of that name is replaced."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    columns = [("tokens_before", T.LongType()), ("tokens_after", T.LongType()), ("n_pretokens", T.LongType()), ("n_reencoded", T.LongType()), ("edited", T.StringType())]
 
-    def work(texts, changes):
-        encoder, out = bpe.encoder(path), []
+    def work(texts):
+        encoder = bpe.encoder(path)
         split = [bpe.PRETOKEN.findall(x or "") for x in texts.to_pylist()]
         encoder.learn_pieces(set().union(*split))
-        for pieces, wanted in zip(split, changes.to_pylist()):
-            tree = TokenTree(pieces, encoder)
-            before = tree.n_tokens
+        return [_tree_array([TokenTree(pieces, encoder) for pieces in split])]
+
+    return _each_batch(df, [(out, TREE)], [text], work)
+
+
+def gathered(edits: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, edits) from a table of edits (key, order, at, remove, insert): each document's edits in their order, for apply()."""
+    one = F.struct(F.col(order).alias("order"), *(F.col(c).cast(EDIT[c].dataType).alias(c) for c in EDIT.fieldNames()))
+    return edits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*(x[c].alias(c) for c in EDIT.fieldNames()))).alias("edits"))
+
+
+def apply(df: DataFrame, edits: str = "edits", tree: str = "tree", tokenizer: str | None = None) -> DataFrame:
+    """Bring `edits`, an array of (at, remove, insert) in order, to stored trees; `tree` is then the tree after them.
+
+    Adds tokens_before, tokens_after, n_pretokens (after) and n_reencoded (pre-tokens encoded again, all that is encoded here). A
+    null tree is that of an empty text, null edits or null members change nothing, places outside the text are moved to
+    its end. Rows are independent: repeated rows give repeated results, no rows none. Columns of the new names are replaced.
+    """
+    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    columns = [("tokens_before", T.LongType()), ("tokens_after", T.LongType()), ("n_pretokens", T.LongType()), ("n_reencoded", T.LongType()), (tree, TREE)]
+
+    def work(states, changes):
+        encoder, out, trees = bpe.encoder(path), [], []
+        for state, wanted in zip(states, changes.to_pylist()):
+            made = TokenTree.restored(dict.fromkeys(TREE.fieldNames()) if not state.is_valid else state.as_py(), encoder)
+            before = made.n_tokens
             for c in wanted or ():
                 if c is not None:
-                    tree.edit(c["at"] or 0, c["remove"] or 0, c["insert"] or "")
-            out.append((before, tree.n_tokens, sum(map(len, tree.leaves)), tree.encoded, tree.text()))
-        return [pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.string()) for i in range(5)]
+                    made.edit(c["at"] or 0, c["remove"] or 0, c["insert"] or "")
+            trees.append(made)
+            out.append((before, made.n_tokens, made.n_pretokens, made.encoded))
+        return [*(pa.array([x[i] for x in out], pa.int64()) for i in range(4)), _tree_array(trees)]
 
-    return _each_batch(df, columns, [text, edits], work)
+    return _each_batch(df, columns, [tree, edits], work)
+
+
+def count_with_edits(df: DataFrame, edits: str = "edits", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """plant() and apply() one after the other: the counts of apply(), and edited (the text after the edits).
+
+    Special tokens' strings are ordinary text here. Null, repeated and empty rows and clashing names as for these.
+    """
+    done = apply(plant(df, text, "tree", tokenizer), edits, "tree", tokenizer)
+    return done.withColumn("edited", F.col("tree.text")).drop("tree")
 
 
-def revision(text: Column) -> Column:
-    """The edits that the query makes: a sentence put in at a third, forty characters taken out at the middle, a word changed near the end."""
-    n = F.length(text)
+def revision(n: Column) -> Column:
+    """The edits that the query makes in a text of n characters: a sentence put in at a third, forty characters taken out at the middle, a word changed near the end."""
 
     def one(at: Column, remove: Column | int, insert: str) -> Column:
         return F.struct(at.cast("int").alias("at"), F.lit(remove).cast("int").alias("remove"), F.lit(insert).alias("insert"))
@@ -183,6 +289,8 @@ def revision(text: Column) -> Column:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, stored; then the edits of revision() brought to the stored trees."""
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text("text").alias("text"))
-    counted = count_with_edits(docs.withColumn("edits", revision(F.col("text"))))
-    return counted.select("doc_id", F.length("edited").cast("bigint").alias("n_chars"), "tokens_before", "tokens_after", "n_pretokens", "n_reencoded")
+    trees = stored(plant(docs).drop("text"))
+    counted = apply(trees.withColumn("edits", revision(F.length("tree.text"))))
+    return counted.select("doc_id", F.length("tree.text").cast("bigint").alias("n_chars"), "tokens_before", "tokens_after", "n_pretokens", "n_reencoded")
