@@ -33,6 +33,12 @@ UNEVEN_SPACE = re.compile("[" + WS + "] | [" + WS + "]")
 #: A place where the pre-token rule surely starts anew: one space between two characters that are none.
 SAFE_CUT = re.compile("(?<=[^" + WS + "]) (?=[^" + WS + "])")
 SEGMENT = 1 << 16
+#: Characters that are held back when no boundary is in sight, before the pre-token that goes on is passed on by bytes.
+HELD = 1 << 15
+#: How many characters behind its end can change what a pre-token is.
+SIGHT = 3
+#: A pre-token that goes on: letters, numbers, other signs or white space.
+RUNS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", "[^" + WS + r"\p{L}\p{N}]+", "[" + WS + "]+"))
 NEVER = 1 << 30
 HASH = 0x9E3779B97F4A7C15
 CACHED = 300_000
@@ -74,6 +80,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((model["vocab"][a], model["vocab"][b]), (rank, model["vocab"][a + b]))
+        self.sight = SIGHT + max([0, *(len(x) - 1 for x in self.special)])
         self.special_rule = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.rank_of = {a << 17 | b: rank for (a, b), (rank, _) in self.merges.items()}
         self.token_of = {rank: new for rank, new in self.merges.values()}
@@ -200,19 +207,34 @@ class Vocabulary:
 
     def transduce(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """The tokens of one pre-token that arrives in pieces, each as soon as it is stable. The buffer stays bounded."""
-        buffer, window = b"", self.window
+        machine = Lookahead(self)
         for chunk in chunks:
-            for i in range(0, len(chunk), window):
-                buffer += chunk[i : i + window]
-                if len(buffer) >= window:
-                    done, stable = 0, len(buffer) - self.lookahead
-                    for token in self.merge(buffer):
-                        if (end := done + len(self.bytes_of[token])) > stable:
-                            break
-                        yield token
-                        done = end
-                    buffer = buffer[done:]
-        yield from self.merge(buffer) if buffer else ()
+            yield from machine.push(chunk)
+        yield from machine.finish()
+
+
+class Lookahead:
+    """One pre-token by bytes: a token is emitted once `lookahead` bytes behind it are known. Never holds more than two windows."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.buffer = vocabulary, b""
+
+    def push(self, chunk: bytes) -> Iterator[int]:
+        v = self.vocabulary
+        for i in range(0, len(chunk), v.window):
+            self.buffer += chunk[i : i + v.window]
+            if len(self.buffer) >= v.window:
+                done, stable = 0, len(self.buffer) - v.lookahead
+                for token in v.merge(self.buffer):
+                    if (end := done + len(v.bytes_of[token])) > stable:
+                        break
+                    yield token
+                    done = end
+                self.buffer = self.buffer[done:]
+
+    def finish(self) -> Iterator[int]:
+        last, self.buffer = self.buffer, b""
+        yield from self.vocabulary.merge(last) if last else ()
 
 
 class _Kept(dict):
@@ -294,18 +316,93 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[bytes]:
         """Packed ids, in pieces of bounded size."""
-        at, v = 0, self.vocabulary
-        if v.special_rule is not None:
-            for m in v.special_rule.finditer(text):
-                yield from self.plain(text[at : m.start()])
-                yield np.array([v.special[m.group()]], dtype="<i4").tobytes()
-                at = m.end()
-        yield from self.plain(text[at:] if at else text)
+        machine = Transducer(self)
+        for i in range(0, len(text), SEGMENT):
+            yield from machine.feed(text[i : i + SEGMENT], i + SEGMENT >= len(text))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.stream(text)), dtype="<i4")
 
 
+class Transducer:
+    """A text that arrives in pieces to packed ids, each as soon as it is stable.
+
+    What it holds: the characters behind the last sure boundary, HELD of them and a piece at most; or, inside a pre-token
+    longer than that, the bytes of Lookahead and the few characters that a special token or the end of the run may need.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.held, self.run, self.machine = encoder, "", None, None
+
+    def feed(self, piece: str, last: bool = False) -> Iterator[bytes]:
+        """Ids that are stable now; with `last`, all that are left."""
+        self.held += piece
+        v = self.encoder.vocabulary
+        sure = len(self.held) if last else len(self.held) - v.sight
+        at = 0
+        # a special token ends what stands before it, whatever comes after
+        for m in v.special_rule.finditer(self.held) if v.special_rule is not None else ():
+            if m.end() > sure:
+                sure = m.start() - SIGHT  # a longer one might still come of it
+                break
+            yield from self._text(self.held[at : m.start()], m.start() - at, True)
+            yield np.array([v.special[m.group()]], dtype="<i4").tobytes()
+            at = m.end()
+        self.held = yield from self._text(self.held[at:], sure - at, last)
+
+    def _text(self, text: str, sure: int, last: bool):
+        """Packed ids of `text`, in which no special token is left; returns what isn't decided yet, behind `sure` at least."""
+        if self.run is not None:
+            size = len(text)
+            text = yield from self._go_on(text, sure, last)
+            sure -= size - len(text)
+            if self.run is not None:
+                return text
+        if last:
+            yield from self.encoder.plain(text)
+            return ""
+        cut = text.rfind(" ", 0, max(sure, 0))
+        while cut > 0 and not SAFE_CUT.match(text, cut):
+            cut = text.rfind(" ", 0, cut)
+        if cut > 0:
+            yield from self.encoder.plain(text[:cut])
+            text, sure = text[cut:], sure - cut
+        if len(text) <= HELD:
+            return text
+        cut = 0
+        for m in PRETOKEN.finditer(text):
+            if m.end() > sure:
+                break
+            yield self.encoder.pretoken[m.group()]
+            cut = m.end()
+        text, sure = text[cut:], sure - cut
+        if sure > HELD:  # all of it one pre-token
+            self.run = next(r for r in RUNS if r.match(text, sure - 1))
+            self.machine = Lookahead(self.encoder.vocabulary)
+            yield self._packed(self.machine.push(text[: sure - 1].encode("utf-8", "surrogatepass")))
+            text = text[sure - 1 :]
+        return text
+
+    def _go_on(self, text: str, sure: int, last: bool):
+        """The same inside a long pre-token: it goes on as long as its kind of characters does."""
+        m = self.run.match(text)
+        end = m.end() if m else 0
+        if end > sure and not last:
+            end = max(0, sure - 1)
+            yield self._packed(self.machine.push(text[:end].encode("utf-8", "surrogatepass")))
+            return text[end:]
+        if 0 < end < len(text) and self.run is RUNS[3]:
+            end -= 1  # white space leaves its last character to what follows
+        yield self._packed(self.machine.push(text[:end].encode("utf-8", "surrogatepass")))
+        yield self._packed(self.machine.finish())
+        self.run = self.machine = None
+        return text[end:]
+
+    @staticmethod
+    def _packed(ids: Iterable[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+
 class Decoder:
     """Ids to text, one piece at a time; bytes of an unfinished character wait for the next piece. Bad bytes become U+FFFD."""
 
