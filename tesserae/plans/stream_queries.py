@@ -1,4 +1,4 @@
-"""Queries that run as streams over the driver's files until these are read, then show what the sink holds."""
+"""Queries that run as streams over the driver's files until these are read, then show the last state of each claim."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tesserae.functions import ratings as R
+from tesserae.operators.checkpoints import shared_folder
 from tesserae.plans.catalogue import register
 from tesserae.sources.tables import table
-from tesserae.streaming.ratings import rated
+from tesserae.streaming.ratings import kept
 
 
 @register("stream_ratings", "SELECT event_type AS claim, CAST(count(*) AS BIGINT) AS matchups FROM events WHERE value IS NOT NULL GROUP BY event_type")
@@ -18,8 +19,4 @@ def stream_ratings(spark, sf_dir):
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     priors = F.array(*(F.lit(p) for _, p in R.TRUST_CLASSES))
     games = files.where("value is not null").select(F.col("event_type").alias("claim"), F.col("event_id").alias("ord"), F.get(priors, (F.col("user_id") % 16).cast("int")).alias("trust"), (F.col("value") > 50).cast("double").alias("score"))
-    name = f"ratings_{uuid.uuid4().hex}"
-    query = rated(games).writeStream.outputMode("update").format("memory").queryName(name).start()
-    query.processAllAvailable()
-    query.stop()
-    return spark.table(name).groupBy("claim").agg(F.max("matchups").alias("matchups"))
+    return kept(games, f"{shared_folder(spark)}/ratings-{uuid.uuid4().hex}").select("claim", "matchups")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.functions import ratings as R
@@ -30,3 +31,23 @@ def rated(matchups: DataFrame) -> DataFrame:
     Matchups are played in the order in which they arrive by batch; what comes late is played late.
     """
     return matchups.groupBy("claim").applyInPandasWithState(_fold, OUTPUT, "n bigint, rating double, deviation double, volatility double", "update", GroupStateTimeout.NoTimeout)
+
+
+def kept(matchups: DataFrame, folder: str) -> DataFrame:
+    """Run rated() over what there is to read, and give each claim's last state.
+
+    Updates go to Parquet files in `folder`, a subfolder for each batch that a retry writes over; nothing of them is kept on
+    the driver. The stream's own checkpoints stand beside it, so the same folder goes on where it stopped.
+    """
+    spark = matchups.sparkSession
+    spark.createDataFrame([], OUTPUT).write.mode("overwrite").parquet(f"{folder}/updates/batch=-1")
+
+    def store(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    query = rated(matchups).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(store).start()
+    query.processAllAvailable()
+    query.stop()
+    names = [f.name for f in spark.createDataFrame([], OUTPUT).schema][1:]
+    last = spark.read.parquet(f"{folder}/updates").groupBy("claim").agg(F.max_by(F.struct(*names), "matchups").alias("last"))
+    return last.select("claim", "last.*")
