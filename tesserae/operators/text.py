@@ -128,6 +128,24 @@ def realized(roots: DataFrame, edge_rows: DataFrame, root: str = "id") -> DataFr
     return roots.join(done, F.col(root) == F.col("node"), "left").select(*roots.columns, F.col("surface").alias("text"))
 
 
+def placed(edge_rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(node, tier, m0..m3): where each entity lies. A codepoint lies where `points` (letter, m0..m3) has it; a composition at the exact
+    mean of its constituents, each as often as it comes, truncated towards zero. One tier a round; what isn't there counts nowhere."""
+    names = [f"m{d}" for d in range(4)]
+    edge_rows = cut(edge_rows)
+    links = edge_rows.where("letter is null")
+    letters = edge_rows.where("letter is not null").select(F.col("parent").alias("node"), "tier", "letter")
+    done = letters.join(points.select("letter", *names), "letter").select("node", "tier", *names)
+    tiers = sorted(r.tier for r in links.select("tier").distinct().collect())  # at most 255 numbers
+    for tier in tiers:
+        level = links.where(F.col("tier") == tier).select("parent", "child", F.col("run").cast("decimal(18,0)").alias("run"))
+        parts = level.join(done.select(F.col("node").alias("child"), *names), "child")
+        means = [F.call_function("div", F.sum(F.col(n).cast("decimal(19,0)") * F.col("run")), F.sum("run")).cast("bigint").alias(n) for n in names]
+        made = parts.groupBy(F.col("parent").alias("node")).agg(*means).select("node", F.lit(tier).alias("tier"), *names)
+        done = done.union(cut(made))
+    return done
+
+
 def scalars(spark, low: int = -32768, high: int = 65535) -> DataFrame:
     """(v, id, tier): whole numbers as compositions of their digits, a fixed range of them."""
 

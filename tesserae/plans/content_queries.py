@@ -73,6 +73,14 @@ def text_entities(spark, sf_dir):
     return e.groupBy("tier").agg(F.count("*").alias("entities"), F.sum("parts").alias("parts"), F.sum("vertices").alias("vertices"))
 
 
+@register("text_places", None)
+def text_places(spark, sf_dir):
+    """Where the texts of `benchmark` lie, by the codepoint table's coordinates."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
+    points = U.build(spark).where("not cp between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32").alias("letter"), "m0", "m1", "m2", "m3")
+    return X.text_ids(b, "key", "text").join(X.placed(X.edges(b, "text"), points).withColumnRenamed("node", "id").drop("tier"), "id").select("key", "tier", "m0", "m1", "m2", "m3")
+
+
 @register("text_letters", "SELECT unicode(ch) AS cp, ch FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')")
 def text_letters(spark, sf_dir):
     """The codepoints that all documents come down to."""
@@ -279,6 +287,8 @@ def json_written(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"name":'), J.escaped(F.col("p_name")), F.lit("}")).alias("json"))
 
 
+#: Vectors to a tensor file, about.
+BLOCK = 4096
 _TYPES_SQL = ", ".join(f"('{n}', {v}, {b})" for n, (v, b, _) in Q.TYPES.items())
 
 
@@ -309,18 +319,22 @@ def tensor_decode(spark, sf_dir):
 
 @register("tensor_files", "SELECT label, 'embeddings' AS name, 'F32' AS dtype, CAST(count(*) * 64 * 4 AS BIGINT) AS bytes, true AS same FROM embeddings GROUP BY label")
 def tensor_files(spark, sf_dir):
-    """One Safetensors and one GGUF file of the first block of each label's vectors, read back."""
-    e = table(spark, sf_dir, "embeddings")
+    """Each label's vectors as Safetensors and GGUF files of about BLOCK vectors, read back: bytes of both, which must be the same."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    files = e.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("files"))
+    dealt = e.join(F.broadcast(files), "label").withColumn("file", F.pmod(F.xxhash64("vec_id"), F.col("files")))
 
-    def files(pdf):
+    def written(pdf):
         raw = np.stack([np.asarray(v, "<f4") for v in pdf.sort_values("vec_id")["embedding"]])
         t = [("embeddings", "F32", list(raw.shape), raw.tobytes())]
-        label = pdf["label"].iloc[0]
-        return pd.DataFrame({"path": [f"{label}/a", f"{label}/b"], "content": [containers.write_safetensors(t, {"by": "label"}), containers.write_gguf([("general.name", 8, "embeddings")], t)]})
-
-    made = e.select("vec_id", "embedding", "label").groupBy("label").applyInPandas(files, "path string, content binary")
-    d = containers.tensor_directory(made).withColumn("label", F.split("path", "/")[0].cast("int"))
-    return d.groupBy("label", "name", "dtype").agg(F.max(F.col("end") - F.col("start")).alias("bytes"), (F.countDistinct(F.col("end") - F.col("start")) == 1).alias("same"))
+        name = f"{pdf['label'].iloc[0]}/{pdf['file'].iloc[0]}"
+        return pd.DataFrame({"path": [f"{name}/a", f"{name}/b"], "content": [containers.write_safetensors(t, {"by": "label"}), containers.write_gguf([("general.name", 8, "embeddings")], t)]})
+
+    made = dealt.groupBy("label", "file").applyInPandas(written, "path string, content binary")
+    d = containers.tensor_directory(made).withColumns({"label": F.split("path", "/")[0].cast("int"), "kind": F.split("path", "/")[2]})
+    size = F.col("end") - F.col("start")
+    sums = d.groupBy("label", "name", "dtype").agg(F.sum(F.when(F.col("kind") == "a", size)).cast("bigint").alias("bytes"), F.sum(F.when(F.col("kind") == "b", size)).cast("bigint").alias("other"))
+    return sums.select("label", "name", "dtype", "bytes", (F.col("bytes") == F.col("other")).alias("same"))
 
 
 @register("ggml_names", "SELECT p_partkey, 'blk.' || (p_partkey % 40) || '.attn_q.weight' AS name FROM part")

@@ -394,3 +394,23 @@ def test_wire_forms():
     data = b"".join(wire.copy_stream([(1, None, "é")], [T.LongType(), T.DoubleType(), T.StringType()]))
     assert data == b"PGCOPY\n\xff\r\n\x00" + bytes(8) + b"\x00\x03" + struct.pack(">iq", 8, 1) + struct.pack(">i", -1) + struct.pack(">i", 2) + "é".encode() + b"\xff\xff"
     assert json.loads(json.dumps("x")) == "x"
+
+
+def test_places_of_compositions(spark):
+    texts = ["banana", "a b a b a b.", "the end.\n\nThe end.", "zzzz", "b"]
+    rng = random.Random(3)
+    at = {c: [rng.randrange(-(1 << 52), 1 << 52) for _ in range(4)] for c in {c for t in texts for c in t}}
+    points = spark.createDataFrame([(c, *p) for c, p in at.items()], "letter string, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.node: ([r.m0, r.m1, r.m2, r.m3], r.tier) for r in text.placed(text.edges(df, "text"), points).collect()}
+    store = identity.Composer()
+    for t in texts:
+        segments.decompose(t, store)
+    ids, want = store.ids(), []
+    for n, part in enumerate(store.parts):
+        if isinstance(part, str):
+            want.append(at[part])
+            continue
+        sums = [sum(want[c][d] for c in part) for d in range(4)]
+        want.append([abs(x) // len(part) * (1 if x >= 0 else -1) for x in sums])
+    assert got == {ids[n]: (want[n], store.tier[n]) for n in range(len(store.parts))}
