@@ -99,10 +99,11 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", keep_text: bo
     """All rows of `df` with the measures, base_failed, soft_failed, host_rate and kept.
 
     kept: not base_failed, and on a bad host no soft rule failed either; a clean document stays whatever its host. New
-    columns carry the prefix "q_" so that none of the input clashes. Null hosts are judged together. Repeated rows count
+    columns carry the prefix "q_"; columns of the input that begin with it are replaced. Null texts have no words. Null hosts are judged together. Repeated rows count
     as often as they come. An empty table gives no rows. Rows are measured once and stored: verdicts need all of them.
     keep_text=False leaves the text column out.
     """
+    df = df.drop(*(c for c in df.columns if c.startswith("q_")))
     out = measures(df, text, "q_").withColumn("q_base_failed", base_failed("q_")).withColumn("q_soft_failed", soft_failed("q_"))
     out = stored(out if keep_text else out.drop(text))
     hosts = host_verdicts(out, host, "q_soft_failed").select(F.col("host").alias("q_host"), F.col("rate").alias("q_host_rate"), F.col("bad").alias("q_bad"))

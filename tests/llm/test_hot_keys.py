@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tesserae.llm import common, components, simhash, source_mixing
+from tesserae.llm import common, components, quality_rules, simhash, source_mixing
 
 
 def test_components_with_hubs(spark):
@@ -70,3 +70,10 @@ def test_texts_under_one_id_are_kept_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted(((r.doc_id, r.text) for r in P.distinct(spark, docs, "").collect()), key=str)
     assert got == sorted([(5, text), (5, other), (None, text), (8, None)], key=str)
+
+
+def test_verdicts_replace_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, "a", 9, 9, True), (2, None, None, 9, 9, True)], "doc_id bigint, text string, source string, q_host int, host int, q_kept boolean")
+    got = {r.doc_id: (r.q_kept, r.host, r.q_n_words) for r in quality_rules.judge(df).collect()}
+    assert got == {1: (True, 9, 80), 2: (False, 9, 0)} and "q_host" not in quality_rules.judge(df).columns
