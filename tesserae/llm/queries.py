@@ -15,6 +15,8 @@ from tesserae.llm.license_scan import op5_license_scan
 from tesserae.llm.lm_scoring import op2_lm_scoring
 from tesserae.llm.quality_rules import SQL as QUALITY_SQL
 from tesserae.llm.quality_rules import op3_quality_rules
+from tesserae.llm.repeats import SQL as REPEATS_SQL
+from tesserae.llm.repeats import op12_repeats
 from tesserae.llm.simhash import op4_simhash
 from tesserae.llm.source_audit import SQL as AUDIT_SQL
 from tesserae.llm.source_audit import op13_source_audit
@@ -24,7 +26,7 @@ from tesserae.llm.top_k import SQL as TOP_K_SQL
 from tesserae.llm.top_k import op8_top_k
 from tesserae.llm.toxicity import op7_toxicity
 
-_QUERIES = (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_simhash, op5_license_scan, op6_html_text, op7_toxicity, op8_top_k, op9_bpe_codec, op10_source_mixing, op11_conversation_trie, op13_source_audit)
+_QUERIES = (op1_token_counts, op2_lm_scoring, op3_quality_rules, op4_simhash, op5_license_scan, op6_html_text, op7_toxicity, op8_top_k, op9_bpe_codec, op10_source_mixing, op11_conversation_trie, op12_repeats, op13_source_audit)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_SQL, "op5_license_scan": LICENSE_SQL, "op8_top_k": TOP_K_SQL, "op11_conversation_trie": TRIE_SQL, "op13_source_audit": AUDIT_SQL}
+    return {"op3_quality_rules": QUALITY_SQL, "op5_license_scan": LICENSE_SQL, "op8_top_k": TOP_K_SQL, "op11_conversation_trie": TRIE_SQL, "op12_repeats": REPEATS_SQL, "op13_source_audit": AUDIT_SQL}
