@@ -106,7 +106,8 @@ def test_maximal_repeats():
 
 
 def test_repeated_and_null_ids(spark):
-    text = "".join(random.Random(9).choice("abcdefgh") for _ in range(150))
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(150))
     rows = [(5, text), (5, text), (5, text + "!"), (None, text), (None, None), (7, text)]
     got = R.removed_spans(spark.createDataFrame([(*r, "", "", "", "", "") for r in rows], SCHEMA)).collect()
     removed = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got)
