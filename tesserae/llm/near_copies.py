@@ -4,8 +4,10 @@ At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in some 10 bits, u
 must agree, which deal fingerprints to buckets where the radius is 4, would have to be two bits long for that. So buckets are
 dealt by least hashes: texts share one if they agree on all rows of one of BANDS bands, which a pair of 0.8 misses with a
 chance of 3 in a million. In the buckets the bit planes of the fingerprints are compared as for exact radii: pairs beyond RADIUS
-bits are abandoned (a pair of 0.8 lies beyond it with a chance of some 3 in 100,000), and what is left is decided by the
-shingle sets themselves.
+bits are abandoned (a pair of 0.8 lies beyond it with a chance of some 3 in 100,000). Texts from one template, with 0.6 of their
+shingles in common, would nearly all pass that, so a sketch follows: one bit of each of SKETCH further least hashes. Two texts
+of similarity J differ in (1 - J) / 2 of the bits, a tenth at 0.8; pairs that differ in more than APART are dropped (a pair of 0.8 with a
+chance of one in a million, all but 5 in 10,000 at 0.6). What is left is decided by the shingle sets themselves.
 
 Texts with equal shingle sets are one node. Each bucket first proposes its members to its least node, so that a large group of
 copies needs no pair of all its members. Then every pair of a bucket that isn't connected yet is proposed.
@@ -30,6 +32,8 @@ from tesserae.llm.simhash import close_pairs
 BANDS, ROWS = 24, 4
 #: Differing bits up to which a pair's shingle sets are compared.
 RADIUS = 24
+#: Bits of a sketch, and differing bits up to which a pair is looked at.
+SKETCH, APART = 768, 117
 #: Members of a bucket that are compared as one group; larger buckets are split into pairs of parts.
 PART = 8192
 #: Pairs of one node that a task gets together, about.
@@ -38,6 +42,7 @@ PAIRS = 256
 AT_ONCE = 1024
 
 _made = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_sketched_by = np.random.default_rng(21).integers(0, 1 << 32, (2, SKETCH), dtype=np.uint32)
 _TIMES, _PLUS = (_made[0] << np.uint64(1)) | np.uint64(1), _made[1]
 
 
@@ -71,6 +76,15 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """A bit of each of SKETCH least hashes, as signed 64-bit numbers."""
+    least, times, plus = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32), _sketched_by[0] | np.uint32(1), _sketched_by[1]
+    own = (hashes >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(own), AT_ONCE):
+        np.minimum(least, (own[start : start + AT_ONCE, None] * times + plus).min(axis=0), out=least)
+    return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31) == 1).view(np.int64).tolist()
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     """The SimHash of a shingle set, as a signed number: bit k is 1 if it is set in over half of the hashes."""
     total = np.zeros(64, np.int64)
@@ -119,15 +133,36 @@ def _confirmed(size: int):
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose shingle sets are similar. The pairs of one `a` are dealt to as many tasks as they need."""
-    pairs = cut(pairs)
-    degrees = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+def _sketched(size: int):
+    def run(batches):
+        for batch in batches:
+            made = [sketch(shingles(x.as_py(), size)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    return run
+
+
+def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str, value: str) -> DataFrame:
+    """`pairs` with the `value` of their nodes of one side, as {value}_{side}; a node of many pairs meets them in as many tasks as it needs."""
+    degrees = cut(pairs.groupBy(side).agg(F.count("*").alias("n")))
     spread = F.ceil(F.col("n") / PAIRS).cast("int")
-    salted = split_join(pairs, degrees, ["a"], "n", pairs.count(), PAIRS).withColumn("salt", F.pmod(F.xxhash64("b"), spread).cast("int"))
-    salted = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").drop("n")
-    left = degrees.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
-    return cut(salted.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size), "a bigint, b bigint"))
+    salted = split_join(pairs, degrees, [side], "n", pairs.count(), PAIRS).withColumn("salt", F.pmod(F.xxhash64(other), spread).cast("int")).drop("n")
+    values = degrees.join(nodes.select(F.col("node").alias(side), F.col(value).alias(f"{value}_{side}")), side)
+    values = values.select(side, f"{value}_{side}", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
+    return salted.join(values, [side, "salt"]).drop("salt")
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of `pairs` whose sketches differ in no more than APART bits."""
+    met = cut(_beside(cut(pairs), sketches, "a", "b", "sketch"))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return _beside(met, sketches, "b", "a", "sketch").where(apart <= APART).select("a", "b")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose shingle sets are similar."""
+    met = cut(_beside(cut(pairs), texts, "b", "a", "text"))
+    return cut(_beside(met, texts, "a", "b", "text").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size), "a bigint, b bigint"))
 
 
 def _bucket_pairs(batches):
@@ -136,11 +171,12 @@ def _bucket_pairs(batches):
     def pairs(pdf):
         changed = (pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(axis=1)
         node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
+        sketches = np.stack(pdf["sketch"].to_numpy())
         across = (pdf["part_a"] != pdf["part_b"]).to_numpy()
         found = [np.zeros((2, 0), np.int64)]
         for i, j in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), np.r_[0, np.cumsum(changed)], RADIUS, pdf["label"].to_numpy(np.int64)):
             # pairs within a part are met where both parts are that one
-            use = ~across[i] | (own[i] != own[j])
+            use = (~across[i] | (own[i] != own[j])) & (np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64) <= APART)
             found.append(np.stack([np.minimum(node[i], node[j])[use], np.maximum(node[i], node[j])[use]]))
         a, b = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
@@ -157,7 +193,7 @@ def _bucket_pairs(batches):
         yield pairs(held)
 
 
-def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _unconnected(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket, have different labels and may be similar."""
     known = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = cut(known.select("key", "node", "fp", "label"))
@@ -165,7 +201,7 @@ def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
     parts = split_join(known, cut(buckets.select("key", "n")), ["key"], "n", known.count())
     parts = parts.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    parts = parts.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "own", "node", "label", "fp")
+    parts = parts.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "own", "node", "label", "fp").join(sketches, "node")
     keys = ["key", "part_a", "part_b"]
     return parts.repartition(*keys).sortWithinPartitions(*keys, "label").mapInPandas(_bucket_pairs, "a bigint, b bigint").distinct()
 
@@ -189,10 +225,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     # equal rows, if the representative is repeated, are one
     same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
     texts = cut(docs.join(needed, same).groupBy("node").agg(F.first("text").alias("text")))
+    sketches = cut(texts.mapInArrow(_sketched(size), "node bigint, sketch array<bigint>"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS
     leads = members.where((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirm(leads, texts, size)
-    more = _confirm(_unconnected(members.select("node", "fp", "key"), components(links)), texts, size)
+    links = _confirm(_promising(leads, sketches), texts, size)
+    more = _confirm(_unconnected(members.select("node", "fp", "key"), components(links), sketches), texts, size)
     found = components(links.union(more))
     named = cut(nodes.join(found, "node", "left").select("node", "times", "rep", F.coalesce("component", "node").alias("component")))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")))

@@ -76,3 +76,47 @@ def test_stage_keeps_one_of_each_component(spark):
     rows = planted()
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in P.distinct(spark, docs, "").collect()) == sorted(set(brute_force(rows)[0].values()))
+
+
+def templates(n, words, changed, seed=3):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, out = [word() for _ in range(words)], []
+    for k in range(n):
+        own = list(base)
+        for i in rng.sample(range(words), changed):
+            own[i] = word()
+        out.append((k, " ".join(own)))
+    return out
+
+
+def test_texts_of_a_template_propose_few_pairs(spark, monkeypatch):
+    """400 texts that pairwise share some 0.6 of their shingles: nearly all of the 79,800 pairs are told apart before texts are compared."""
+    proposed = []
+    whole = N._confirm
+
+    def counted(pairs, texts, size):
+        proposed.append(pairs.count())
+        return whole(pairs, texts, size)
+
+    monkeypatch.setattr(N, "_confirm", counted)
+    rows = templates(400, 400, 10)
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_force(rows)[0]
+    assert sum(proposed) < 2 * len(rows)
+
+
+def test_sketches_keep_similar_pairs():
+    """Of pairs at 0.8 or a little more, sketches drop none."""
+    base = templates(1, 300, 0, seed=8)[0][1].split()
+    first = N.shingles(" ".join(base), 5)
+    apart, own_print = [], N.np.array(N.sketch(first))
+    for k in range(400):
+        rng = random.Random(k)
+        own = list(base)
+        for i in rng.sample(range(300), 3 + k % 4):
+            own[i] = f"new{k}x{i}"
+        h = N.shingles(" ".join(own), 5)
+        if N.similar(first, h):
+            apart.append(int(N.np.bitwise_count(own_print ^ N.np.array(N.sketch(h))).sum()))
+    assert len(apart) > 150 and max(apart) <= N.APART
