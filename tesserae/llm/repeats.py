@@ -28,9 +28,9 @@ from tesserae.llm.common import stored, table
 #: Bytes that make a repeat, and of the strings that anchors are chosen from.
 LENGTH, GRAM = 100, 24
 #: Windows of a text to a piece, and bytes of pieces that are hashed at once: together below 2^24.
-PIECE, BUFFER = 1 << 22, 1 << 23
+PIECE, BUFFER = 1 << 20, 1 << 21
 #: Contexts of an anchor that a suffix array takes, and bytes of contexts in one array.
-CONTEXTS, ARRAY = 20_000, 4 << 20
+CONTEXTS, ARRAY = 10_000, 1 << 20
 #: Rows that are looked at together.
 ROWS = 100_000
 
