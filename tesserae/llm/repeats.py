@@ -291,8 +291,15 @@ def _compared(length: int, array: int):
                 own = [(*place[t][:2], place[t][2] + int(x)) for t, x in zip(texts.tolist(), at.tolist())]
                 first = min(own)
                 out += [(d, t, s, s + size) for d, t, s in own if (d, t, s) > first]
-        spans = np.array(sorted(set(out)), np.int64).reshape(-1, 4)
-        return _batch(_rows(kind=REMOVED, doc=spans[:, 0], tie=spans[:, 1], start=spans[:, 2], n=spans[:, 3]) if len(spans) else _joined([]))
+        # a suffix is in all the intervals around its own: what they remove of one text is passed on once
+        merged = []
+        for d, t, s, e in sorted(set(out)):
+            if merged and merged[-1][:2] == [d, t] and s <= merged[-1][3]:
+                merged[-1][3] = max(merged[-1][3], e)
+            else:
+                merged.append([d, t, s, e])
+        spans = np.array(merged, np.int64).reshape(-1, 4)
+        return _batch(_rows(kind=REMOVED, doc=spans[:, 0], tie=spans[:, 1], start=spans[:, 2], n=spans[:, 3]))
 
     def run(batches):
         held, size = [], 0
