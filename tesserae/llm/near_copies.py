@@ -171,7 +171,7 @@ def _bucket_pairs(batches):
     def pairs(pdf):
         changed = (pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(axis=1)
         node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
-        sketches = np.stack(pdf["sketch"].to_numpy())
+        sketches = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
         across = (pdf["part_a"] != pdf["part_b"]).to_numpy()
         found = [np.zeros((2, 0), np.int64)]
         for i, j in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), np.r_[0, np.cumsum(changed)], RADIUS, pdf["label"].to_numpy(np.int64)):

@@ -110,7 +110,7 @@ def test_sketches_keep_similar_pairs():
     """Of pairs at 0.8 or a little more, sketches drop none."""
     base = templates(1, 300, 0, seed=8)[0][1].split()
     first = N.shingles(" ".join(base), 5)
-    apart, own_print = [], N.np.array(N.sketch(first))
+    apart, own_print = [], N.np.array(N.sketch(first)).view(N.np.uint64)
     for k in range(400):
         rng = random.Random(k)
         own = list(base)
@@ -118,5 +118,5 @@ def test_sketches_keep_similar_pairs():
             own[i] = f"new{k}x{i}"
         h = N.shingles(" ".join(own), 5)
         if N.similar(first, h):
-            apart.append(int(N.np.bitwise_count(own_print ^ N.np.array(N.sketch(h))).sum()))
+            apart.append(int(N.np.bitwise_count(own_print ^ N.np.array(N.sketch(h)).view(N.np.uint64)).sum()))
     assert len(apart) > 150 and max(apart) <= N.APART
