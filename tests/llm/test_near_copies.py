@@ -103,7 +103,7 @@ def test_texts_of_a_template_propose_few_pairs(spark, monkeypatch):
     rows = templates(400, 400, 10)
     got = N.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_force(rows)[0]
-    assert sum(proposed) < 2 * len(rows)
+    assert sum(proposed) < 5 * len(rows), proposed
 
 
 def test_sketches_keep_similar_pairs():
