@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ from tesserae.functions import tensors as Q
 from tesserae.operators import paths as P
 from tesserae.operators import registry as R
 from tesserae.operators import text as X
-from tesserae.operators.checkpoints import cut
+from tesserae.operators.checkpoints import cut, shared_folder
 from tesserae.operators.order import numbered
 from tesserae.plans.catalogue import register
 from tesserae.sources import containers, wire
+from tesserae.sources import tensor_files as tensor_files_source
 from tesserae.sources.tables import event_sequences, table
 
 
@@ -337,6 +340,30 @@ def tensor_files(spark, sf_dir):
     return sums.select("label", "name", "dtype", "bytes", (F.col("bytes") == F.col("other")).alias("same"))
 
 
+@register("tensor_ranges", "SELECT label, CAST(2 * count(*) * 64 * 4 AS BIGINT) AS bytes, CAST(2 * count(*) * 64 AS BIGINT) AS n, CAST(sum(2 * list_sum(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)))) AS BIGINT) AS total FROM embeddings GROUP BY label")
+def tensor_ranges(spark, sf_dir):
+    """All vectors as Safetensors and GGUF files of each label, read back through the data source: sizes from headers, values by ranges of bytes."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    files = e.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("files"))
+    dealt = e.join(F.broadcast(files), "label").withColumn("file", F.pmod(F.xxhash64("vec_id"), F.col("files")))
+
+    def written(pdf):
+        raw = np.stack([np.asarray(v, "<f4") for v in pdf.sort_values("vec_id")["embedding"]])
+        t = [("embeddings", "F32", list(raw.shape), raw.tobytes())]
+        name = f"{pdf['label'].iloc[0]}/{pdf['file'].iloc[0]}"
+        return pd.DataFrame({"name": [f"{name}.safetensors", f"{name}.gguf"], "content": [containers.write_safetensors(t), containers.write_gguf([], t)]})
+
+    folder = f"{shared_folder(spark)}/tensors-{uuid.uuid4().hex}"
+    cut(tensor_files_source.write_files(dealt.groupBy("label", "file").applyInPandas(written, "name string, content binary"), folder))
+    spark.dataSource.register(tensor_files_source.TensorFiles)
+    read = spark.read.format("tensors")
+    label = F.element_at(F.split("path", "/"), -2).cast("int").alias("label")
+    sizes = read.load(folder).groupBy(label).agg(F.sum(F.col("end") - F.col("start")).alias("bytes"))
+    whole = F.aggregate("values", F.lit(0).cast("bigint"), lambda n, x: n + F.floor(1024 * x.cast("double")))
+    sums = read.option("values", "true").option("block", 1 << 20).load(folder).groupBy(label).agg(F.sum(F.size("values")).alias("n"), F.sum(whole).alias("total"))
+    return sizes.join(sums, "label").select("label", "bytes", F.col("n").cast("bigint").alias("n"), "total")
+
+
 @register("ggml_names", "SELECT p_partkey, 'blk.' || (p_partkey % 40) || '.attn_q.weight' AS name FROM part")
 def ggml_names(spark, sf_dir):
     name = F.concat(F.lit("model.layers."), (F.col("p_partkey") % 40).cast("string"), F.lit(".self_attn.q_proj.weight"))

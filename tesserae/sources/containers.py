@@ -22,10 +22,20 @@ class Malformed(ValueError):
     """The file isn't what it says it is; nothing of it is used."""
 
 
-def read_safetensors(data: bytes) -> tuple[list[tuple], dict | None]:
-    """Tensors (name, dtype, dims, start, end in the file) in order of their data, and the metadata."""
-    if len(data) < 8 or (size := struct.unpack_from("<Q", data)[0]) > min(LARGEST_HEADER, len(data) - 8):
+class Short(Malformed):
+    """What was read of the file ends before its header does."""
+
+
+def read_safetensors(data: bytes, whole: int | None = None) -> tuple[list[tuple], dict | None]:
+    """Tensors (name, dtype, dims, start, end in the file) in order of their data, and the metadata.
+
+    `data` may be no more than the header, if `whole` says how long the file is.
+    """
+    whole = len(data) if whole is None else whole
+    if whole < 8 or len(data) >= 8 and struct.unpack_from("<Q", data)[0] > min(LARGEST_HEADER, whole - 8):
         raise Malformed("header")
+    if len(data) < 8 or len(data) < 8 + (size := struct.unpack_from("<Q", data)[0]):
+        raise Short("header")
     try:
         header = json.loads(data[8 : 8 + size].decode("utf-8", "surrogatepass"), strict=False)
     except ValueError as e:
@@ -38,7 +48,7 @@ def read_safetensors(data: bytes) -> tuple[list[tuple], dict | None]:
             dtype, dims, (start, end) = x["dtype"], x["shape"], x["data_offsets"]
         except (KeyError, TypeError, ValueError) as e:
             raise Malformed(name) from e
-        if len(dims) > MOST_DIMS or not 0 <= start <= end or base + end > len(data):
+        if len(dims) > MOST_DIMS or not 0 <= start <= end or base + end > whole:
             raise Malformed(name)
         out.append((name, dtype if dtype in TYPES else "UNKNOWN", dims, base + start, base + end))
     return sorted(out, key=lambda t: t[3]), meta
@@ -54,20 +64,24 @@ def write_safetensors(tensors: list[tuple[str, str, list[int], bytes]], metadata
 
 
 class _Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+    def __init__(self, data: bytes, whole: int):
+        self.data, self.at, self.whole = data, 0, whole
+
+    def needs(self, size: int) -> None:
+        if self.at + size > self.whole:
+            raise Malformed("cut off")
+        if self.at + size > len(self.data):
+            raise Short("cut off")
 
     def take(self, code: str):
         size = struct.calcsize("<" + code)
-        if self.at + size > len(self.data):
-            raise Malformed("cut off")
+        self.needs(size)
         self.at += size
         return struct.unpack_from("<" + code, self.data, self.at - size)[0]
 
     def text(self) -> str:
         n = self.take("Q")
-        if self.at + n > len(self.data):
-            raise Malformed("cut off")
+        self.needs(n)
         self.at += n
         return self.data[self.at - n : self.at].decode("utf-8", "replace")
 
@@ -79,14 +93,18 @@ class _Reader:
         if kind != 9:
             raise Malformed("value type")
         inner, n = self.take("I"), self.take("Q")
-        if inner == 9 or n > len(self.data):
+        if inner == 9 or n > self.whole:
             raise Malformed("array")
         return [self.value(inner) for _ in range(n)]
 
 
-def read_gguf(data: bytes) -> dict:
-    """version, alignment, data_offset, kv [(key, kind, value)] and tensors [(name, dtype, dims, start, end)]."""
-    r = _Reader(data)
+def read_gguf(data: bytes, whole: int | None = None) -> dict:
+    """version, alignment, data_offset, kv [(key, kind, value)] and tensors [(name, dtype, dims, start, end)].
+
+    `data` may be no more than the header, if `whole` says how long the file is.
+    """
+    whole = len(data) if whole is None else whole
+    r = _Reader(data, whole)
     if data[:4] != b"GGUF":
         raise Malformed("magic")
     r.at = 4
@@ -94,7 +112,7 @@ def read_gguf(data: bytes) -> dict:
     if version not in (2, 3):
         raise Malformed("version")
     n_tensors, n_values = r.take("Q"), r.take("Q")
-    if max(n_tensors, n_values) > len(data):
+    if max(n_tensors, n_values) > whole:
         raise Malformed("counts")
     kv = []
     for _ in range(n_values):
@@ -118,7 +136,7 @@ def read_gguf(data: bytes) -> dict:
             values *= d
         per, size, _ = TYPES.get(dtype, (1, 0, 0))
         length = values // per * size if values % per == 0 else 0
-        if base + offset + length > len(data):
+        if base + offset + length > whole:
             raise Malformed(name)
         tensors.append((name, dtype, dims, base + offset, base + offset + length))
     return {"version": version, "alignment": alignment, "data_offset": base, "kv": kv, "tensors": tensors}
