@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it from there: a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), as a Parquet table in the shared folder: for many rounds of joins, since a checkpoint carries on the estimated sizes
+    of its plan, which multiply with each join, and a table has its own."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tesserae.functions import segments as S
 from tesserae.functions.identity import Composer
-from tesserae.operators.checkpoints import cut
+from tesserae.operators.checkpoints import cut, written
 
 EDGES = "parent binary, ordinal int, child binary, run int, tier int, letter string"
 #: Characters of text whose compositions are kept and hashed together; a longer text is by itself.
@@ -174,15 +174,15 @@ def label(node: bytes, read, seen: tuple = ()) -> str:
     """A display of a stored node: its text where it is text, a bracketed list of what a tuple or record holds, else its id.
 
     read(id) gives a letter, or (flags, [(child id, run, said)]), or None. A run is shown once with its count. Raises
-    ValueError on a cycle.
+    ValueError on a cycle. labels() does the same for tables.
     """
     if node in seen:
         raise ValueError("cycle")
-    text = surface(node, read, seen)
+    found = read(node)
+    text = None if found is not None and not isinstance(found, str) and found[0] & TUPLE else surface(node, read, seen)
     if text is not None:
         return text
-    found = read(node)
-    if found is None or isinstance(found, str) or not found[1]:
+    if found is None or not (found[0] & TUPLE or found[0] & OPAQUE and found[1]):
         return node.hex()
     shown = [label(child, read, (*seen, node)) + (f" × {run}" if run > 1 else "") for child, run, _ in found[1]]
     return "[" + " · ".join(shown) + "]"
@@ -196,7 +196,7 @@ def surface(node: bytes, read, seen: tuple = ()) -> str | None:
     if found is None or isinstance(found, str):
         return found
     flags, children = found
-    if flags & OPAQUE or (flags & TUPLE and not flags & SCALAR):
+    if flags & OPAQUE or (flags & TUPLE and not flags & SCALAR) or not children:
         return None
     out = []
     for child, run, said in children:
@@ -206,3 +206,54 @@ def surface(node: bytes, read, seen: tuple = ()) -> str | None:
                 return None
             out.append(text * run)
     return "".join(out)
+
+
+def labels(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """(node, text, label) for each of `nodes` (node, flags, letter), whose parts are `children` (parent, ordinal, child, run, said).
+
+    text is the surface that the node has inside others, null if it isn't text: a letter, or the parts' surfaces one after
+    another, claims and voices left out; opaque nodes, tuples of anything but scalars, and nodes without parts have none. label is the
+    text; of a tuple, and of an opaque node with parts, its parts' labels in brackets, a run once with its count; else the id
+    as hex. A part that isn't in `nodes` has no text and its id as label. A node is settled in the round after the last of its parts,
+    so rounds go as deep as the table; what is never settled stands on or above a cycle and is given with null text and label.
+    Letters, 1,114,112 at most, are broadcast; of other parts only settled ones travel, once a round.
+    """
+    nodes = written(nodes.select("node", F.coalesce("flags", F.lit(0)).alias("flags"), "letter"))
+    parts = children.select("parent", "ordinal", "child", "run", F.coalesce("said", F.lit(0)).alias("said"))
+    known = nodes.select(F.col("node").alias("child"), F.lit(True).alias("there"))
+    letters = nodes.where("letter is not null").select(F.col("node").alias("child"), F.col("letter").alias("_text"))
+    hexed = F.lower(F.hex("child"))
+    # letters and parts that aren't stored are settled from the start
+    met = parts.join(F.broadcast(letters), "child", "left").join(known, "child", "left")
+    waiting = written(met.select("parent", "ordinal", "child", "run", "said", (F.col("_text").isNotNull() | F.col("there").isNull()).alias("settled"), F.col("_text").alias("text"), F.when(F.col("there").isNull(), hexed).otherwise(F.col("_text")).alias("label")))
+    own = nodes.where("letter is null").select("node", "flags")
+    empty = own.join(waiting.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    none = F.when(F.col("flags").bitwiseAND(TUPLE) != 0, "[]").otherwise(F.lower(F.hex("node")))
+    fresh = written(empty.select("node", F.lit(None).cast("string").alias("text"), none.alias("label")))
+    done = [nodes.where("letter is not null").select("node", F.col("letter").alias("text"), F.col("letter").alias("label")), fresh]
+    while True:
+        if not fresh.isEmpty():
+            new = fresh.select(F.col("node").alias("child"), F.col("text").alias("_text"), F.col("label").alias("_label"))
+            # a part is met once, in the round after it is settled; the others stay as they are
+            late = waiting.where("not settled").join(new, "child").select("parent", "ordinal", "child", "run", "said", F.lit(True).alias("settled"), F.col("_text").alias("text"), F.col("_label").alias("label"))
+            rest = waiting.where("not settled").join(new.select("child"), "child", "left_anti").select(*late.columns)
+            waiting = written(waiting.where("settled").unionByName(rest).unionByName(late))
+        ready = waiting.groupBy("parent").agg(F.min("settled").alias("all")).where("all").select(F.col("parent").alias("node"))
+        ready = written(ready.join(own, "node"))
+        if ready.isEmpty():
+            break
+        piece = F.struct("ordinal", "run", "said", "text", "label")
+        made = waiting.withColumnRenamed("parent", "node").join(ready, "node").groupBy("node", "flags").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+        heard = F.filter("p", lambda x: ~x["said"].isin(CLAIM, VOICE))
+        flag = lambda f: F.col("flags").bitwiseAND(f) != 0
+        text = F.when(~flag(OPAQUE) & (~flag(TUPLE) | flag(SCALAR)) & ~F.exists(heard, lambda x: x["text"].isNull()), F.array_join(F.transform(heard, lambda x: F.repeat(x["text"], x["run"].cast("int"))), ""))
+        shown = F.transform("p", lambda x: F.concat(x["label"], F.when(x["run"] > 1, F.concat(F.lit(" × "), x["run"].cast("string"))).otherwise("")))
+        listed = F.concat(F.lit("["), F.array_join(shown, " · "), F.lit("]"))
+        label = F.when(flag(TUPLE), listed).when(F.col("text").isNotNull(), F.col("text")).when(flag(OPAQUE), listed).otherwise(F.lower(F.hex("node")))
+        fresh = written(made.withColumn("text", text).select("node", "text", label.alias("label")))
+        done.append(fresh)
+        waiting = written(waiting.join(fresh.select(F.col("node").alias("parent")), "parent", "left_anti"))
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return nodes.select("node").join(found, "node", "left")

@@ -11,6 +11,7 @@ from tesserae.functions import envelope as E
 from tesserae.functions import ratings as R
 from tesserae.operators import consensus as K
 from tesserae.operators import graphs as G
+from tesserae.operators.checkpoints import cut
 from tesserae.plans.catalogue import register
 from tesserae.sources.tables import table
 
@@ -177,7 +178,7 @@ def graph_components(spark, sf_dir):
     e = c.select(k.alias("parent"), F.when(k % 8 == 3, k - 3).when(k % 8 == 7, k).otherwise(k + 1).alias("child"))
     nodes = c.select(k.alias("node"))
     known = e.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").select("parent", "child")
-    return G.strong_components(known, nodes).select("node", "component")
+    return G.strong_groups(known, nodes)
 
 
 _TRADE = "t AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"
@@ -185,10 +186,24 @@ _TRADE = "t AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM li
 
 @register("cheapest_chain", f"WITH RECURSIVE {_TRADE}, p AS (SELECT 0 AS node, 0 AS cost, 0 AS hops UNION SELECT t.b, p.cost + 1000000 // (1 + n), p.hops + 1 FROM p JOIN t ON t.a = p.node WHERE hops < 4) SELECT CAST(node AS BIGINT) AS node, CAST(min(cost) AS DOUBLE) AS cost FROM p GROUP BY node")
 def cheapest_chain(spark, sf_dir):
+    return G.cheapest(_trade(spark, sf_dir), spark.range(1).select(F.col("id").alias("node"))).select("node", "cost")
+
+
+def _trade(spark, sf_dir):
     l, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
     t = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey).groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"))
-    e = t.select(F.col("c_nationkey").cast("bigint").alias("parent"), F.col("s_nationkey").cast("bigint").alias("child"), F.floor(F.lit(1000000) / (1 + F.col("n"))).cast("double").alias("cost"), F.col("n").alias("claim"))
-    return G.cheapest(e, spark.range(1).select(F.col("id").alias("node"))).select("node", "cost")
+    return t.select(F.col("c_nationkey").cast("bigint").alias("parent"), F.col("s_nationkey").cast("bigint").alias("child"), F.floor(F.lit(1000000) / (1 + F.col("n"))).cast("double").alias("cost"), F.col("n").alias("claim"))
+
+
+@register("frontier_pull", f"WITH RECURSIVE {_TRADE}, e AS (SELECT a, b, 1000000 // (1 + n) AS cost FROM t), p AS (SELECT 0 AS node, 0 AS cost, 0 AS hops UNION SELECT e.b, p.cost + e.cost, p.hops + 1 FROM p JOIN e ON e.a = p.node WHERE hops < 4), d AS (SELECT node, min(cost) AS cost FROM p GROUP BY node), c AS (SELECT * FROM d WHERE cost <= (SELECT avg(cost) FROM e)), o AS (SELECT e.b AS node, min(c.cost + e.cost) AS cost FROM c JOIN e ON e.a = c.node WHERE e.b NOT IN (SELECT node FROM c) GROUP BY e.b) SELECT CAST(node AS BIGINT) AS node, CAST(cost AS DOUBLE) AS cost, true AS closed FROM c UNION ALL SELECT CAST(node AS BIGINT), CAST(cost AS DOUBLE), false FROM o")
+def frontier_pull(spark, sf_dir):
+    """The nations that trade reaches from the first one, pulled to half of an edge's mean cost and then to all of it: closed ones, and open ones with their best offer."""
+    e = cut(_trade(spark, sf_dir))
+    mean = e.agg(F.avg("cost")).first()[0] or 0.0
+    state = G.started(spark.range(1).select(F.col("id").alias("node")))
+    for until in (mean / 2, mean):
+        state = G.pulled(state, e, until=until)
+    return state.select("node", "cost", "closed")
 
 
 _COUNT = "CAST(o_orderkey * 7919 % 300000 AS BIGINT) AS wall_us, CAST(o_orderkey % 50 AS BIGINT) AS db_probes, CAST(o_orderkey * 31 % 9000 AS BIGINT) AS rows_scanned, CAST(o_orderkey * 65537 % 33554432 AS BIGINT) AS bytes_alloc, CAST(o_orderkey % 4 AS BIGINT) AS hops, CAST(o_orderkey % 400 AS BIGINT) AS tokens_out"
