@@ -320,13 +320,13 @@ def tensor_decode(spark, sf_dir):
     return back.select("vec_id", F.size("f32").alias("n"), *(F.round(weighed(c), 6).alias(c) for c in _ROUNDED))
 
 
-@register("order_labels", "SELECT CAST(l_orderkey AS BIGINT) AS o_orderkey, md5('[' || string_agg(p_name || CASE WHEN l_linenumber % 3 > 0 THEN ' × ' || (1 + l_linenumber % 3) ELSE '' END, ' · ' ORDER BY l_linenumber) || ']') AS label FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+@register("order_labels", "SELECT CAST(l_orderkey AS BIGINT) AS o_orderkey, md5('[' || string_agg(p_name || CASE WHEN l_linenumber % 3 > 0 THEN ' × ' || (1 + l_linenumber % 3) ELSE '' END, ' · ' ORDER BY l_linenumber, l_partkey) || ']') AS label FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def order_labels(spark, sf_dir):
     """Every order as a tuple of its lines' parts, a part as the letters of its name: labels from the stored tables of nodes and edges."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).cast("binary")
     letters = p.select(named("p", "p_partkey").alias("parent"), F.posexplode(F.split("p_name", "")).alias("ordinal", "letter")).where("letter <> ''")
-    lines = l.join(p, l.l_partkey == p.p_partkey).select(named("o", "l_orderkey").alias("parent"), F.col("l_linenumber").cast("int").alias("ordinal"), named("p", "p_partkey").alias("child"), F.expr("cast(1 + l_linenumber % 3 as bigint)").alias("run"))
+    lines = l.join(p, l.l_partkey == p.p_partkey).select(named("o", "l_orderkey").alias("parent"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("ordinal"), named("p", "p_partkey").alias("child"), F.expr("cast(1 + l_linenumber % 3 as bigint)").alias("run"))
     edges = letters.select("parent", "ordinal", named("l", "letter").alias("child"), F.lit(1).cast("bigint").alias("run")).unionByName(lines).withColumn("said", F.lit(0))
     plain = edges.select(F.col("parent").alias("node")).distinct().withColumns({"flags": F.when(F.expr("substring(node, 1, 1) = X'6F'"), X.TUPLE).otherwise(0), "letter": F.lit(None).cast("string")})
     nodes = plain.unionByName(letters.select(named("l", "letter").alias("node"), F.lit(0).alias("flags"), "letter").distinct())
