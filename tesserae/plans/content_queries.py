@@ -159,11 +159,11 @@ def codepoint_table(spark, sf_dir):
 _CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Co".split()
 
 
-@register("codepoint_properties", f"WITH {_CP} SELECT cp, CASE " + " ".join(rf"WHEN regexp_full_match(ch, '(?s:\p{{{c}}})') THEN '{c}'" for c in _CATEGORIES) + " END AS category, CAST(upper(ch) <> ch AS BOOLEAN) AS lower FROM p WHERE cp < 592")
+@register("codepoint_properties", f"WITH {_CP} SELECT cp, CASE " + " ".join(rf"WHEN regexp_full_match(ch, '(?s:\p{{{c}}})') THEN '{c}'" for c in _CATEGORIES) + " END AS category, CAST(upper(ch) <> ch AS BOOLEAN) AS lower FROM p")
 def codepoint_properties(spark, sf_dir):
-    """Category of each codepoint of the documents' Latin letters and signs, and whether it has an upper case."""
+    """Category of each codepoint that the documents hold, and whether it has an upper case."""
     c = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
-    p = c.select("ch", F.expr("ascii(ch)").alias("cp")).where("cp < 592")
+    p = c.select("ch", F.expr("ascii(ch)").alias("cp"))
     return p.select("cp", U.properties(F.col("cp"))["category"].alias("category"), (F.upper("ch") != F.col("ch")).alias("lower"))
 
 
