@@ -12,6 +12,7 @@ import html
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,25 +32,38 @@ _PLAIN = re.compile(r"(/?[a-zA-Z][^\s/>]*+)((?:\s++[a-zA-Z-]++(?:=\"[^\"<>]*+\")
 _TO_VALUE = re.compile(r"[^>=]*")
 _VALUE = re.compile(r"=\s*")
 _UNQUOTED = re.compile(r"[^\s>]*")
-_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role|aria-label|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements inside a line of text; all others end a block. (Fixed values of HTML.)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and words of class, id or role that make what they hold no part of the article.
+#: Elements, roles and words of class or id that make what they hold no part of the article. (Fixed values, as all lists below.)
 OUT_TAGS = set("nav header footer aside form head button menu dialog audio video canvas map fieldset".split())
+OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 OUT_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert"
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert"
     " newsletter subscribe subscription signup popup modal overlay nav navigation navbar menu menus breadcrumb breadcrumbs header masthead footer sidebar aside related recommended"
     " widget widgets share sharing social comment comments commentlist disqus reply replies respond form login search toolbar pagination pager complementary contentinfo".split()
 )
-#: These hold the article whatever they are called.
+#: Of them, those that only markup uses, so that they count at either end of a name whatever else stands in it.
+MARKUP_WORDS = set("ad ads adv advert adverts advertisement adsbygoogle cookie cookies gdpr newsletter popup modal nav navbar breadcrumb breadcrumbs masthead footer sidebar commentlist disqus pager".split())
+#: What else a name may hold: where something stands and what it is made of.
+COMPANIONS = set(
+    "site page blog post entry global top bottom left right first second primary secondary sub mini mobile desktop sticky fixed floating inline user users reader readers visitor"
+    " list lists item items box boxes bar block blocks section area region wrap wrapper container inner outer holder panel group row col column columns slot unit zone card button buttons btn"
+    " icon icons link links posts articles stories story products title heading label text body content main article thread count meta author image logo message messages policy sign up letter field input".split()
+)
+#: Names that hold one of these say how a page is laid out or what it has, not what an element is.
+STATES = set("no non not without has have with is enabled disabled free layout template off on open opened closed active hide show visible loaded".split())
+#: These hold the article whatever they are called; an element that isn't one of them, if it holds all of them, isn't left out.
 NEVER_OUT = set("html body article main".split())
 #: Elements that a new one of the group ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 DEFAULT = {"w:plain": 1.0, "w:link": -0.5, "w:out": -0.5, "t": -0.3}
 #: The most that an inset (an advert, a form) may cost in all, so that it doesn't split an article; and a tag.
-MOST_COST, TAG_COST = 6.0, 1.5
+MOST_COST, TAG_COST, LEAST_COST = 6.0, 1.5, 0.05
 
 
 class _Finder:
@@ -131,58 +145,83 @@ def markup(page: str):
         yield start, at, name, closing, attributes
 
 
-def _is_out(name: str, attrs: str) -> bool:
-    if name in NEVER_OUT:
+@lru_cache(1 << 14)
+def _named_out(name: str) -> bool:
+    """Whether a class or an id names a part that is left out: one of OUT_WORDS, alone or with words that only place it."""
+    parts = [x.lower() for x in _PART.findall(name)]
+    if not parts or OUT_WORDS.isdisjoint(parts) or not STATES.isdisjoint(parts):
+        return False
+    if len(parts) > 1 and parts[-1] in ("main", "article"):
         return False
-    if name in OUT_TAGS:
+    if parts[-1] in MARKUP_WORDS or parts[0] in MARKUP_WORDS:
         return True
-    for key, value in _ATTR.findall(attrs) if attrs and "=" in attrs or "hidden" in attrs else ():
+    # content-header is a header, content-sidebar-wrap isn't a sidebar
+    if parts[0] in ("main", "article", "content") and parts[-1] not in OUT_WORDS:
+        return False
+    return all(x in OUT_WORDS or x in COMPANIONS for x in parts)
+
+
+def _called_out(name: str, attrs: str, in_code: bool) -> bool:
+    """Whether an element's class, id or role says that it is no part of the article; ids of headings name what follows."""
+    for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true":
+        if key == "role" and value.strip().lower() in OUT_ROLES:
             return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif key != "itemprop" and not OUT_WORDS.isdisjoint(x.lower() for x in _PART.findall(value)):
+        if (key == "class" and not in_code or key == "id" and name not in HEADINGS) and any(map(_named_out, value.split())):
             return True
     return False
 
 
-def parse(page: str):
-    """Yield (kind, name, text, inside): kind "t" for tags, "w" for text runs; name is the tag's, or plain, link or out.
+def _hidden(attrs: str) -> bool:
+    for key, value in _ATTR.findall(attrs) if "hidden" in attrs.lower() or "style" in attrs.lower() else ():
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
 
-    A tag's text is "out" where it belongs to something that is left out.
+def parse(page: str) -> list[tuple[str, str, str, int]]:
+    """(kind, name, text, inside) of the page: kind "t" for tags, "w" for text runs; name is the tag's, or plain, link or out.
 
-    inside: whether an <article> or <main> element is open. Stray closing tags count as tags; what is cut off ends open.
+    A tag's text is "out" where it belongs to something that is left out. inside: 2 where an <article> is open, 1 where
+    only a <main> is, else 0. Stray closing tags count as tags; what is cut off ends open. What a class, id or role
+    names is left out unless it holds every <article> and <main> of the page, and so is a <form>.
     """
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
     # places in the stack: of each name, and of what isn't inline; so that no tag has to look through the stack
     places: dict[str, list[int]] = {}
     blocks: list[int] = []
-    out = links = marked = at = 0
+    # what may be left out: the one around it, whether it is left out if it holds the article, and the marks it holds
+    around, sure, marks = [-1], [False], [0]
+    current = links = main = article = at = 0
+    tokens: list[tuple[str, str, str, int, int]] = []
 
     def close(k: int) -> None:
-        nonlocal out, links, marked
+        nonlocal current, links, main, article
         while len(stack) > k:
-            name, is_out = stack.pop()
+            name, before = stack.pop()
             places[name].pop()
             if name not in INLINE:
                 blocks.pop()
-            out -= is_out
+            while current != before:
+                marks[around[current]] += marks[current]
+                current = around[current]
             links -= name == "a"
-            marked -= name in ("article", "main")
+            main -= name == "main"
+            article -= name == "article"
 
     for start, end, name, closing, attributes in markup(page):
+        inside = 2 if article else 1 if main else 0
         if start > at:
-            yield "w", "out" if out else "link" if links else "plain", page[at:start], marked > 0
+            tokens.append(("w", "link" if links else "plain", page[at:start], inside, current))
         at = end
         if not name:
             continue
         if name in SKIPPED:
-            yield "t", name, "out" if out else "", marked > 0
+            tokens.append(("t", name, "", inside, current))
             continue
         if closing:
-            yield "t", name, "out" if out else "", marked > 0
+            tokens.append(("t", name, "", inside, current))
             if places.get(name) and (name not in INLINE or not blocks or blocks[-1] < places[name][-1]):
                 close(places[name][-1])
             continue
@@ -191,25 +230,38 @@ def parse(page: str):
             while stack and (stack[-1][0] in INLINE or stack[-1][0] in ENDS.get(name, ())) and not (stack[-1][0] == "a"):
                 close(len(stack) - 1)
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            is_out = _is_out(name, attributes)
+            before = current
+            called = "=" in attributes and _called_out(name, attributes, bool(places.get("pre") or places.get("code")))
+            hidden = bool(attributes) and name not in NEVER_OUT and _hidden(attributes)
+            if name in ("article", "main"):
+                marks[current] += not called
+            elif name not in NEVER_OUT and (called or hidden or name in OUT_TAGS):
+                around.append(current)
+                sure.append(hidden or name in OUT_TAGS and name != "form")
+                marks.append(0)
+                current = len(around) - 1
             places.setdefault(name, []).append(len(stack))
             if name not in INLINE:
                 blocks.append(len(stack))
-            stack.append((name, is_out))
-            out += is_out
+            stack.append((name, before))
             links += name == "a"
-            marked += name in ("article", "main")
-        yield "t", name, "out" if out else "", marked > 0
+            main += name == "main"
+            article += name == "article"
+        tokens.append(("t", name, "", 2 if article else 1 if main else 0, current))
     if at < len(page):
-        rest = page[at:]
-        yield "w", "out" if out else "link" if links else "plain", rest, marked > 0
+        tokens.append(("w", "link" if links else "plain", page[at:], 2 if article else 1 if main else 0, current))
+    close(0)
+    out = [False]
+    for k in range(1, len(around)):
+        out.append(out[around[k]] or sure[k] or marks[k] == 0 or marks[k] < marks[0])
+    return [(kind, "out" if out[k] and kind == "w" else name, "out" if out[k] and kind == "t" else text, inside) for kind, name, text, inside, k in tokens]
 
 
 def count_types(page: str) -> Counter:
     """(type, inside) counts over a page that marks its article; nothing for others."""
     counts: Counter = Counter()
     for kind, name, text, inside in parse(page):
-        counts[("w:" + name if kind == "w" else "t:" + name, inside)] += len(text.split()) if kind == "w" else 1
+        counts[("w:" + name if kind == "w" else "t:" + name, inside > 0)] += len(text.split()) if kind == "w" else 1
     return counts if any(inside for _, inside in counts) else Counter()
 
 
@@ -226,18 +278,22 @@ def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
         elif kind[0] == "w":
             out[kind] = min(-0.05, max(-1.0, odds))
         else:
-            out[kind] = -0.05 if odds > 0 else max(-TAG_COST, odds - 0.05)
+            out[kind] = -LEAST_COST if odds > 0 else max(-TAG_COST, odds - 0.05)
     return out
 
 
 def values(tokens: list, weights: dict[str, float]) -> list[float]:
-    """What each token is worth: words what they are many of, tags what their kind costs; an inset at most MOST_COST in all."""
+    """What each token is worth: words what they are many of, tags what their kind costs; an inset at most MOST_COST in all.
+
+    Inside an <article> a link's words are words like any other, and no tag costs more than those that articles are made of.
+    """
     out, spent = [], 0.0
     for kind, name, text, inside in tokens:
         if kind == "w":
-            value = len(text.split()) * weights["w:" + name]
+            value = len(text.split()) * weights["w:plain" if name == "link" and inside == 2 else "w:" + name]
         else:
             value = weights.get("t:" + name, weights["t"])
+            value = max(value, -LEAST_COST) if inside == 2 else value
         if (name if kind == "w" else text) == "out":
             # what is left out of a marked article anyway must not part it from its ends
             value = 0.0 if inside else max(value, spent - MOST_COST)
@@ -263,7 +319,7 @@ def best_region(worth: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, each with single spaces, joined by a space. No words that earn: empty."""
-    tokens = list(parse(page or ""))
+    tokens = parse(page or "")
     region = best_region(values(tokens, weights))
     blocks, line = [], []
     for kind, name, text, _ in tokens[region[0] : region[1]]:

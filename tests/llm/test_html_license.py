@@ -45,6 +45,55 @@ def test_quotes_only_begin_values():
     assert H.main_text('<article><p title="never closed>one two three</p><p>four</p></article>', H.DEFAULT) == "one two three four"
 
 
+NAMED = {
+    "no-sidebar share-enabled ad-free has-comments related-work market-share content-sidebar-wrap sidebar-main sidebar-layout menu-planning search-results menu-open post entry-content": False,
+    "ad ad-1 adBox google-ads site-header content-header cookie-notice post-comments comment-12 share-buttons related-posts header-ad-slot main_menu user-comments sidebar-left widget-area": True,
+}
+
+
+@pytest.mark.parametrize("name,out", [(x, out) for names, out in NAMED.items() for x in names.split()])
+def test_names_that_are_left_out(name, out):
+    assert H._named_out(name) == out
+    page = f'<body><div class="x {name}"><p>Some words stand here.</p></div></body>'
+    assert H.main_text(page, H.DEFAULT) == ("" if out else "Some words stand here.")
+
+
+LAYOUTS = {
+    '<div class="layout no-sidebar"><article><p>one two three</p></article></div>': "one two three",
+    '<div class="sidebar"><article><p>one two three</p></article></div>': "one two three",
+    '<form id="page"><div><main><p>one two three</p></main></div></form>': "one two three",
+    '<article class="post share-enabled"><p>one two</p></article>': "one two",
+    '<article><p>one</p><p aria-label="share price">two</p><section id="related-work"><h2 id="search">three</h2><p>four</p></section></article>': "one two three four",
+    "<article><p>one</p>" + "<p><a href=x>link</a></p>" * 30 + "<p>last</p></article>": "one" + " link" * 30 + " last",
+    '<article><p>one two</p><ol class="comment-list"><li><article class="comment">bad words</article></li></ol><p>three</p></article>': "one two three",
+    '<article><p>one two three</p></article><aside><article><p>teaser</p></article></aside>': "one two three",
+    '<article><pre><code>x = 1 <span class="comment"># why</span></code></pre></article>': "x = 1 # why",
+    '<article><p hidden>no</p><p style="DISPLAY: none">no</p><p>one</p><div role="navigation">no</div><p>two</p></article>': "one two",
+    '<div class="menu"><a href=x>one</a></div><div class="cookie-notice">two</div>': "",
+}
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts_that_hold_an_article(page):
+    for weights in (H.DEFAULT, H.DEFAULT | {"t:p": -1.5, "t:a": -1.5, "w:link": -1.0}):
+        assert H.main_text(page, weights) == LAYOUTS[page]
+
+
+def test_recall_within_layouts(sf_dir):
+    """Given pages inside wrappers that layouts use, with insets around and after the article: no page loses its text."""
+    found = wanted = kept = 0
+    wrappers = ["layout no-sidebar", "content-sidebar-wrap", "header-fixed menu-open", "sidebar-layout", "site has-comments"]
+    for k, x in enumerate(x for x in pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist() if x and "<article" in x):
+        inner = re.search(r"(?s)<article>(.*)</article>", x)[1]
+        gold = Counter(re.sub(r"<[^>]*>", " ", re.sub(r'(?s)<div class="ad">.*?</div>', " ", inner)).replace("&amp;", "&").split())
+        page = f"<body class='{wrappers[k % 5]}'><div class='site-header'>Zzz zzz</div><div class='{wrappers[k % 5]}'><article class='post share-enabled'>{inner}</article>"
+        page += "<div class='related-posts'>Qqq qqq</div><div id='comments'>" + "<p>Www www www</p>" * 20 + "</div></div><div class='cookie-notice'>Vvv vvv</div></body>"
+        got = Counter(H.main_text(page, H.DEFAULT).split())
+        assert got and not {"Zzz", "Qqq", "Www", "Vvv"} & set(got)
+        found, wanted, kept = found + (gold & got).total(), wanted + gold.total(), kept + got.total()
+    assert found / wanted >= 0.95 and found / kept >= 0.95
+
+
 HOSTILE = {
     "quotes": '<p a="x' * 140_000, "deep": "<div>" * 200_000, "mixed": "<b><div></b>" * 90_000, "angles": "<" * 1_000_000, "comments": "<!--" * 250_000,
     "scripts": "<script>" * 125_000, "closings": "</x>" * 250_000, "equals": "<p " + "=" * 1_000_000, "blanks": "<p =" + " " * 1_000_000, "entities": "&amp" * 250_000,
