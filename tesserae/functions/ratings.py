@@ -177,8 +177,11 @@ def attest(standing: tuple[float, float, float], trust: float, score: float, opp
     return rating, max(dev, floor), sigma
 
 
-def _sources(mu: float, n, score, anchor, weight, precision):
-    """Each root's own performance x, given the claim at mu: the zero of precision (mu - x) + its games' slope, and its information."""
+def sources(mu: float, n, score, anchor, weight, precision):
+    """Each root's own performance x, given the claim at mu (one, or one for each root): the zero of precision (mu - x) + its games' slope.
+
+    Returns the root's pull on the claim and its information about it.
+    """
 
     def slope(x):
         z = weight * (x - anchor)
@@ -188,7 +191,7 @@ def _sources(mu: float, n, score, anchor, weight, precision):
 
     reach = n * weight / precision
     lo, hi = mu - reach, mu + reach
-    x = np.full(len(n), mu)
+    x = mu + np.zeros(len(n))
     for _ in range(200):
         s, info = slope(x)
         lo, hi = np.where(s > 0, x, lo), np.where(s < 0, x, hi)
@@ -202,6 +205,13 @@ def _sources(mu: float, n, score, anchor, weight, precision):
         return precision * (x - mu), np.where(info > 0, 1.0 / (1.0 / np.maximum(info, 1e-300) + 1.0 / precision), 0.0)
 
 
+def settle(mu: float, gain: float, information: float, prior=(RATING, DEVIATION, VOLATILITY)) -> tuple[float, float, float]:
+    """(rating, deviation, volatility) of a claim whose roots pull by `gain` and inform by `information` at its strength mu."""
+    phi2 = (prior[1] / SCALE) ** 2
+    sigma = _new_volatility(prior[2], phi2, 1.0 / information, gain / information, TAU, 1e-12)
+    return RATING + SCALE * mu, SCALE / math.sqrt(1.0 / (phi2 + sigma * sigma) + information), sigma
+
+
 def series(games, wins, trust, opponent=None, opponent_deviation=None, witness_deviation=None, prior=(RATING, DEVIATION, VOLATILITY)) -> dict:
     """The joint posterior of a claim from entries already folded by root: standing, witnesses, iterations, information.
 
@@ -229,7 +239,7 @@ def series(games, wins, trust, opponent=None, opponent_deviation=None, witness_d
     mu0, phi2 = (prior[0] - RATING) / SCALE, (prior[1] / SCALE) ** 2
 
     def posterior(mu):
-        s, info = _sources(mu, *columns)
+        s, info = sources(mu, *columns)
         return (mu0 - mu) / phi2 + s.sum(), info, s.sum()
 
     lo, hi = mu0 - 1.0, mu0 + 1.0
@@ -251,7 +261,7 @@ def series(games, wins, trust, opponent=None, opponent_deviation=None, witness_d
         mu = new
     _, info, gain = posterior(mu)
     total = float(info.sum())
-    sigma = _new_volatility(prior[2], phi2, 1.0 / total, float(gain) / total, TAU, 1e-12)
+    rating, deviation, sigma = settle(mu, float(gain), total, prior)
     spread = np.zeros(size)
     spread[np.flatnonzero(use)[order]] = info
-    return out | {"rating": RATING + SCALE * mu, "deviation": SCALE / math.sqrt(1.0 / (phi2 + sigma * sigma) + total), "volatility": sigma, "information": spread}
+    return out | {"rating": rating, "deviation": deviation, "volatility": sigma, "information": spread}

@@ -23,29 +23,6 @@ def scoped(entries: DataFrame, allowed: DataFrame | None, min_trust: float = 0.0
     return entries.where(F.col("trust") >= min_trust).join(allowed.select("witness").distinct(), "witness", "left_semi")
 
 
-def standings(folded: DataFrame) -> DataFrame:
-    """(claim, rating, deviation, volatility, matches, witnesses) from folded entries: five numbers a root come together per claim."""
-
-    def solve(pdf):
-        s = R.series(pdf["games"], pdf["wins"], pdf["trust"])
-        return pd.DataFrame({"claim": [pdf["claim"].iloc[0]], **{k: [s[k]] for k in ("rating", "deviation", "volatility", "matches", "witnesses")}})
-
-    kind = folded.schema["claim"].dataType.simpleString()
-    return folded.groupBy("claim").applyInPandas(solve, f"claim {kind}, rating double, deviation double, volatility double, matches bigint, witnesses bigint")
-
-
-def information(folded: DataFrame) -> DataFrame:
-    """(claim, root, information) of each root that informs."""
-
-    def solve(pdf):
-        out = pdf[["claim", "root"]].copy()
-        out["information"] = R.series(pdf["games"], pdf["wins"], pdf["trust"])["information"]
-        return out[out["information"] > 0]
-
-    kinds = {c: folded.schema[c].dataType.simpleString() for c in ("claim", "root")}
-    return folded.groupBy("claim").applyInPandas(solve, f"claim {kinds['claim']}, root {kinds['root']}, information double")
-
-
 def shares(weights: DataFrame, group: str, member: str, weight: str) -> DataFrame:
     """(group, member, share): weights as basis points that sum to 10,000 by largest remainder, ties to the smaller member."""
     w = Window.partitionBy(group)

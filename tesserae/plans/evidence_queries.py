@@ -11,6 +11,7 @@ from tesserae.functions import envelope as E
 from tesserae.functions import ratings as R
 from tesserae.operators import consensus as K
 from tesserae.operators import graphs as G
+from tesserae.operators import series as S
 from tesserae.operators.checkpoints import cut
 from tesserae.plans.catalogue import register
 from tesserae.sources.tables import table
@@ -40,7 +41,7 @@ def fold_by_root(spark, sf_dir):
 
 @register("series", None)
 def series(spark, sf_dir):
-    s = K.standings(K.fold(_entries(spark, sf_dir)))
+    s = S.standings(K.fold(_entries(spark, sf_dir)))
     return s.select("claim", *(F.round(c, 6).alias(c) for c in ("rating", "deviation", "volatility")), "matches", "witnesses")
 
 
@@ -48,12 +49,12 @@ def series(spark, sf_dir):
 def series_scoped(spark, sf_dir):
     e = _entries(spark, sf_dir)
     allowed = e.select("witness").where("witness % 3 = 0")
-    return K.standings(K.fold(K.scoped(e, allowed, 0.5))).select("claim", "matches", "witnesses")
+    return S.standings(K.fold(K.scoped(e, allowed, 0.5))).select("claim", "matches", "witnesses")
 
 
 @register("root_information", None)
 def root_information(spark, sf_dir):
-    return K.information(K.fold(_entries(spark, sf_dir))).withColumn("information", F.round("information", 9))
+    return S.information(K.fold(_entries(spark, sf_dir))).withColumn("information", F.round("information", 9))
 
 
 @register("matchup_replay", None)
