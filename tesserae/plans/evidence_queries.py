@@ -39,20 +39,48 @@ def fold_by_root(spark, sf_dir):
     return K.fold(_entries(spark, sf_dir))
 
 
-@register("series", None)
+_CAP = "(173.7178 / 30) * (173.7178 / 30)"
+_PHI2 = "(350.0 / 173.7178) * (350.0 / 173.7178)"
+# a root's own strength, given its claim's at m: halve the bracket of the most that its games can pull
+_OWN = """list_reduce(range(90), lambda a, k: CASE WHEN p * (m - (a[1] + a[2]) / 2) + n * (score - 1 / (1 + exp(-(a[1] + a[2]) / 2))) > 0 THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END, [m - n / p, m + n / p])[1]"""
+
+
+def _posterior_sql(where: str, out: str) -> str:
+    """SQL that halves each claim's bracket by the sign of its roots' sum, then gives the roots' information and the claim's."""
+    return f"""WITH RECURSIVE {_WITNESS}, f AS (SELECT claim, root, CAST(count(*) AS DOUBLE) AS games, sum(win) AS wins, max(trust) AS trust FROM e{where} GROUP BY claim, root),
+r AS (SELECT claim, root, games AS n, 0.5 + trust * (wins / games - 0.5) AS score, CASE WHEN trust >= 1 THEN {_CAP} ELSE least({_CAP}, 3 * trust * trust / ({math.pi} * {math.pi} * (1 - trust * trust))) END AS p FROM f WHERE trust > 0),
+h AS (SELECT claim, CAST(-1000 AS DOUBLE) AS lo, CAST(1000 AS DOUBLE) AS hi, 0 AS k FROM r GROUP BY claim UNION ALL
+SELECT claim, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM (
+SELECT claim, max(lo) AS lo, max(hi) AS hi, max(k) AS k, sum(p * ({_OWN} - m)) - max(m) / ({_PHI2}) > 0 AS up FROM (SELECT r.*, lo, hi, k, (lo + hi) / 2 AS m FROM h JOIN r ON r.claim = h.claim WHERE k < 70) GROUP BY claim)),
+x AS (SELECT *, {_OWN} AS x FROM (SELECT r.*, (lo + hi) / 2 AS m FROM h JOIN r ON r.claim = h.claim WHERE k = 70)),
+i AS (SELECT claim, root, m, p * (x - m) AS gain, 1 / (1 / (n * exp(-abs(x)) / ((1 + exp(-abs(x))) * (1 + exp(-abs(x))))) + 1 / p) AS information FROM x),
+t AS (SELECT claim, max(m) AS m, sum(gain) AS gain, sum(information) AS info FROM i GROUP BY claim),
+u AS (SELECT *, 1 / info AS v, gain / info AS d FROM t),
+w AS (SELECT *, list_reduce(range(100), lambda a, k: CASE WHEN exp((a[1] + a[2]) / 2) * (d * d - {_PHI2} - v - exp((a[1] + a[2]) / 2)) / (2 * ({_PHI2} + v + exp((a[1] + a[2]) / 2)) * ({_PHI2} + v + exp((a[1] + a[2]) / 2))) - ((a[1] + a[2]) / 2 - 2 * ln({R.VOLATILITY})) / ({R.TAU} * {R.TAU}) > 0 THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END, [CAST(-60 AS DOUBLE), CAST(20 AS DOUBLE)])[1] AS s FROM u),
+c AS (SELECT f.claim, CAST(sum(f.games) AS BIGINT) AS matches, count(CASE WHEN f.trust > 0 THEN 1 END) AS witnesses FROM f GROUP BY f.claim)
+{out}"""
+
+
+_STANDING_SQL = f"SELECT c.claim, round(coalesce(1500 + 173.7178 * m, 1500.0), 6) AS rating, round(coalesce(173.7178 / sqrt(1 / ({_PHI2} + exp(s)) + info), 350.0), 6) AS deviation, round(coalesce(exp(s / 2), {R.VOLATILITY}), 6) AS volatility, matches, witnesses FROM c LEFT JOIN w ON w.claim = c.claim"
+
+
+def _rounded(standings):
+    return standings.select("claim", *(F.round(c, 6).alias(c) for c in ("rating", "deviation", "volatility")), "matches", "witnesses")
+
+
+@register("series", _posterior_sql("", _STANDING_SQL))
 def series(spark, sf_dir):
-    s = S.standings(K.fold(_entries(spark, sf_dir)))
-    return s.select("claim", *(F.round(c, 6).alias(c) for c in ("rating", "deviation", "volatility")), "matches", "witnesses")
+    return _rounded(S.standings(K.fold(_entries(spark, sf_dir))))
 
 
-@register("series_scoped", f"WITH {_WITNESS} SELECT claim, count(*) AS matches, CAST(count(DISTINCT root) AS BIGINT) AS witnesses FROM e WHERE trust >= 0.5 AND witness % 3 = 0 GROUP BY claim")
+@register("series_scoped", _posterior_sql(" WHERE trust >= 0.5 AND witness % 3 = 0", _STANDING_SQL))
 def series_scoped(spark, sf_dir):
     e = _entries(spark, sf_dir)
     allowed = e.select("witness").where("witness % 3 = 0")
-    return S.standings(K.fold(K.scoped(e, allowed, 0.5))).select("claim", "matches", "witnesses")
+    return _rounded(S.standings(K.fold(K.scoped(e, allowed, 0.5))))
 
 
-@register("root_information", None)
+@register("root_information", _posterior_sql("", "SELECT claim, root, round(information, 9) AS information FROM i"))
 def root_information(spark, sf_dir):
     return S.information(K.fold(_entries(spark, sf_dir))).withColumn("information", F.round("information", 9))
 
