@@ -160,7 +160,13 @@ def rate(standing: tuple[float, float, float], opponents: np.ndarray, scores: np
         return rating, SCALE * math.hypot(phi, sigma), sigma
     g = _weight(opponents[:, 1])
     expect = 1.0 / (1.0 + np.exp(-g * (mu - (opponents[:, 0] - RATING) / SCALE)))
-    info, gain = float((g * g * expect * (1 - expect)).sum()), float((g * (scores - expect)).sum())
+    return advance(standing, float((g * (scores - expect)).sum()), float((g * g * expect * (1 - expect)).sum()), tau, period)
+
+
+def advance(standing: tuple[float, float, float], gain: float, info: float, tau: float = TAU, period: bool = True) -> tuple[float, float, float]:
+    """A standing after games whose surprises sum to `gain` and whose information sums to `info`."""
+    rating, deviation, sigma = standing
+    mu, phi = (rating - RATING) / SCALE, deviation / SCALE
     sigma = _new_volatility(sigma, phi * phi, 1.0 / info, gain / info, tau, 1e-6)
     before = phi * phi + (sigma * sigma if period else 0.0)
     after = 1.0 / (1.0 / before + info)

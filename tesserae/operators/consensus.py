@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,15 +63,22 @@ def replay(matchups: DataFrame) -> DataFrame:
 
 
 def periods(games: DataFrame) -> DataFrame:
-    """(player, rating, deviation, volatility) after one Glicko-2 period of rows (player, opponent, opponent_deviation, score)."""
+    """(player, rating, deviation, volatility) after one Glicko-2 period of rows (player, opponent, opponent_deviation, score).
 
-    def run(pdf):
-        p = pdf.sort_values(["opponent", "opponent_deviation", "score"])
-        r = R.rate((R.RATING, R.DEVIATION, R.VOLATILITY), p[["opponent", "opponent_deviation"]].to_numpy(np.float64), p["score"].to_numpy(np.float64))
-        return pd.DataFrame({"player": [pdf["player"].iloc[0]], "rating": [r[0]], "deviation": [r[1]], "volatility": [r[2]]})
+    A period needs two sums over a player's games, so they are summed before any shuffle and no player's games are gathered.
+    """
+    g = 1.0 / F.sqrt(1.0 + 3.0 * F.pow(F.col("opponent_deviation") / R.SCALE, F.lit(2.0)) / math.pi**2)
+    expect = 1.0 / (1.0 + F.exp(g * (F.col("opponent") - R.RATING) / R.SCALE))
+    sums = games.groupBy("player").agg(F.sum(g * (F.col("score") - expect)).alias("gain"), F.sum(g * g * expect * (1.0 - expect)).alias("info"))
+
+    def run(batches):
+        for batch in batches:
+            gains, infos = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("gain", "info"))
+            ends = [R.advance((R.RATING, R.DEVIATION, R.VOLATILITY), x, y) for x, y in zip(gains, infos)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([e[k] for e in ends], pa.float64()) for k in range(3))], names=["player", "rating", "deviation", "volatility"])
 
     kind = games.schema["player"].dataType.simpleString()
-    return games.groupBy("player").applyInPandas(run, f"player {kind}, rating double, deviation double, volatility double")
+    return sums.mapInArrow(run, f"player {kind}, rating double, deviation double, volatility double")
 
 
 def trust_by_id(rows: DataFrame, id_column: str) -> DataFrame:

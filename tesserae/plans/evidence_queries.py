@@ -13,6 +13,7 @@ from tesserae.operators import consensus as K
 from tesserae.operators import graphs as G
 from tesserae.operators import series as S
 from tesserae.operators.checkpoints import cut
+from tesserae.operators.quantiles import medians
 from tesserae.plans.catalogue import register
 from tesserae.sources.tables import table
 
@@ -24,9 +25,9 @@ e AS (SELECT e.event_type AS claim, user_id AS root, user_id AS witness, event_i
 def _witnesses(spark, sf_dir):
     """(claim, root, witness, event_id, ts, trust, win): each event is a game for its type, won above the type's median."""
     e = table(spark, sf_dir, "events").where("value is not null")
-    mid = e.groupBy("event_type").agg(F.median("value").alias("mid"))
+    mid = cut(medians(e, "event_type", "value", "mid"))
     priors = F.array(*(F.lit(p) for _, p in R.TRUST_CLASSES))
-    out = e.join(mid, "event_type")
+    out = e.join(F.broadcast(mid) if mid.count() <= 100_000 else mid, "event_type")
     return out.select(F.col("event_type").alias("claim"), F.col("user_id").alias("root"), F.col("user_id").alias("witness"), "event_id", "ts", F.get(priors, (F.col("user_id") % 16).cast("int")).alias("trust"), (F.col("value") > F.col("mid")).cast("double").alias("win"))
 
 
@@ -45,6 +46,9 @@ _PHI2 = "(350.0 / 173.7178) * (350.0 / 173.7178)"
 _OWN = """list_reduce(range(90), lambda a, k: CASE WHEN p * (m - (a[1] + a[2]) / 2) + n * (score - 1 / (1 + exp(-(a[1] + a[2]) / 2))) > 0 THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END, [m - n / p, m + n / p])[1]"""
 
 
+_VOLATILITY = f"""list_reduce(range(100), lambda a, k: CASE WHEN exp((a[1] + a[2]) / 2) * (d * d - {_PHI2} - v - exp((a[1] + a[2]) / 2)) / (2 * ({_PHI2} + v + exp((a[1] + a[2]) / 2)) * ({_PHI2} + v + exp((a[1] + a[2]) / 2))) - ((a[1] + a[2]) / 2 - 2 * ln({R.VOLATILITY})) / ({R.TAU} * {R.TAU}) > 0 THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END, [CAST(-60 AS DOUBLE), CAST(20 AS DOUBLE)])[1]"""
+
+
 def _posterior_sql(where: str, out: str) -> str:
     """SQL that halves each claim's bracket by the sign of its roots' sum, then gives the roots' information and the claim's."""
     return f"""WITH RECURSIVE {_WITNESS}, f AS (SELECT claim, root, CAST(count(*) AS DOUBLE) AS games, sum(win) AS wins, max(trust) AS trust FROM e{where} GROUP BY claim, root),
@@ -56,7 +60,7 @@ x AS (SELECT *, {_OWN} AS x FROM (SELECT r.*, (lo + hi) / 2 AS m FROM h JOIN r O
 i AS (SELECT claim, root, m, p * (x - m) AS gain, 1 / (1 / (n * exp(-abs(x)) / ((1 + exp(-abs(x))) * (1 + exp(-abs(x))))) + 1 / p) AS information FROM x),
 t AS (SELECT claim, max(m) AS m, sum(gain) AS gain, sum(information) AS info FROM i GROUP BY claim),
 u AS (SELECT *, 1 / info AS v, gain / info AS d FROM t),
-w AS (SELECT *, list_reduce(range(100), lambda a, k: CASE WHEN exp((a[1] + a[2]) / 2) * (d * d - {_PHI2} - v - exp((a[1] + a[2]) / 2)) / (2 * ({_PHI2} + v + exp((a[1] + a[2]) / 2)) * ({_PHI2} + v + exp((a[1] + a[2]) / 2))) - ((a[1] + a[2]) / 2 - 2 * ln({R.VOLATILITY})) / ({R.TAU} * {R.TAU}) > 0 THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END, [CAST(-60 AS DOUBLE), CAST(20 AS DOUBLE)])[1] AS s FROM u),
+w AS (SELECT *, {_VOLATILITY} AS s FROM u),
 c AS (SELECT f.claim, CAST(sum(f.games) AS BIGINT) AS matches, count(CASE WHEN f.trust > 0 THEN 1 END) AS witnesses FROM f GROUP BY f.claim)
 {out}"""
 
@@ -93,7 +97,9 @@ def matchup_replay(spark, sf_dir):
     return out.select("claim", *(F.round(c, 6).alias(c) for c in ("rating", "deviation", "volatility")))
 
 
-@register("glicko2_period", None)
+@register("glicko2_period", f"""WITH {_WITNESS}, g AS (SELECT claim AS player, win, 1 / sqrt(1 + 3 * d * d / ({math.pi} * {math.pi})) AS g FROM (SELECT claim, win, CASE WHEN trust >= 1 THEN 0.0 ELSE {math.pi} / sqrt(3.0) * sqrt(1 / (trust * trust) - 1) END AS d FROM e WHERE trust > 0)),
+s AS (SELECT player, sum(g * (win - 0.5)) AS gain, sum(g * g * 0.25) AS info FROM g GROUP BY player), u AS (SELECT *, 1 / info AS v, gain / info AS d FROM s), w AS (SELECT *, {_VOLATILITY} AS x FROM u)
+SELECT player, round(1500 + 173.7178 * gain / (1 / ({_PHI2} + exp(x)) + info), 6) AS rating, round(173.7178 / sqrt(1 / ({_PHI2} + exp(x)) + info), 6) AS deviation, round(exp(x / 2), 6) AS volatility FROM w""")
 def glicko2_period(spark, sf_dir):
     w = _witnesses(spark, sf_dir).where("trust > 0")
     games = w.select(F.col("claim").alias("player"), F.lit(R.RATING).alias("opponent"), R.trust_deviation(F.col("trust")).alias("opponent_deviation"), F.col("win").alias("score"))
