@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.operators.checkpoints import written
+
 BLOCK = 1024
 
 
@@ -18,16 +21,17 @@ def dot_i8(a: Column, b: Column) -> Column:
 
 
 def packed(df: DataFrame, ids: str, vector: str, extra: list[str] | None = None) -> DataFrame:
-    """(block, ids, matrix, ...): BLOCK vectors to a row, so that blocks and not single rows meet in joins."""
+    """(block, ids, matrix, ...): BLOCK vectors of one length to a row, so that blocks and not single rows meet in joins."""
     extra = extra or []
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[at : at + BLOCK]
-                matrix = np.stack([np.asarray(v, np.float64) for v in part[vector]])
-                row = {"dim": [matrix.shape[1]], "ids": [part[ids].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]}
-                yield pd.DataFrame(row | {c: [part[c].to_numpy(np.float64).tobytes()] for c in extra})
+            for dim, same in pdf.groupby(pdf[vector].map(len)):
+                for at in range(0, len(same), BLOCK):
+                    part = same.iloc[at : at + BLOCK]
+                    matrix = np.array([np.asarray(v, np.float64) for v in part[vector]])
+                    row = {"dim": [dim], "ids": [part[ids].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]}
+                    yield pd.DataFrame(row | {c: [part[c].to_numpy(np.float64).tobytes()] for c in extra})
 
     schema = "dim int, ids binary, matrix binary" + "".join(f", {c} binary" for c in extra)
     return df.select(ids, vector, *extra).mapInPandas(run, schema)
@@ -73,39 +77,121 @@ def knn(queries: DataFrame, base: DataFrame, k: int, ids: str = "vec_id", vector
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "d2")
 
 
-def row_stats(queries: DataFrame, base: DataFrame, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(row, n, mean, sd) of each row's dot products with all candidates; a spread of 0 is 1e-12."""
+def moments(base: DataFrame, vector: str = "embedding") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of vectors: how many there are, their sum, and the sum of their outer products.
+
+    A task sums what it reads; then each line of the matrix is summed by itself, so nothing grows with the table but the number
+    of lines shuffled: one for each task and dimension. What comes to the driver is a matrix, bounded by the dimension.
+    """
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            by_dim: dict[int, list] = {}
+            for v in batch.column(0).to_pylist():
+                by_dim.setdefault(len(v), []).append(v)
+            for dim, rows in by_dim.items():
+                # a line of ones gives the sum and the count in the same product
+                m = np.column_stack([np.ones(len(rows)), np.array(rows, np.float64).reshape(len(rows), dim)])
+                sums[dim] = sums.get(dim, 0.0) + m.T @ m
+        for dim, m in sums.items():
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim] * len(m), pa.int32()), "line": pa.array(range(len(m)), pa.int32()), "numbers": pa.array([x.tobytes() for x in m], pa.binary())})
+
+    def merge(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for dim, line, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[dim, line] = sums.get((dim, line), 0.0) + np.frombuffer(numbers)
+        keys = list(sums)
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([k[0] for k in keys], pa.int32()), "line": pa.array([k[1] for k in keys], pa.int32()), "numbers": pa.array([sums[k].tobytes() for k in keys], pa.binary())})
+
+    schema = "dim int, line int, numbers binary"
+    lines = base.where(F.col(vector).isNotNull()).select(vector).mapInArrow(partial, schema).repartition("dim", "line").mapInArrow(merge, schema)
+    matrices: dict[int, dict[int, np.ndarray]] = {}
+    for r in lines.collect():
+        matrices.setdefault(r.dim, {})[r.line] = np.frombuffer(bytes(r.numbers))
+    whole = {dim: np.stack([rows[k] for k in range(dim + 1)]) for dim, rows in matrices.items()}
+    return {dim: (round(m[0, 0]), m[0, 1:], m[1:, 1:]) for dim, m in whole.items()}
 
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                s = _of(r, "q_matrix").reshape(-1, r.dim) @ _of(r, "matrix").reshape(-1, r.dim).T
-                yield pd.DataFrame({"row": _of(r, "q_ids", np.int64), "n": s.shape[1], "s1": s.sum(axis=1), "s2": (s * s).sum(axis=1)})
 
-    sums = _pairs(packed(queries, ids, vector), packed(base, ids, vector)).mapInPandas(run, "row bigint, n bigint, s1 double, s2 double").groupBy("row")
-    total = sums.agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-    mean = F.col("s1") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
-    return total.select("row", "n", mean.alias("mean"), F.when(sd > 0, sd).otherwise(1e-12).alias("sd"))
+def row_stats(queries: DataFrame, base: DataFrame, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(row, vector, n, mean, sd) of each row's dot products with all candidates of its length; a spread of 0 is 1e-12.
 
+    The mean and the mean square of q.b over all b are q's products with b's moments, so no pair is scored for them.
+    """
+    known = moments(base, vector)
 
-def rowsig(queries: DataFrame, base: DataFrame, zmin: float = 3.0, cap: int = 8, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(row, rank, id, score, z): each row's candidates above mean + zmin * sd, the `cap` highest, ties to the smaller id."""
-    known = queries.join(row_stats(queries, base, ids, vector).withColumnRenamed("row", ids), ids)
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column(1).to_pylist():
+                n, total, square = known.get(len(v), (0, None, None))
+                if not n:
+                    out.append((0, None, None))
+                    continue
+                q = np.array(v, np.float64)
+                mean = float(q @ total) / n
+                sd = max(float(q @ square @ q) / n - mean * mean, 0.0) ** 0.5
+                out.append((n, mean, sd if sd > 0 else 1e-12))
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["row", "vector", "n", "mean", "sd"])
+
+    rows = queries.where(F.col(vector).isNotNull()).select(F.col(ids).cast("bigint").alias("row"), F.col(vector).alias("vector"))
+    return rows.mapInArrow(run, f"row bigint, vector {rows.schema['vector'].dataType.simpleString()}, n bigint, mean double, sd double")
+
+
+def _hits(stats: DataFrame, base: DataFrame, zmin: float, cap: int, ids: str, vector: str) -> DataFrame:
+    """(row, id, score, z, above, above4, above5): a block's `cap` best hits of each row; the first carries the block's counts, the rest 0."""
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 s = _of(r, "q_matrix").reshape(-1, r.dim) @ _of(r, "matrix").reshape(-1, r.dim).T
-                mean, sd = _of(r, "q_mean"), _of(r, "q_sd")
+                mean, sd, own, rows = _of(r, "q_mean"), _of(r, "q_sd"), _of(r, "ids", np.int64), _of(r, "q_ids", np.int64)
                 i, j = np.nonzero(s > (mean + zmin * sd)[:, None])
-                yield pd.DataFrame({"row": _of(r, "q_ids", np.int64)[i], "id": _of(r, "ids", np.int64)[j], "score": s[i, j], "z": (s[i, j] - mean[i]) / sd[i]})
+                order = np.lexsort((own[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                score = s[i, j]
+                first = np.searchsorted(i, i)  # where a row's hits begin
+                counts = {"above": np.ones(len(i)), "above4": score > (mean + 4 * sd)[i], "above5": score > (mean + 5 * sd)[i]}
+                counts = {c: np.where(first == np.arange(len(i)), np.bincount(i, x, len(rows))[i], 0).astype(np.int64) for c, x in counts.items()}
+                keep = np.arange(len(i)) - first < cap
+                out = {"row": rows[i], "id": own[j], "score": score, "z": (score - mean[i]) / sd[i], **counts}
+                yield pd.DataFrame({c: x[keep] for c, x in out.items()})
+
+    pairs = _pairs(packed(stats.where("n > 0"), "row", "vector", ["mean", "sd"]), packed(base.where(F.col(vector).isNotNull()), ids, vector))
+    return pairs.mapInPandas(run, "row bigint, id bigint, score double, z double, above bigint, above4 bigint, above5 bigint")
+
 
-    hits = _pairs(packed(known, ids, vector, ["mean", "sd"]), packed(base, ids, vector)).mapInPandas(run, "row bigint, id bigint, score double, z double")
+def _best(hits: DataFrame, cap: int) -> DataFrame:
     w = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select("row", "rank", "id", "score", "z")
 
 
+def rowsig(queries: DataFrame, base: DataFrame, zmin: float = 3.0, cap: int = 8, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(row, rank, id, score, z): each row's candidates above mean + zmin * sd, the `cap` highest, ties to the smaller id.
+
+    Every pair is scored once. Null vectors take no part; a row without hits has no row here, but has one in signatures().
+    """
+    return _best(_hits(row_stats(queries, base, ids, vector), base, zmin, cap, ids, vector), cap)
+
+
+def signatures(queries: DataFrame, base: DataFrame, zmin: float = 3.0, cap: int = 8, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(row, n, mean, sd, above, above4, above5, hits): a row for each query, also for those that nothing stands out from.
+
+    above counts the candidates above mean + zmin * sd, above4 and above5 those of them above 4 and 5 spreads, all of them,
+    however many `hits` holds: array<struct<rank, id, score, z>>, the `cap` highest in order. No candidates: n is 0, the rest
+    null or 0. Ids of queries must be unique.
+    """
+    stats = row_stats(queries, base, ids, vector)
+    hits = written(_hits(stats, base, zmin, cap, ids, vector))
+    counts = hits.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("above", "above4", "above5")))
+    best = _best(hits, cap).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score", "z"))).alias("hits"))
+    out = stats.drop("vector").join(counts.join(best, "row"), "row", "left")
+    none = F.array().cast("array<struct<rank:int,id:bigint,score:double,z:double>>")
+    return out.select("row", "n", "mean", "sd", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("above", "above4", "above5")), F.coalesce("hits", none).alias("hits"))
+
+
 def canonical_sign(v: np.ndarray) -> np.ndarray:
     """Columns flipped so that the first non-zero entry of each is positive."""
     lead = np.array([next((x for x in c if abs(x) > 1e-12), 1.0) for c in v.T])

@@ -183,6 +183,15 @@ def rowsig(spark, sf_dir):
     return V.rowsig(e.where("vec_id % 10 = 0"), e, 2.5, 4).withColumns({"score": F.round("score", 6), "z": F.round("z", 6)})
 
 
+@register("rowsig_counts", "WITH s AS (SELECT a.vec_id AS row, b.vec_id AS id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0), m AS (SELECT row, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS sd FROM s GROUP BY row), z AS (SELECT s.row, id, score, n, mean, sd, score > mean + 2.5 * sd AS hit, row_number() OVER (PARTITION BY s.row ORDER BY score DESC, id) AS rank FROM s JOIN m ON s.row = m.row) SELECT row, max(n) AS n, round(max(mean), 6) AS mean, round(max(sd), 6) AS sd, count(CASE WHEN hit THEN 1 END) AS above, count(CASE WHEN hit AND score > mean + 4 * sd THEN 1 END) AS above4, count(CASE WHEN hit AND score > mean + 5 * sd THEN 1 END) AS above5, coalesce(string_agg(CASE WHEN hit AND rank <= 4 THEN CAST(id AS VARCHAR) END, ' ' ORDER BY rank), '') AS ids FROM z GROUP BY row")
+def rowsig_counts(spark, sf_dir):
+    """Every row's spread, how many stand out from it, and the ids that do, best first; rows without any included."""
+    e = table(spark, sf_dir, "embeddings")
+    s = V.signatures(e.where("vec_id % 10 = 0"), e, 2.5, 4)
+    ids = F.array_join(F.transform("hits", lambda h: h["id"].cast("string")), " ")
+    return s.select("row", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "above", "above4", "above5", ids.alias("ids"))
+
+
 @register("label_eigenmap", None)
 def label_eigenmap(spark, sf_dir):
     """A map of the labels from how alike their mean vectors are: the matrix is labels by labels, whatever the rows."""
