@@ -14,6 +14,7 @@ from tesserae.functions import codepoints as U
 from tesserae.functions import identity as I
 from tesserae.functions import json_values as J
 from tesserae.functions import tensors as Q
+from tesserae.operators import json_nodes as N
 from tesserae.operators import paths as P
 from tesserae.operators import registry as R
 from tesserae.operators import text as X
@@ -285,6 +286,20 @@ def json_values(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.valid(p).alias("valid"), J.kind(p).alias("kind"), J.count(p).alias("members"))
 
 
+@register("json_nodes", f"""WITH d AS (SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL AND event_type IS NOT NULL),
+x AS (SELECT event_id, unnest([{{'n': 0, 'parent': NULL, 'ordinal': 0, 'key': NULL, 'kind': 'object', 'size': 4, 'raw': '{{'}}, {{'n': 1, 'parent': 0, 'ordinal': 0, 'key': 'type', 'kind': 'string', 'size': 0, 'raw': '"' || event_type || '"'}},
+{{'n': 2, 'parent': 0, 'ordinal': 1, 'key': 'props', 'kind': 'object', 'size': 1, 'raw': '{{'}}, {{'n': 3, 'parent': 2, 'ordinal': 0, 'key': 'k', 'kind': 'number', 'size': 0, 'raw': k}},
+{{'n': 4, 'parent': 0, 'ordinal': 2, 'key': 'type', 'kind': 'array', 'size': 3, 'raw': '['}}, {{'n': 5, 'parent': 4, 'ordinal': 0, 'key': NULL, 'kind': 'number', 'size': 0, 'raw': CAST(user_id AS VARCHAR)}},
+{{'n': 6, 'parent': 4, 'ordinal': 1, 'key': NULL, 'kind': 'null', 'size': 0, 'raw': 'null'}}, {{'n': 7, 'parent': 4, 'ordinal': 2, 'key': NULL, 'kind': 'object', 'size': 0, 'raw': '{{'}},
+{{'n': 8, 'parent': 0, 'ordinal': 3, 'key': '\\u00e9', 'kind': 'string', 'size': 0, 'raw': '"' || event_id || '"'}}]) AS s FROM d) SELECT event_id, s.n AS n, s.parent AS parent, s.ordinal AS ordinal, s.key AS key, s.kind AS kind, s.size AS size, s.raw AS raw FROM x""")
+def json_nodes(spark, sf_dir):
+    """Every value of a document for each event, in which the name "type" comes twice."""
+    e = table(spark, sf_dir, "events").where("props is not null and event_type is not null")
+    parts = ('{ "type": "', "event_type", '", "props": ', "props", ', "type": [', "user_id", ', null, {}], "\\u00e9": "', "event_id", '" }')
+    text = F.concat(*(F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+    return N.nodes(e.select("event_id", text.alias("doc")), "event_id", "doc").drop("after")
+
+
 @register("json_written", """SELECT p_partkey, '{"name":"' || replace(p_name, '"', '\\"') || '"}' AS json FROM part""")
 def json_written(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"name":'), J.escaped(F.col("p_name")), F.lit("}")).alias("json"))
