@@ -6,8 +6,9 @@ at three from its start). An edit therefore concerns the pre-tokens it overlaps,
 it, and those after it until a boundary of the new text falls on one of the old text; from there on both are equal.
 
 Trees are a column: plant() encodes each text once and makes them, apply() brings edits to stored trees and gives back the trees
-as they are then, for the next edits. A stored tree is its text, the lengths of its pre-tokens, and how many of these and
-how many tokens each leaf has; sums are added up from that, and leaves are cut out of the text when an edit comes to them.
+as they are then, for the next edits. A stored tree is its text, the lengths and token counts of its pre-tokens, and how many of
+these and how many tokens each leaf has; sums are added up from that, and leaves are cut out of the text when an edit comes to them. An edit encodes
+the pre-tokens that it made anew and no others: those beside them keep their counts.
 """
 
 from __future__ import annotations
@@ -30,72 +31,102 @@ LEAF = 64
 SIGHT = 3
 
 EDIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("remove", T.IntegerType()), T.StructField("insert", T.StringType())])
-#: A stored tree. `lengths` has a byte for each pre-token, 255 for longer ones, whose lengths are in `long` in their order.
-TREE = T.StructType(
-    [T.StructField("text", T.StringType()), T.StructField("lengths", T.BinaryType())]
-    + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("long", "sizes", "tokens")]
-)
+#: A stored tree. `lengths` and `counts` have a byte for each pre-token, its characters and its tokens; 255 stands for larger numbers,
+#: which are in `long` and `many` in their order. `sizes` and `tokens` have the pre-tokens and the tokens of each leaf.
+_LARGE = T.ArrayType(T.IntegerType())
+TREE = T.StructType().add("text", T.StringType()).add("lengths", T.BinaryType()).add("long", _LARGE).add("counts", T.BinaryType()).add("many", _LARGE).add("sizes", _LARGE).add("tokens", _LARGE)
 
 
 class _Leaves:
-    """The leaves of a stored tree: lists of pre-tokens, cut out of the text when they are asked for."""
+    """The leaves of a tree: lists of pre-tokens and of their token counts, cut out of the text when they are asked for."""
 
-    def __init__(self, text: str, lengths: np.ndarray, sizes: list[int]):
-        self.base, self.lengths, self.own = text, lengths, [None] * len(sizes)
+    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, sizes: Sequence[int]):
+        self.base, self.lengths, self.counts, self.own = text, lengths, counts, [None] * len(sizes)
         self.first = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         self.at = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
 
     def __len__(self) -> int:
         return len(self.own)
 
-    def __getitem__(self, i: int) -> list[str]:
+    def __getitem__(self, i: int) -> tuple[list[str], list[int]]:
         if self.own[i] is None:
-            ends = self.at[self.first[i] : self.first[i + 1] + 1].tolist()
-            self.own[i] = [self.base[a:b] for a, b in zip(ends, ends[1:])]
+            a, b = self.first[i], self.first[i + 1]
+            ends = self.at[a : b + 1].tolist()
+            self.own[i] = [self.base[x:y] for x, y in zip(ends, ends[1:])], self.counts[a:b].tolist()
         return self.own[i]
 
-    def __setitem__(self, i: int, pieces: list[str]) -> None:
-        self.own[i] = pieces
+    def __setitem__(self, i: int, leaf: tuple[list[str], list[int]]) -> None:
+        self.own[i] = leaf
 
     def __iter__(self):
-        return map(self.__getitem__, range(len(self)))
+        """The pre-tokens of each leaf."""
+        return (self[i][0] for i in range(len(self)))
 
-    def parts(self):
-        """(text, lengths) of each leaf, without cutting those that nobody asked for."""
-        for i, own in enumerate(self.own):
-            if own is None:
-                a, b = self.first[i], self.first[i + 1]
-                yield self.base[self.at[a] : self.at[b]], self.lengths[a:b]
-            else:
-                yield "".join(own), np.fromiter(map(len, own), np.int64, len(own))
+    def sizes(self) -> list[int]:
+        return [n if own is None else len(own[0]) for own, n in zip(self.own, np.diff(self.first).tolist())]
+
+    def chars(self) -> list[int]:
+        return np.diff(self.at[self.first]).tolist()
+
+    def tokens(self) -> list[int]:
+        return np.diff(np.r_[0, np.cumsum(self.counts, dtype=np.int64)][self.first]).tolist()
+
+    def whole(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """(text, lengths, counts) of all leaves, without cutting those that nobody asked for."""
+        texts, lengths, counts = [], [], []
+        start = 0
+        for i in [*(i for i, own in enumerate(self.own) if own is not None), len(self)]:
+            a, b = self.first[start], self.first[i]
+            texts.append(self.base[self.at[a] : self.at[b]])
+            lengths.append(self.lengths[a:b])
+            counts.append(self.counts[a:b])
+            if i < len(self):
+                pieces, known = self.own[i]
+                texts.append("".join(pieces))
+                lengths.append(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                counts.append(np.array(known, np.int64))
+            start = i + 1
+        return "".join(texts), np.concatenate(lengths), np.concatenate(counts)
+
+
+def _bytes_of(numbers: np.ndarray) -> tuple[bytes, list[int]]:
+    """A byte for each number, 255 for those from 255 on, and these in their order."""
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes(), numbers[numbers >= 255].tolist()
+
+
+def _of_bytes(data: bytes | None, large: list[int] | None) -> np.ndarray:
+    numbers = np.frombuffer(data or b"", np.uint8).astype(np.int64)
+    numbers[numbers == 255] = large or []
+    return numbers
 
 
 class TokenTree:
-    """The pre-tokens of a text in leaves of about LEAF, and a binary tree of (characters, tokens) sums above them."""
+    """The pre-tokens of a text in leaves of about LEAF, each with its token count, and a binary tree of (characters, tokens) sums above them."""
 
     def __init__(self, text: str | list[str], encoder: bpe.Encoder):
         """text: whole, or as its pre-tokens."""
-        self.kept = encoder.pretoken
-        self.encoded = 0
-        self._plant(self._pieces(text) if isinstance(text, str) else text)
-        self.encoded = 0  # counts what edits encode again, not the first pass
+        self.kept, self.encoded = encoder.pretoken, 0
+        pieces = self._pieces(text) if isinstance(text, str) else text
+        lengths, counts = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(self._counts(pieces), np.int64)
+        sizes = [min(LEAF, len(pieces) - i) for i in range(0, len(pieces), LEAF)] or [0]
+        self.leaves = _Leaves("".join(pieces), lengths, counts, sizes)
+        self._sum(self.leaves.chars(), self.leaves.tokens())
+        self.encoded = 0  # counts what edits encode, not the first pass
 
     @classmethod
     def restored(cls, state: dict, encoder: bpe.Encoder) -> "TokenTree":
         """A stored tree, ready for edits; nothing is encoded or cut."""
         tree = cls.__new__(cls)
         tree.kept, tree.encoded = encoder.pretoken, 0
-        lengths = np.frombuffer(state["lengths"] or b"", np.uint8).astype(np.int64)
-        lengths[lengths == 255] = state["long"] or []
-        tree.leaves = _Leaves(state["text"] or "", lengths, state["sizes"] or [0])
-        tree._sum(np.diff(tree.leaves.at[tree.leaves.first]).tolist(), state["tokens"] or [0])
+        lengths, counts = _of_bytes(state["lengths"], state["long"]), _of_bytes(state["counts"], state["many"])
+        tree.leaves = _Leaves(state["text"] or "", lengths, counts, state["sizes"] or [0])
+        tree._sum(tree.leaves.chars(), state["tokens"] or [0])
         return tree
 
     def state(self) -> tuple:
         """The tree as TREE stores it."""
-        parts = list(self.leaves.parts()) if isinstance(self.leaves, _Leaves) else [("".join(x), np.fromiter(map(len, x), np.int64, len(x))) for x in self.leaves]
-        lengths = np.concatenate([x for _, x in parts])
-        return "".join(t for t, _ in parts), np.minimum(lengths, 255).astype(np.uint8).tobytes(), lengths[lengths >= 255].tolist(), [len(x) for _, x in parts], self.tokens[self.width : self.width + len(parts)]
+        text, lengths, counts = self.leaves.whole()
+        return text, *_bytes_of(lengths), *_bytes_of(counts), self.leaves.sizes(), self.tokens[self.width : self.width + len(self.leaves)]
 
     def _sum(self, chars: list[int], tokens: list[int]) -> None:
         self.width = 1 << (len(chars) - 1).bit_length()
@@ -108,13 +139,10 @@ class TokenTree:
     def _pieces(self, text: str) -> list[str]:
         return bpe.PRETOKEN.findall(text)
 
-    def _count(self, pieces: Sequence[str]) -> int:
+    def _counts(self, pieces: Sequence[str]) -> list[int]:
+        """How many tokens each is: the only place that encodes."""
         self.encoded += len(pieces)
-        return sum(map(len, map(self.kept.__getitem__, pieces))) // 4
-
-    def _plant(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self._sum([sum(map(len, leaf)) for leaf in self.leaves], [self._count(leaf) for leaf in self.leaves])
+        return [len(ids) // 4 for ids in map(self.kept.__getitem__, pieces)]
 
     @property
     def n_tokens(self) -> int:
@@ -122,17 +150,16 @@ class TokenTree:
 
     @property
     def n_pretokens(self) -> int:
-        own = self.leaves
-        return sum(map(len, own)) if isinstance(own, list) else sum(int(own.first[i + 1] - own.first[i]) if x is None else len(x) for i, x in enumerate(own.own))
+        return sum(self.leaves.sizes())
 
     @property
     def n_chars(self) -> int:
         return self.chars[1]
 
-    def _set(self, leaf: int, pieces: list[str], tokens: int) -> None:
-        self.leaves[leaf] = pieces
+    def _set(self, leaf: int, pieces: list[str], counts: list[int]) -> None:
+        self.leaves[leaf] = pieces, counts
         i = self.width + leaf
-        self.chars[i], self.tokens[i] = sum(map(len, pieces)), tokens
+        self.chars[i], self.tokens[i] = sum(map(len, pieces)), sum(counts)
         while i > 1:
             i //= 2
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -155,7 +182,7 @@ class TokenTree:
         first, start = self._find(max(at - 1, 0))
         # to the left: pre-tokens that can see the edit, and a place that surely is a boundary before them
         while True:
-            pieces, pos, keep, edge = self.leaves[first], start, 0, start
+            (pieces, known), pos, keep, edge = self.leaves[first], start, 0, start
             for n, piece in enumerate(pieces):
                 if max(pos + len(piece) + SIGHT, pos + SIGHT) > at:
                     break
@@ -164,12 +191,12 @@ class TokenTree:
             if edge > start or start == 0:
                 break
             first -= 1
-            while first > 0 and not self.leaves[first]:
+            while first > 0 and not self.leaves[first][0]:
                 first -= 1
             start -= self.chars[self.width + first]
-        head, tail = self.leaves[first][:keep], self.leaves[first][keep:]
+        head, counts = pieces[:keep], known[:keep]
         # to the right: leaf by leaf, until a new boundary falls on an old one behind the edit
-        last, old, drop = first, tail, at - edge
+        last, old, stays, drop = first, pieces[keep:], known[keep:], at - edge
         while True:
             seen = "".join(old)
             whole = last == len(self.leaves) - 1
@@ -177,52 +204,48 @@ class TokenTree:
                 new = seen[:drop] + insert + seen[drop + remove :]
                 made, shift = self._pieces(new), len(insert) - remove
                 if whole:
-                    rest, fresh = [], made
+                    taken, fresh = len(old), made
                     break
                 ends, total = {}, 0
                 for n, piece in enumerate(old):
                     if total >= drop + remove:
                         ends[total + shift] = n
                     total += len(piece)
-                pos, fresh, rest = 0, [], None
+                pos, fresh, taken = 0, [], None
                 for piece in made:
                     # a new boundary is certain only if what it depends on has been read
                     if pos >= drop + len(insert) and pos in ends and pos + SIGHT <= len(new):
-                        rest = old[ends[pos] :]
+                        taken = ends[pos]
                         break
                     fresh.append(piece)
                     pos += len(piece)
-                if rest is not None:
+                if taken is not None:
                     break
             last += 1
-            old = old + self.leaves[last]
-        before = self.encoded
-        tokens = self._count(head) + self._count(fresh) + self._count(rest)
-        self.encoded = before + len(fresh)
+            old, stays = old + self.leaves[last][0], stays + self.leaves[last][1]
+        made = self._counts(fresh)
         for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, [], 0)
-        self._set(first, head + fresh + rest, tokens)
-        if len(self.leaves[first]) > 8 * LEAF:
+            if self.leaves[leaf][0]:
+                self._set(leaf, [], [])
+        self._set(first, head + fresh + old[taken:], counts + made + stays[taken:])
+        if len(self.leaves[first][0]) > 8 * LEAF:
             self._split(first)
 
     def _split(self, leaf: int) -> None:
-        """Make leaves of the usual size of one that has grown; the others keep their sums."""
-        before, n = self.encoded, len(self.leaves)
-        chars, tokens = self.chars[self.width : self.width + n], self.tokens[self.width : self.width + n]
-        leaves = list(self.leaves)
-        parts = [leaves[leaf][i : i + LEAF] for i in range(0, len(leaves[leaf]), LEAF)]
-        self.leaves = leaves[:leaf] + parts + leaves[leaf + 1 :]
-        self._sum(chars[:leaf] + [sum(map(len, x)) for x in parts] + chars[leaf + 1 :], tokens[:leaf] + [self._count(x) for x in parts] + tokens[leaf + 1 :])
-        self.encoded = before
+        """Make leaves of the usual size of one that has grown; nothing is encoded for it."""
+        sizes = self.leaves.sizes()
+        sizes[leaf : leaf + 1] = [min(LEAF, sizes[leaf] - i) for i in range(0, sizes[leaf], LEAF)]
+        self.leaves = _Leaves(*self.leaves.whole(), sizes)
+        self._sum(self.leaves.chars(), self.leaves.tokens())
 
     def text(self) -> str:
-        return "".join(x for leaf in self.leaves for x in leaf)
+        return self.leaves.whole()[0]
 
 
 def _tree_array(trees: list[TokenTree]) -> pa.Array:
-    columns = zip(*(t.state() for t in trees)) if trees else [()] * 5
-    types = [pa.string(), pa.binary(), *[pa.list_(pa.int32())] * 3]
+    columns = zip(*(t.state() for t in trees)) if trees else [()] * 7
+    large = pa.list_(pa.int32())
+    types = [pa.string(), pa.binary(), large, pa.binary(), large, large, large]
     return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=TREE.fieldNames())
 
 
@@ -248,7 +271,7 @@ def gathered(edits: DataFrame, key: str, order: str) -> DataFrame:
 def apply(df: DataFrame, edits: str = "edits", tree: str = "tree", tokenizer: str | None = None) -> DataFrame:
     """Bring `edits`, an array of (at, remove, insert) in order, to stored trees; `tree` is then the tree after them.
 
-    Adds tokens_before, tokens_after, n_pretokens (after) and n_reencoded (pre-tokens encoded again, all that is encoded here). A
+    Adds tokens_before, tokens_after, n_pretokens (after) and n_reencoded (pre-tokens given to the encoder, all that is encoded here). A
     null tree is that of an empty text, null edits or null members change nothing, places outside the text are moved to
     its end. Rows are independent: repeated rows give repeated results, no rows none. Columns of the new names are replaced.
     """

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tesserae.llm import bpe
 from tesserae.llm import token_counts as C
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,3 +53,37 @@ def test_trees_of_odd_rows(spark):
     bare = df.select("doc_id", F.lit(None).cast(C.TREE).alias("tree"), F.lit(None).cast(f"array<{C.EDIT.simpleString()}>").alias("edits"))
     assert {(r.tokens_before, r.tokens_after, r.n_reencoded) for r in C.apply(bare).collect()} == {(0, 0, 0)}
     assert C.apply(C.plant(df.limit(0)).withColumn("edits", change)).count() == 0
+
+
+class Asked:
+    """An encoder that notes what it is asked for."""
+
+    def __init__(self, encoder):
+        self.pretoken, self.own, self.calls = self, encoder.pretoken, []
+
+    def __getitem__(self, piece):
+        self.calls.append(piece)
+        return self.own[piece]
+
+
+def test_edits_encode_what_they_made_and_nothing_else():
+    rng, library, encoder = random.Random(5), Tokenizer.from_file(PATH), bpe.encoder(PATH)
+    for _ in range(40):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 80)))
+        state = C.TokenTree(text, encoder).state()
+        for _ in range(4):
+            asked = Asked(encoder)
+            tree = C.TokenTree.restored(dict(zip(C.TREE.fieldNames(), state)), asked)
+            assert not asked.calls
+            change = rng.randint(0, len(text) + 2), rng.randint(0, 20), rng.choice(["", " one two", "it's", "\n"])
+            text = edited(text, *change)
+            tree.edit(*change)
+            state = tree.state()
+            want = [len(library.encode(x, add_special_tokens=False).ids) for x in bpe.PRETOKEN.findall(text)]
+            assert len(asked.calls) == tree.encoded and tree.n_tokens == sum(want)
+            assert C._of_bytes(*state[3:5]).tolist() == want and state[0] == text
+    words = "word " * 5_000
+    asked = Asked(encoder)
+    tree = C.TokenTree.restored(dict(zip(C.TREE.fieldNames(), C.TokenTree(words, encoder).state())), asked)
+    tree.edit(12_502, 1, "x")
+    assert len(asked.calls) == tree.encoded <= 4
