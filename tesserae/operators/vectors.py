@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from tesserae.operators.checkpoints import written
 
 BLOCK = 1024
+#: Blocks of queries whose nearest a task keeps at once.
+HELD = 64
 
 
 def dot_i8(a: Column, b: Column) -> Column:
@@ -58,19 +60,71 @@ def squared_distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+class Nearest:
+    """The k nearest of all base blocks seen, for one block of queries: squared distances estimated by a matrix product, then made exact.
+
+    With u = 2^-53, n dimensions and r = |q| + |b|, the product's estimate |q|^2 + |b|^2 - 2qb and the sum in order of dimensions
+    are both within (n + 3) u r^2 or so of the true value, so they differ by less than 4 (n + 4) u r^2. Only pairs whose estimate could
+    then be among the k least, of this block and of those before, are summed exactly; the rest can't be. Where an estimate
+    isn't finite, all pairs of the block are.
+    """
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.norms = np.einsum("ij,ij->i", queries, queries)
+        self.rows, self.found, self.d2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        #: The k-th distance so far, and how many pairs were summed exactly.
+        self.bound, self.rescored = np.full(len(queries), np.inf), 0
+
+    def meet(self, base: np.ndarray, ids: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            norms = np.einsum("ij,ij->i", base, base)
+            estimate = self.norms[:, None] + norms - 2.0 * (self.queries @ base.T)
+            off = 4.0 * (base.shape[1] + 4) * 2.0**-53 * (np.sqrt(self.norms) + np.sqrt(norms.max(initial=0.0))) ** 2
+            least = np.partition(estimate, self.k - 1, axis=1)[:, self.k - 1] if self.k <= len(base) else np.full(len(self.queries), np.inf)
+            close = estimate <= np.minimum(least + 2.0 * off, self.bound + off)[:, None]
+        if not np.isfinite(estimate).all():
+            close = np.ones(estimate.shape, bool)
+        rows, columns = np.nonzero(close)
+        exact = np.zeros(len(rows))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for x, y in zip(np.ascontiguousarray(self.queries.T), np.ascontiguousarray(base.T)):
+                gap = x[rows] - y[columns]
+                exact += gap * gap
+        self.rescored += len(rows)
+        rows, found, d2 = np.r_[self.rows, rows], np.r_[self.found, ids[columns]], np.r_[self.d2, exact]
+        order = np.lexsort((found, d2, rows))
+        rows, found, d2 = rows[order], found[order], d2[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        full = place == self.k - 1
+        self.bound[rows[full]] = np.where(np.isnan(d2[full]), np.inf, d2[full])
+        self.rows, self.found, self.d2 = (x[place < self.k] for x in (rows, found, d2))
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query": self.ids[self.rows], "id": self.found, "d2": self.d2})
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, rank, id, d2): the k nearest base vectors by squared Euclidean distance, ties to the smaller id."""
+    """(query, rank, id, d2): the k nearest base vectors by squared Euclidean distance, summed in order of dimensions, ties to the smaller id.
+
+    A task keeps the k nearest so far of up to HELD blocks of queries, so that it gives k rows for a query and not for each block.
+    """
     if k < 1:
         raise ValueError("k must be positive")
 
     def run(batches):
+        standing: dict[bytes, Nearest] = {}
         for pdf in batches:
             for r in pdf.itertuples():
                 q, b = (_of(r, c).reshape(-1, r.dim) for c in ("q_matrix", "matrix"))
-                d2, own = squared_distances(q, b), _of(r, "ids", np.int64)
-                take = min(k, len(own))
-                best = np.array([np.lexsort((own, line))[:take] for line in d2])
-                yield pd.DataFrame({"query": np.repeat(_of(r, "q_ids", np.int64), take), "id": own[best].ravel(), "d2": np.take_along_axis(d2, best, 1).ravel()})
+                name = bytes(r.q_ids) + bytes(r.q_matrix)
+                if name not in standing and len(standing) == HELD:
+                    yield standing.pop(next(iter(standing))).frame()
+                block = standing.pop(name, None) or Nearest(q, _of(r, "q_ids", np.int64), k)
+                block.meet(b, _of(r, "ids", np.int64))
+                standing[name] = block  # the last used comes last
+        for block in standing.values():
+            yield block.frame()
 
     found = _pairs(packed(queries, ids, vector), packed(base, ids, vector)).mapInPandas(run, "query bigint, id bigint, d2 double")
     w = Window.partitionBy("query").orderBy("d2", "id")
