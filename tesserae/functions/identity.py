@@ -85,6 +85,24 @@ def _hash_some(inputs: list[bytes]) -> np.ndarray:
     return values
 
 
+def _packed(values: np.ndarray) -> list[bytes]:
+    data = np.ascontiguousarray(values.T).astype("<u4").tobytes()
+    return [data[i : i + 32] for i in range(0, len(data), 32)]
+
+
+def blake3_chunks(parts: list[bytes], numbers: np.ndarray, root: bool = False) -> list[bytes]:
+    """Chaining values, 32 bytes each, of the chunks with these numbers in their input; root: of a chunk that is all of it."""
+    return _packed(_chunks(parts, numbers, np.full(len(parts), root)))
+
+
+def blake3_parents(left: list[bytes], right: list[bytes], root: bool = False) -> list[bytes]:
+    """Chaining values of the nodes above pairs of nodes; root: of the tree's top, which is the digest."""
+    words = np.concatenate([np.frombuffer(b"".join(side), "<u4").reshape(-1, 8).T for side in (left, right)])
+    n = len(left)
+    flags = np.full(n, _PARENT | (_ROOT if root else 0))
+    return _packed(_compress(np.repeat(_IV[:, None], n, axis=1), words, np.zeros(n, np.uint64), np.full(n, 64), flags))
+
+
 def hash_many(inputs: list[bytes]) -> list[bytes]:
     """The first 16 bytes of BLAKE3 of each input."""
     out: list[bytes] = []

@@ -19,6 +19,7 @@ from tesserae.operators import paths as P
 from tesserae.operators import registry as R
 from tesserae.operators import text as X
 from tesserae.operators.checkpoints import cut, shared_folder
+from tesserae.operators.fingerprints import fingerprints
 from tesserae.operators.order import numbered
 from tesserae.plans.catalogue import register
 from tesserae.sources import containers, wire
@@ -442,3 +443,9 @@ def _arrays_read(events):
     own = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
     read = own.select("user_id", through(F.transform("e", lambda x: F.unhex(F.md5(x["event_type"].cast("binary"))))).alias("r"))
     return read.select("user_id", "r.n", F.md5(F.col("r.ids").cast("binary")).alias("ids"))
+
+
+@register("artifact_digests")
+def artifact_digests(spark, sf_dir):
+    """All texts of a source, one after the other by doc_id, as one artifact: its BLAKE3-256. DuckDB has no BLAKE3."""
+    return fingerprints(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
