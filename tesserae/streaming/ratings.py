@@ -34,18 +34,23 @@ def rated(matchups: DataFrame) -> DataFrame:
 
 
 def kept(matchups: DataFrame, folder: str) -> DataFrame:
-    """Run rated() over what there is to read, and give each claim's last state.
+    """Run rated() over what there is to read, and give each claim's last state; the same folder goes on where it stopped."""
+    return last_states(rated(matchups), folder)
+
+
+def last_states(updates: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of updated states until all there is to read is read, and give each claim's last one.
 
     Updates go to Parquet files in `folder`, a subfolder for each batch that a retry writes over; nothing of them is kept on
     the driver. The stream's own checkpoints stand beside it, so the same folder goes on where it stopped.
     """
-    spark = matchups.sparkSession
+    spark = updates.sparkSession
     spark.createDataFrame([], OUTPUT).write.mode("overwrite").parquet(f"{folder}/updates/batch=-1")
 
     def store(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
 
-    query = rated(matchups).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(store).start()
+    query = updates.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(store).start()
     query.processAllAvailable()
     query.stop()
     names = [f.name for f in spark.createDataFrame([], OUTPUT).schema][1:]
