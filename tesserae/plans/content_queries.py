@@ -19,6 +19,7 @@ from tesserae.operators import paths as P
 from tesserae.operators import registry as R
 from tesserae.operators import text as X
 from tesserae.operators.checkpoints import cut, shared_folder
+from tesserae.operators.decompose import composed, decomposed
 from tesserae.operators.fingerprints import fingerprints
 from tesserae.operators.order import numbered
 from tesserae.plans.catalogue import register
@@ -78,11 +79,15 @@ def text_entities(spark, sf_dir):
     return e.groupBy("tier").agg(F.count("*").alias("entities"), F.sum("parts").alias("parts"), F.sum("vertices").alias("vertices"))
 
 
+def _points(spark):
+    return U.build(spark).where("not cp between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32").alias("letter"), "m0", "m1", "m2", "m3")
+
+
 @register("text_places", None)
 def text_places(spark, sf_dir):
     """Where the texts of `benchmark` lie, by the codepoint table's coordinates."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
-    points = U.build(spark).where("not cp between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32").alias("letter"), "m0", "m1", "m2", "m3")
+    points = _points(spark)
     return X.text_ids(b, "key", "text").join(X.placed(X.edges(b, "text"), points).withColumnRenamed("node", "id").drop("tier"), "id").select("key", "tier", "m0", "m1", "m2", "m3")
 
 
@@ -254,6 +259,18 @@ def registry_identifiers(spark, sf_dir):
     return n.select("r_regionkey", R.identifier(F.col("parts")).alias("shown"))
 
 
+@register("registry_decomposed", "SELECT r_regionkey, forged, CAST(CASE WHEN forged THEN 0 ELSE count(*) END AS BIGINT) AS children FROM region JOIN nation ON n_regionkey = r_regionkey CROSS JOIN (VALUES (false), (true)) AS f(forged) GROUP BY r_regionkey, forged")
+def registry_decomposed(spark, sf_dir):
+    """Regions as entries of their nations' names, and the same with two names changed about: how many constituents each may be taken apart into."""
+    nation = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("key")).agg(F.array_sort(F.collect_list("n_name")).alias("parts"))
+    points = cut(_points(spark))
+    true = cut(nation.join(composed(nation, points), "key"))
+    turned = F.concat(F.slice("parts", 2, 1), F.slice("parts", 1, 1), F.expr("slice(parts, 3, size(parts))"))
+    said = true.select(F.struct("key", F.lit(False).alias("forged")).alias("key"), "id", "m0", "m1", "m2", "m3", "parts").union(true.select(F.struct("key", F.lit(True).alias("forged")).alias("key"), "id", "m0", "m1", "m2", "m3", turned))
+    held = decomposed(said, points).groupBy("key").agg(F.sum("run").alias("children"))
+    return said.select("key").join(held, "key", "left").select(F.col("key.key").alias("r_regionkey"), F.col("key.forged").alias("forged"), F.coalesce("children", F.lit(0)).cast("bigint").alias("children"))
+
+
 @register("masks", "WITH m AS (SELECT o_orderkey, (1 << CAST(o_orderkey % 8 AS INT)) | ((o_orderkey % 17 + 1) << 8) | ((o_orderkey % 45 + 1) << 13) AS mask FROM orders) SELECT o_orderkey, CAST(mask AS BIGINT) AS mask, CAST(((mask >> 8) & 31) - 1 AS BIGINT) AS upos, CAST(o_orderkey % 8 AS BIGINT) AS kind, o_orderkey % 8 = 3 AS is_third, CAST(mask & ~(31 << 8) AS BIGINT) AS cleared FROM m")
 def masks(spark, sf_dir):
     k = F.col("o_orderkey")
