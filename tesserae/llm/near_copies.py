@@ -10,7 +10,11 @@ of similarity J differ in (1 - J) / 2 of the bits, a tenth at 0.8; pairs that di
 chance of one in a million, all but 5 in 10,000 at 0.6). What is left is decided by the shingle sets themselves.
 
 Texts with equal shingle sets are one node. Each bucket first proposes its members to its least node, so that a large group of
-copies needs no pair of all its members. Then every pair of a bucket that isn't connected yet is proposed.
+copies needs no pair of all its members. Then every pair of a bucket that isn't connected yet is looked at. Where the pairs that
+sketches leave open are few for their nodes, they are proposed one by one. Where they are many, as among texts of one template at 0.7 to
+0.8, only links that hold their nodes together are: what these connect is a family, whose members meet in tasks once, each
+with its text. There all their pairs are decided by products of the matrices of members and shingles, and only links that connect
+what is similar come out. So rows grow with the members of a family, not with its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, split_join
 from tesserae.llm.components import components
-from tesserae.llm.simhash import close_pairs
+from tesserae.llm.simhash import close_pairs, merged
 
 #: Bands and their rows.
 BANDS, ROWS = 24, 4
@@ -38,6 +42,14 @@ SKETCH, APART = 768, 117
 PART = 8192
 #: Pairs of one node that a task gets together, about.
 PAIRS = 256
+#: Pairs whose sketches are compared at once.
+SLICE = 1 << 16
+#: Open pairs for each node of a bucket's cluster, above which it goes to a family.
+MANY = 4
+#: Characters and members of a family that are compared as one group, about; larger families are split into pairs of parts.
+FAMILY_CHARS, FAMILY_PART = 1 << 23, 4096
+#: Members to a side and shingles of a matrix product.
+TILE, COLUMNS = 1024, 4096
 #: Shingles that meet all hash functions at once.
 AT_ONCE = 1024
 
@@ -166,6 +178,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def _bucket_pairs(batches):
+    """Rows (a, b, dense): the open pairs of clusters with few, and links that span clusters with many (dense)."""
     keys = ["key", "part_a", "part_b"]
 
     def pairs(pdf):
@@ -173,13 +186,32 @@ def _bucket_pairs(batches):
         node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
         sketches = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
         across = (pdf["part_a"] != pdf["part_b"]).to_numpy()
-        found = [np.zeros((2, 0), np.int64)]
-        for i, j in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), np.r_[0, np.cumsum(changed)], RADIUS, pdf["label"].to_numpy(np.int64)):
-            # pairs within a part are met where both parts are that one
-            use = (~across[i] | (own[i] != own[j])) & (np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64) <= APART)
-            found.append(np.stack([np.minimum(node[i], node[j])[use], np.maximum(node[i], node[j])[use]]))
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        # a cluster is named by its least row; of dense ones no pairs are kept
+        cluster, dense, kept = np.arange(len(pdf)), np.zeros(len(pdf), bool), np.zeros((2, 0), np.int64)
+
+        def sparse():
+            of = cluster[kept[0]]
+            dense[np.bincount(of, minlength=len(pdf)) > MANY * np.bincount(cluster, minlength=len(pdf))] = True
+            return kept[:, ~dense[of]]
+
+        for some_i, some_j in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), np.r_[0, np.cumsum(changed)], RADIUS, pdf["label"].to_numpy(np.int64)):
+            for start in range(0, len(some_i), SLICE):
+                i, j = some_i[start : start + SLICE], some_j[start : start + SLICE]
+                # pairs within a part are met where both parts are that one
+                use = (~across[i] | (own[i] != own[j])) & ~(dense[cluster[i]] & (cluster[i] == cluster[j]))
+                i, j = i[use], j[use]
+                use = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64) <= APART
+                i, j = i[use], j[use]
+                were = np.flatnonzero(dense)
+                cluster = merged(cluster, i, j)
+                dense[cluster[were]] = True
+                kept = np.concatenate([kept, np.stack([i, j])], axis=1)
+                if kept.shape[1] > MANY * len(pdf):
+                    kept = sparse()
+        i, j = sparse()
+        rows = np.flatnonzero(dense[cluster] & (cluster != np.arange(len(pdf))))
+        a, b = node[np.r_[i, rows]], node[np.r_[j, cluster[rows]]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.arange(len(a)) >= len(i)}).drop_duplicates()
 
     held = None
     for pdf in batches:
@@ -194,7 +226,7 @@ def _bucket_pairs(batches):
 
 
 def _unconnected(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, have different labels and may be similar."""
+    """Pairs (a, b, dense) of nodes that share a bucket, have different labels and may be similar; dense ones stand for all pairs of what they connect."""
     known = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = cut(known.select("key", "node", "fp", "label"))
     buckets = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
@@ -203,7 +235,84 @@ def _unconnected(members: DataFrame, labels: DataFrame, sketches: DataFrame) ->
     parts = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     parts = parts.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "own", "node", "label", "fp").join(sketches, "node")
     keys = ["key", "part_a", "part_b"]
-    return parts.repartition(*keys).sortWithinPartitions(*keys, "label").mapInPandas(_bucket_pairs, "a bigint, b bigint").distinct()
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "label").mapInPandas(_bucket_pairs, "a bigint, b bigint, dense boolean").distinct()
+
+
+def _in_common(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one list has in common with each of the other."""
+    both = np.intersect1d(np.unique(np.concatenate(sets_a)), np.unique(np.concatenate(sets_b)), assume_unique=True)
+
+    def places(sets):
+        values = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.searchsorted(both, values)
+        shared = column < len(both)
+        shared[shared] = both[column[shared]] == values[shared]
+        return row[shared], column[shared]
+
+    def matrix(sets, row, column, start):
+        use = (column >= start) & (column < start + COLUMNS)
+        made = np.zeros((len(sets), min(COLUMNS, len(both) - start)), np.float32)
+        made[row[use], column[use] - start] = 1
+        return made
+
+    # sums of ones are exact up to 2^24 a product
+    a, b, total = places(sets_a), places(sets_b), np.zeros((len(sets_a), len(sets_b)), np.int64)
+    for start in range(0, len(both), COLUMNS):
+        total += (matrix(sets_a, *a, start) @ matrix(sets_b, *b, start).T).astype(np.int64)
+    return total
+
+
+def similar_links(sets: list[np.ndarray], across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row) links that connect just what similar() connects, at most one for each row; with `across`, by pairs of different sides."""
+    sides = [np.arange(len(sets))] if across is None else [np.flatnonzero(~across), np.flatnonzero(across)]
+    tiles = [[rows[i : i + TILE] for i in range(0, len(rows), TILE)] for rows in sides]
+    sizes, label = np.array([len(x) for x in sets], np.int64), np.arange(len(sets))
+    for x, left in enumerate(tiles[0]):
+        for right in tiles[0][x:] if across is None else tiles[1]:
+            if (label[np.r_[left, right]] == label[left[0]]).all():
+                continue
+            common = _in_common([sets[i] for i in left], [sets[i] for i in right])
+            i, j = np.nonzero(5 * common >= 4 * (sizes[left][:, None] + sizes[right] - common))
+            label = merged(label, left[i], right[j])
+    rows = np.flatnonzero(label != np.arange(len(sets)))
+    return rows, label[rows]
+
+
+def _family_links(size: int):
+    def links(key, nodes, owns, sets):
+        _, part_a, part_b = key
+        rows, to = similar_links(sets, None if part_a == part_b else np.array(owns) == part_b)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(nodes)[x], pa.int64()) for x in (to, rows)], names=["a", "b"])
+
+    def run(batches):
+        now, nodes, owns, sets = None, [], [], []
+        for batch in batches:
+            for *key, own, node, text in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5)):
+                if key != now and sets:
+                    yield links(now, nodes, owns, sets)
+                    nodes, owns, sets = [], [], []
+                now = key
+                nodes.append(node)
+                owns.append(own)
+                sets.append(shingles(text.as_py(), size))
+        if sets:
+            yield links(now, nodes, owns, sets)
+
+    return run
+
+
+def _of_families(dense: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) that connect what is similar in each family, which `dense` links connect."""
+    members = cut(components(dense).join(texts.select("node", F.length("text").alias("chars")), "node"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    sizes = cut(sizes.select("component", "n", F.ceil(F.greatest(F.col("n") / FAMILY_PART, F.col("chars") / FAMILY_CHARS, F.lit(1))).cast("int").alias("parts")))
+    parts = split_join(members.select("node", "component"), sizes, ["component"], "n", members.count())
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    keys = ["component", "part_a", "part_b"]
+    parts = parts.select("component", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "own", "node").join(texts, "node")
+    parts = parts.select(*keys, "own", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
+    return cut(parts.mapInArrow(_family_links(size), "a bigint, b bigint"))
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
@@ -229,8 +338,12 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS
     leads = members.where((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirm(_promising(leads, sketches), texts, size)
-    more = _confirm(_unconnected(members.select("node", "fp", "key"), components(links), sketches), texts, size)
-    found = components(links.union(more))
+    open_pairs = cut(_unconnected(members.select("node", "fp", "key"), components(links), sketches))
+    links = links.union(_confirm(open_pairs.where("not dense").select("a", "b"), texts, size))
+    dense = open_pairs.where("dense").select("a", "b")
+    if not dense.isEmpty():
+        links = links.union(_of_families(dense, texts, size))
+    found = components(links)
     named = cut(nodes.join(found, "node", "left").select("node", "times", "rep", F.coalesce("component", "node").alias("component")))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")))
     named = cut(split_join(named, least, ["component"], "n", named.count()).select("node", "times", "least"))

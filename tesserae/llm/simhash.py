@@ -176,19 +176,25 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarr
             yield i[apart], j[apart]
 
 
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`label`, which has each row's least connected row, after rows `i` are connected to rows `j`."""
+    label = label.copy()
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def spanning_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, earlier row) links that connect just what close_pairs() connects, at most one for each row."""
     label = np.arange(len(fps))
     for i, j in close_pairs(fps, group, radius):
-        while True:
-            a, b = label[i], label[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j = i[apart], j[apart]
-            np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-            while (label[label] != label).any():
-                label = label[label]
+        label = merged(label, i, j)
     rows = np.flatnonzero(label != np.arange(len(fps)))
     return rows, label[rows]
 

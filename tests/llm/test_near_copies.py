@@ -120,3 +120,51 @@ def test_sketches_keep_similar_pairs():
         if N.similar(first, h):
             apart.append(int(N.np.bitwise_count(own_print ^ N.np.array(N.sketch(h)).view(N.np.uint64)).sum()))
     assert len(apart) > 150 and max(apart) <= N.APART
+
+
+def test_a_bucket_makes_rows_by_its_members():
+    """400 texts around one, at 0.7 to 0.8 to each other, in one bucket: thousands of pairs stay open, and no more rows come out than members."""
+    sets = [N.shingles(t, 5) for _, t in templates(400, 300, 4)]
+    made = {"key": 1, "part_a": 0, "part_b": 0, "own": 0, "node": range(400), "label": range(400), "fp": [N.fingerprint_of(s) for s in sets], "sketch": [N.np.array(N.sketch(s)) for s in sets]}
+    found = N.pd.concat(N._bucket_pairs(iter([N.pd.DataFrame(made)])))
+    bits = N.np.stack(made["sketch"]).view(N.np.uint64)
+    open_pairs = sum(int((N.np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= N.APART).sum()) for i in range(400))
+    assert open_pairs > 20_000 and len(found) < 400, (open_pairs, len(found))
+
+
+def test_families_connect_what_brute_force_connects(spark, monkeypatch):
+    """Texts of two templates, few pairs of which reach 0.8, and small groups beside them; families whole and in parts, tiles cut small."""
+    rows = templates(200, 300, 4) + [(1000 + i, t) for i, t in templates(100, 200, 3, seed=5)] + [r for r in planted() if r[0] >= 3000]
+    want, pairs = brute_force(rows)
+    assert pairs > 200 and len(set(want.values())) > 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    families = []
+    whole = N._of_families
+
+    def counted(dense, texts, size):
+        families.append(dense.count())
+        return whole(dense, texts, size)
+
+    monkeypatch.setattr(N, "_of_families", counted)
+    assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == want
+    monkeypatch.setattr(N, "FAMILY_PART", 70)
+    assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == want
+    assert len(families) == 2 and min(families) > 100
+
+
+def test_similar_links_in_tiles(monkeypatch):
+    sets = [N.shingles(t, 5) for _, t in templates(90, 300, 4)] + [N.shingles(t, 5) for t in ("", "one two", "one two three four five six")]
+    monkeypatch.setattr(N, "TILE", 16)
+    monkeypatch.setattr(N, "COLUMNS", 50)
+    for across in (None, N.np.arange(len(sets)) % 3 == 1):
+        label = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if label[i] != label[j] and (across is None or across[i] != across[j]) and N.similar(a, sets[j]):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if x == high else x for x in label]
+        rows, to = N.similar_links(sets, across)
+        got = list(range(len(sets)))
+        for i, j in zip(rows.tolist(), to.tolist()):
+            got[i] = j
+        assert got == label and len(set(label)) < len(sets)
