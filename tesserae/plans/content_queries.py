@@ -43,8 +43,8 @@ _SEGMENTS = rf"regexp_extract_all({_BLANKED}, '[0-9A-Za-zªµºÀ-ÖØ-öø-ÿ]+
 @register("text_segments", f"SELECT doc_id AS key, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_transform(s, lambda x: octet_length(encode(x))), ',')) AS lengths FROM (SELECT doc_id, {_SEGMENTS} AS s FROM documents WHERE text <> '')")
 def text_segments(spark, sf_dir):
     """How many segments each document has, and a digest of their lengths in order."""
-    s = X.segments(_documents(spark, sf_dir), "key", "text").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "length"))).alias("s"))
-    return s.select("key", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("s", lambda x: x["length"].cast("string")), ",").cast("binary")).alias("lengths"))
+    s = X.segment_lists(_documents(spark, sf_dir), "key", "text", ids=False)
+    return s.select("key", F.size("lengths").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("lengths", lambda x: x.cast("string")), ",").cast("binary")).alias("lengths"))
 
 
 @register("text_realized", "SELECT doc_id AS key, md5(text) AS digest FROM documents WHERE text <> ''")

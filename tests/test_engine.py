@@ -68,6 +68,36 @@ def test_segments():
     assert count_segments("3.14 can't word_1") == 11
 
 
+ODD_TEXTS = ["a\u0301b c\u00add", "x\U0001f469\u200d\U0001f680y", "\u30ab\u30bf\u30ab\u30ca. \u6f22\u5b57\u3002\u3000\u3000x", "\U0001f1e9\U0001f1ea\U0001f1eb", "it's 3.14_a\u2019b", "one\ntwo\r\nthree. Four\r\n\r\nfive", " \t ", "e.g. this? No! (Yes.) 1.5 U.S.A. end.\u0085x", "\r", ""]
+
+
+def test_segment_lists_are_the_trees_words(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD_TEXTS, None])], "key int, text string")
+    want = {}
+    for i, t in enumerate(ODD_TEXTS):
+        store, seen = identity.Composer(), []
+        segments.decompose(t, store, lambda *x: seen.append(x))
+        ids = store.ids()
+        want |= {(i, k): (o, n, ids[node]) for k, (o, n, node) in enumerate(seen)}
+    got = {(r.key, r.pos): (r.offset, r.length, bytes(r.id)) for r in text.segments(df, "key", "text").collect()}
+    assert got == want
+    # a list a text, and nothing is dealt out or gathered
+    plan = entry.queries()["text_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_plain_segments_are_those_of_all_rules():
+    rng = random.Random(5)
+    for _ in range(400):
+        t = "".join(rng.choice("ab c.\n?\u00e9\u00df1'\r\t\u2019\u4e2d\u05d0_ ") for _ in range(rng.randint(1, 80)))
+        shown = segments.blanked(t)
+        cuts = sorted({x for span in (*segments.word_spans(shown), *segments.sentences(shown)) for x in span})
+        assert segments.cut_up(t)[2] is None and segments.words(t) == [t[a:b] for a, b in zip(cuts, cuts[1:])]
+        assert segments.lengths(t) == [len(t[a:b].encode()) for a, b in zip(cuts, cuts[1:])]
+
+
 def test_texts_come_back():
     rng = random.Random(2)
     store = identity.Composer()
