@@ -94,7 +94,7 @@ def text_places(spark, sf_dir):
 @register("text_letters", "SELECT unicode(ch) AS cp, ch FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')")
 def text_letters(spark, sf_dir):
     """The codepoints that all documents come down to."""
-    return X.edges(_documents(spark, sf_dir), "text").where("letter is not null").select(F.expr("ascii(letter)").alias("cp"), F.col("letter").alias("ch"))
+    return X.letters(_documents(spark, sf_dir), "text").select(F.expr("ascii(letter)").alias("cp"), F.col("letter").alias("ch"))
 
 
 @register("codepoint_ids", "SELECT event_type AS first, event_type AS last, count(*) AS n FROM events GROUP BY event_type")

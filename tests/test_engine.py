@@ -71,6 +71,20 @@ def test_segments():
 ODD_TEXTS = ["a\u0301b c\u00add", "x\U0001f469\u200d\U0001f680y", "\u30ab\u30bf\u30ab\u30ca. \u6f22\u5b57\u3002\u3000\u3000x", "\U0001f1e9\U0001f1ea\U0001f1eb", "it's 3.14_a\u2019b", "one\ntwo\r\nthree. Four\r\n\r\nfive", " \t ", "e.g. this? No! (Yes.) 1.5 U.S.A. end.\u0085x", "\r", ""]
 
 
+def test_letters_are_the_leaves(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD_TEXTS, None, "ababab"])], "key int, text string").repartition(3)
+    leaves = {r.letter for r in text.edges(df, "text").where("letter is not null").collect()}
+    got = [r.letter for r in text.letters(df, "text").collect()]
+    assert sorted(got) == sorted(leaves) and set(got) == set("".join(ODD_TEXTS) + "ab")
+
+
+def test_letters_build_no_trees(spark, monkeypatch, sf_dir):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(text, "edges", None)
+    assert entry.queries()["text_letters"](spark, sf_dir).count() > 50
+
+
 def test_segment_lists_are_the_trees_words(spark, sf_dir):
     import __spark_entry__ as entry
 
