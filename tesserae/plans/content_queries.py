@@ -75,7 +75,7 @@ def golden_ids(spark, sf_dir):
 
 @register("text_entities", None)
 def text_entities(spark, sf_dir):
-    e = X.entities(X.edges(_documents(spark, sf_dir), "text"))
+    e = X.text_entities(_documents(spark, sf_dir), "text")
     return e.groupBy("tier").agg(F.count("*").alias("entities"), F.sum("parts").alias("parts"), F.sum("vertices").alias("vertices"))
 
 

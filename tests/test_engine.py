@@ -85,6 +85,15 @@ def test_letters_build_no_trees(spark, monkeypatch, sf_dir):
     assert entry.queries()["text_letters"](spark, sf_dir).count() > 50
 
 
+def test_entities_are_those_of_the_edges(spark):
+    texts = [*ODD_TEXTS, None, "ababab", "a  b  a  b. a  b  a  b.", "one two one two three", "ababab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key int, text string").repartition(3)
+    made = text.text_entities(df, "text")
+    assert sorted(map(str, made.collect())) == sorted(map(str, text.entities(text.edges(df, "text")).collect()))
+    # sums of fixed width are hashed; nothing is sorted
+    assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_segment_lists_are_the_trees_words(spark, sf_dir):
     import __spark_entry__ as entry
 
