@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,9 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """As cut(), as a Parquet table in the shared folder: for many rounds of joins, since a checkpoint carries on the estimated sizes
     of its plan, which multiply with each join, and a table has its own."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of what was written and isn't referred to any more are deleted once the JVM has collected its garbage: here, not some time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

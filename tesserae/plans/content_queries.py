@@ -51,7 +51,7 @@ def text_segments(spark, sf_dir):
 def text_realized(spark, sf_dir):
     """Decomposed to edges, kept once each, and put together again."""
     d = _documents(spark, sf_dir).where("text <> ''")
-    back = X.realized(X.text_ids(d, "key", "text"), X.edges(d, "text"))
+    back = X.realized_packed(X.packed(d, "key", "text"), "key")
     return back.select("key", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

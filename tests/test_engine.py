@@ -94,6 +94,32 @@ def test_entities_are_those_of_the_edges(spark):
     assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_packed_compositions_are_the_edges_and_come_back(spark):
+    texts = [*ODD_TEXTS, None, "ababab", "a  b  a  b. a  b  a  b.", "one two one two three", "ababab", "x", "word", "y" * 300, "so so so. " * 40, "ab" * 200 + ". End", "A b. A b. A b. C"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key int, text string").repartition(3)
+    nodes = text.packed(df, "key", "text")
+    rows = lambda d: sorted(map(str, d.select("parent", "ordinal", "child", "run", "tier", "letter").collect()))
+    assert rows(text.unpacked(nodes)) == rows(text.edges(df, "text"))
+    assert nodes.where("who is null").count() == nodes.where("who is null").select("id").distinct().count()
+    # a key twice stays twice
+    twice = text.packed(df.unionAll(df), "key", "text")
+    want = sorted([(i, t or None) for i, t in enumerate(texts)] * 2)
+    assert sorted(map(tuple, text.realized_packed(twice, "key").collect())) == want
+
+
+def test_texts_in_arrays_have_the_same_trees():
+    rng = random.Random(6)
+    for _ in range(60):
+        own = rng.sample([*"aAbB  ..,'!?1\n\r\t-_\u00e9\u0301\u30ab\u200d\U0001f600"], rng.randint(2, 16)) + ["ab ", "c. "]
+        texts = [None, "", *("".join(rng.choice(own) for _ in range(rng.randint(0, 200))) for _ in range(4))]
+        a, b = identity.Composer(), identity.Composer()
+        one = [segments.decompose(t, a) if t else None for t in texts]
+        many = segments.decompose_many(texts, b)
+        assert [r if r is None else a.ids()[r] for r in one] == [r if r is None else b.ids()[r] for r in many]
+        trees = [{s.ids()[n]: (s.tier[n], p if isinstance(p, str) else [s.ids()[c] for c in p]) for n, p in enumerate(s.parts)} for s in (a, b)]
+        assert trees[0] == trees[1]
+
+
 def test_segment_lists_are_the_trees_words(spark, sf_dir):
     import __spark_entry__ as entry
 
