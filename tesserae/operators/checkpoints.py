@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,9 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Shuffle files of what was written and isn't referred to any more are deleted once the JVM has collected its garbage: here, not some time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of what was written and isn't referred to any more are deleted once the JVM has collected its garbage: here, not some
+    time. Twice, since the JVM learns a moment later what Python has dropped."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
